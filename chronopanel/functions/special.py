@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -54,7 +55,7 @@ def norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p_value(stat: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value; meant for result tables of a few rows."""
     return pd.Series(

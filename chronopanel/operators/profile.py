@@ -20,17 +20,16 @@ TAIL_PROBS = (0.95, 0.99, 0.999)
 
 # --- segments -----------------------------------------------------------------
 
-def segment_profile(df: DataFrame, panel: Panel, value: str, decimals: int = 3) -> DataFrame:
+def segment_profile(df: DataFrame, panel: Panel, value: str, decimals: int | None = 3) -> DataFrame:
     """Mean, sample deviation, minimum and maximum by hour, weekday and month."""
+    stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    show = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
     long = df.filter(F.col(value).isNotNull()).select(
         *panel.keys, value, F.explode(segments(panel.ts)).alias("s")
     )
-    return long.groupBy(*panel.keys, F.col("s.segment").alias("segment"), F.col("s.segment_value").alias("segment_value")).agg(
-        F.round(F.avg(value), decimals).alias("mean"),
-        F.round(F.stddev_samp(value), decimals).alias("std"),
-        F.round(F.min(value), decimals).alias("min"),
-        F.round(F.max(value), decimals).alias("max"),
-    )
+    return long.groupBy(
+        *panel.keys, F.col("s.segment").alias("segment"), F.col("s.segment_value").alias("segment_value")
+    ).agg(*[show(fn(value)).alias(n) for n, fn in stats.items()])
 
 
 def heat_table(df: DataFrame, panel: Panel, value: str) -> DataFrame:

@@ -1 +1,222 @@
-"""placeholder"""
+"""Fold plans, forecasters, backtests and scores."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from chronopanel.functions.metrics import metric
+from chronopanel.operators import evaluate, features, forecast
+from chronopanel.operators.resample import resample
+from chronopanel.plans.folds import assign_folds, fold_plan, fold_table
+from chronopanel.queries.base import (
+    DAILY_PANEL, DAILY_SQL, HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, PREDICTIONS_SQL, R, SCALE_SQL, SCORES_SQL,
+    daily, folds_sql, hourly, query, table,
+)
+from chronopanel.queries.tables import lag_matrix, predictions
+
+MODELS = ["naive_lag_1h", "naive_lag_24h_daily", "naive_lag_168h_weekly"]
+FLAGSHIP_FOLDS = {"n_folds": 6, "train_days": 10, "valid_days": 3, "gap_days": 0}
+
+
+def plan(spark, sf):
+    matrix = lag_matrix(spark, sf)
+    return matrix, fold_plan(matrix, HOURLY_PANEL, **HOURLY_FOLDS, strict=False)
+
+
+@query("flagship_leaderboard", f"""WITH {HOURLY_SQL},
+lagged AS (SELECT series_id, ts, value, lag(value, 1) OVER (PARTITION BY series_id ORDER BY ts) AS l1 FROM hourly),
+matrix AS (SELECT * FROM lagged WHERE l1 IS NOT NULL),
+{folds_sql('matrix', 6, 10, 3)},
+preds AS (SELECT m.series_id, f.fold, m.value AS y, m.l1 AS p FROM matrix m JOIN folds f
+          ON m.series_id = f.series_id AND m.ts BETWEEN f.valid_start AND f.valid_end),
+{SCALE_SQL},
+sc AS (SELECT series_id, fold, count(*) AS n, avg(abs(y - p)) AS "MAE", sqrt(avg((y - p) * (y - p))) AS "RMSE",
+  sum(abs(y - p)) / sum(abs(y)) AS "WAPE",
+  avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE abs(y - p) / ((abs(y) + abs(p)) / 2) END) AS "sMAPE" FROM preds GROUP BY 1, 2),
+full_sc AS (SELECT sc.*, "MAE" / scale AS "MASE" FROM sc JOIN scales USING (series_id, fold))
+SELECT series_id, 'naive_lag_1h' AS model, """ + ", ".join(
+    f'{R(f"""avg("{m}")""", 5)} AS "{m}_mean", {R(f"""stddev_samp("{m}")""", 5)} AS "{m}_std"' for m in evaluate.LEADERBOARD_METRICS
+) + " FROM full_sc GROUP BY 1")
+def flagship(spark, sf):
+    """Hourly mean, lag 1, rolling-origin folds, naive forecast, metrics, leaderboard per series."""
+    matrix = features.build_features(
+        hourly(spark, sf), HOURLY_PANEL, "value", (1,), (), calendar=False, cyclical=False, holidays=False
+    )
+    folds = fold_plan(matrix, HOURLY_PANEL, **FLAGSHIP_FOLDS, strict=False)
+    preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, [forecast.NaiveLag("value_lag_1h", "naive_lag_1h")])
+    scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
+    scores = evaluate.score(preds, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
+    return evaluate.leaderboard(scores, ["series_id"], decimals=5)
+
+
+@query("m1_fold_plan", f"WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)} SELECT * FROM folds")
+def rolling_origin(spark, sf):
+    return plan(spark, sf)[1]
+
+
+@query("m1_fold_plan_daily", f"WITH {DAILY_SQL}, {folds_sql('daily', 6, 365, 30, 2, '1 day')} SELECT * FROM folds")
+def rolling_origin_daily(spark, sf):
+    return fold_plan(daily(spark, sf), DAILY_PANEL, gap_days=2)
+
+
+FOLD_COUNTS_SQL = """counts AS (SELECT f.series_id, f.fold, count(*) FILTER (WHERE m.ts BETWEEN f.train_start AND f.train_end) AS train_rows,
+  count(*) FILTER (WHERE m.ts BETWEEN f.valid_start AND f.valid_end) AS valid_rows FROM folds f JOIN matrix m USING (series_id) GROUP BY 1, 2)"""
+
+
+@query("m2_fold_table", f"""WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)}, {FOLD_COUNTS_SQL}
+SELECT series_id, fold, train_start, train_end, valid_start, valid_end,
+  {R('round((epoch(train_end) - epoch(train_start)) / 86400, 1)')} AS train_days,
+  {R('round((epoch(valid_end) - epoch(valid_start)) / 86400, 1)')} AS valid_days, train_rows, valid_rows,
+  {R('round(valid_rows / 72, 3)')} AS valid_completeness, 72 - valid_rows AS missing_valid_rows
+FROM folds JOIN counts USING (series_id, fold)""")
+def fold_overview(spark, sf):
+    matrix, folds = plan(spark, sf)
+    return fold_table(matrix, HOURLY_PANEL, folds)
+
+
+@query("a25_split_completeness", f"""WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)}, {FOLD_COUNTS_SQL}
+SELECT series_id, fold, valid_rows, {R('round(valid_rows / 72, 3)')} AS valid_completeness, 72 - valid_rows AS missing_valid_rows FROM counts""")
+def split_completeness(spark, sf):
+    matrix, folds = plan(spark, sf)
+    return fold_table(matrix, HOURLY_PANEL, folds).select("series_id", "fold", "valid_rows", "valid_completeness", "missing_valid_rows")
+
+
+@query("j6_fold_assignment", f"""WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)}
+SELECT m.series_id, m.ts, {R('m.value')} AS value, f.fold, CASE WHEN m.ts >= f.valid_start THEN 'valid' ELSE 'train' END AS role
+FROM matrix m JOIN folds f ON m.series_id = f.series_id AND m.ts BETWEEN f.train_start AND f.valid_end""")
+def fold_assignment(spark, sf):
+    matrix, folds = plan(spark, sf)
+    return assign_folds(matrix.select("series_id", "ts", "value"), HOURLY_PANEL, folds).drop("fold_from")
+
+
+@query("m3_naive_forecasts", f"""WITH {PREDICTIONS_SQL} SELECT series_id, model, fold, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds""")
+def naive_forecasts(spark, sf):
+    return predictions(spark, sf)
+
+
+SCORE_COLUMNS = f"""series_id, fold, model, valid_rows, {R('mae')} AS "MAE", {R('rmse')} AS "RMSE", {R('wape')} AS "WAPE", {R('smape')} AS "sMAPE" """
+
+
+@query("a16_point_metrics", f"WITH {PREDICTIONS_SQL}, {SCALE_SQL}, " + SCORES_SQL[len(PREDICTIONS_SQL) + len(SCALE_SQL) + 4:] + f" SELECT {SCORE_COLUMNS} FROM raw_scores")
+def point_metrics(spark, sf):
+    return evaluate.score(predictions(spark, sf), ["series_id", "fold", "model"]).drop("undefined")
+
+
+@query("a17_mase", f"""WITH {SCORES_SQL} SELECT {SCORE_COLUMNS}, {R('mase')} AS "MASE" FROM scores""")
+def mase(spark, sf):
+    return fold_scores(spark, sf).drop("undefined")
+
+
+def fold_scores(spark, sf):
+    matrix, folds = plan(spark, sf)
+    preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value"))
+    scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
+    return evaluate.score(preds, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
+
+
+@query("a18_mape", f"""WITH {PREDICTIONS_SQL} SELECT series_id, fold, model,
+  {R('avg(abs(y_true - y_pred) / greatest(abs(y_true), 1e-6)) * 100')} AS "MAPE" FROM preds GROUP BY 1, 2, 3""")
+def mape(spark, sf):
+    return predictions(spark, sf).groupBy("series_id", "fold", "model").agg(metric("MAPE")("y_true", "y_pred").alias("MAPE"))
+
+
+@query("x2_metrics_by_name", f"""WITH {PREDICTIONS_SQL} SELECT model, {R('avg(abs(y_true - y_pred))')} AS "MAE",
+  {R('sum(abs(y_true - y_pred)) / sum(abs(y_true))')} AS "WAPE" FROM preds GROUP BY 1""")
+def metrics_by_name(spark, sf):
+    names = ["MAE", "WAPE"]
+    return predictions(spark, sf).groupBy("model").agg(*[metric(n)("y_true", "y_pred").alias(n) for n in names])
+
+
+BOARD_SQL = ", ".join(
+    f'{R(f"avg({m.lower()})", 5)} AS "{m}_mean", {R(f"stddev_samp({m.lower()})", 5)} AS "{m}_std"' for m in evaluate.LEADERBOARD_METRICS
+)
+
+
+@query("a19_leaderboard", f"WITH {SCORES_SQL} SELECT series_id, model, {BOARD_SQL} FROM scores GROUP BY 1, 2")
+def leaderboard(spark, sf):
+    return evaluate.leaderboard(fold_scores(spark, sf), ["series_id"], decimals=5)
+
+
+@query("m9_backtest_naive", f"""WITH {PREDICTIONS_SQL} SELECT series_id, model, fold, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds""")
+def backtest_naive(spark, sf):
+    matrix, folds = plan(spark, sf)
+    return forecast.backtest(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value")).predictions
+
+
+def tree_inputs(spark, sf):
+    matrix = features.build_features(hourly(spark, sf), HOURLY_PANEL, "value", (1, 24), (3, 24))
+    return matrix, fold_plan(matrix, HOURLY_PANEL, 2, 12, 5, strict=False)
+
+
+@query("m4_boosted_trees")
+def boosted_trees(spark, sf):
+    matrix, folds = tree_inputs(spark, sf)
+    run = forecast.backtest(matrix, HOURLY_PANEL, "value", folds, [forecast.BoostedTrees(trees=10, depth=4, bins=32)])
+    return evaluate.score(run.predictions, ["model", "fold"]).drop("undefined")
+
+
+@query("m6_random_forest")
+def random_forest(spark, sf):
+    matrix, folds = tree_inputs(spark, sf)
+    run = forecast.backtest(matrix, HOURLY_PANEL, "value", folds, [forecast.Forest(trees=10, depth=6)])
+    return run.predictions
+
+
+def daily_exogenous(spark, sf):
+    """Daily order totals as outside columns: mean price and a one-day lag of it."""
+    orders = table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg(
+        F.avg("o_totalprice").alias("external_order_price"), F.count(F.lit(1)).cast("double").alias("external_orders")
+    )
+    return orders
+
+
+@query("j1_exogenous_join", f"""WITH {DAILY_SQL}, o AS (SELECT o_orderdate AS ts, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1)
+SELECT series_id, ts, {R('quantity')} AS quantity, {R('p')} AS external_order_price, {R('n')} AS external_orders FROM daily JOIN o USING (ts)""")
+def exogenous_join(spark, sf):
+    from chronopanel.plans.units import small_join
+
+    return small_join(daily(spark, sf).drop("value"), daily_exogenous(spark, sf), ["ts"])
+
+
+@query("m5_trees_with_exogenous")
+def trees_with_exogenous(spark, sf):
+    from chronopanel.operators.registry import default_registry
+    from chronopanel.plans.units import small_join
+
+    registry = default_registry("quantity").register("external_*", "external", True, "known outside the series")
+    joined = small_join(daily(spark, sf).drop("value"), daily_exogenous(spark, sf), ["ts"])
+    matrix = features.build_features(joined, DAILY_PANEL, "quantity", (1, 7), (3, 7), registry=registry)
+    folds = fold_plan(matrix, DAILY_PANEL, 2, 365, 60)
+    run = forecast.backtest(matrix, DAILY_PANEL, "quantity", folds, [forecast.BoostedTrees(trees=10, depth=4, bins=64, name="trees_exogenous")])
+    return evaluate.score(run.predictions, ["model", "fold"]).drop("undefined")
+
+
+@query("a23_feature_importance")
+def feature_importance(spark, sf):
+    matrix, folds = tree_inputs(spark, sf)
+    run = forecast.backtest(matrix, HOURLY_PANEL, "value", folds, [forecast.BoostedTrees(trees=5, depth=4, bins=32)])
+    return evaluate.mean_importance(run.importances)
+
+
+@query("x1_per_series_model", f"""WITH {PREDICTIONS_SQL},
+means AS (SELECT m.series_id, f.fold, hour(m.ts) AS h, avg(m.value) AS y FROM matrix m JOIN folds f
+  ON m.series_id = f.series_id AND m.ts BETWEEN f.train_start AND f.train_end GROUP BY 1, 2, 3)
+SELECT v.series_id, 'hour_mean' AS model, v.fold, v.ts, {R('v.value')} AS y_true, {R('m.y')} AS y_pred
+FROM valid v LEFT JOIN means m ON v.series_id = m.series_id AND v.fold = m.fold AND hour(v.ts) = m.h""")
+def per_series_model(spark, sf):
+    """A user's own model: the training mean at the same hour of day."""
+    def hour_mean(train, valid):
+        means = train.groupby(train["ts"].dt.hour)["value"].mean()
+        return valid["ts"].dt.hour.map(means).to_numpy(dtype=np.float64)
+
+    matrix, folds = plan(spark, sf)
+    return forecast.backtest(matrix, HOURLY_PANEL, "value", folds, [forecast.PerSeries(hour_mean, "hour_mean")]).predictions
+
+
+@query("m10_seasonal_naive_path", f"""WITH {HOURLY_SQL}, o AS (SELECT series_id, max(ts) - INTERVAL 72 HOUR AS origin FROM hourly GROUP BY 1),
+s AS (SELECT series_id, origin, h FROM o, (SELECT unnest(generate_series(1, 48)) AS h))
+SELECT s.series_id, s.origin, s.h, s.origin + to_hours(CAST(s.h AS INTEGER)) AS ts, {R('p.value')} AS y_pred FROM s JOIN hourly p
+  ON p.series_id = s.series_id AND p.ts = s.origin + to_hours(CAST(s.h - CAST(ceil(s.h / 24) AS BIGINT) * 24 AS INTEGER))""")
+def seasonal_naive_path(spark, sf):
+    h = hourly(spark, sf)
+    origins = h.groupBy("series_id").agg((F.max("ts") - F.expr("interval 72 hours")).alias("origin"))
+    return forecast.seasonal_naive_path(h, HOURLY_PANEL, "value", origins, 48, 24)

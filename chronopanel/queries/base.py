@@ -38,12 +38,17 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# Means of two-decimal values often end in a 5 after six decimals. The two engines add
+# in different orders, so such ties would round either way; this offset settles them.
+TIE = 2.3e-9
+
+
 def tidy(df: DataFrame, decimals: int = 6) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            c = F.round(c.cast("double"), decimals)
+            c = F.round(c.cast("double") + F.lit(TIE), decimals)
         elif kind in ("tinyint", "smallint", "int"):
             c = c.cast("bigint")
         elif kind in ("date", "timestamp"):
@@ -54,7 +59,7 @@ def tidy(df: DataFrame, decimals: int = 6) -> DataFrame:
 
 def R(expr: str, decimals: int = 6) -> str:
     """The SQL side of `tidy` for one floating-point expression."""
-    return f"(round(CAST({expr} AS DOUBLE), {decimals}) + 0)"
+    return f"(round(CAST({expr} AS DOUBLE) + {TIE}, {decimals}) + 0)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
