@@ -11,7 +11,7 @@ from chronopanel.functions.metrics import METRICS, PERCENT_METRICS, Metric, mae
 from chronopanel.functions.special import t_p_value
 from chronopanel.panel import Panel, PanelError
 from chronopanel.plans.folds import assign_folds
-from chronopanel.plans.units import CHUNK, add_chunk, chunk_window, over_blocks
+from chronopanel.plans.units import CHUNK, add_chunk, over_blocks
 
 LEADERBOARD_METRICS = ("MAE", "RMSE", "WAPE", "sMAPE", "MASE")
 SEASON = 24
@@ -213,21 +213,22 @@ def residual_summary(
     return score(head, [*panel.keys, *by], {"MAE": METRICS["MAE"], "RMSE": METRICS["RMSE"]}).drop("undefined")
 
 
-def first_n(df: DataFrame, panel: Panel, n: int) -> DataFrame:
-    """The first n rows of each group in time order.
+def first_n(df: DataFrame, panel: Panel, n: int, last: bool = False) -> DataFrame:
+    """The first (or last) n rows of each group in time order.
 
-    Each chunk keeps its own first n rows; only those are numbered per group.
+    Each chunk keeps its own n rows; only those are numbered per group.
     """
-    rn = "__n"
-    per_chunk = add_chunk(df, panel).withColumn(rn, F.row_number().over(chunk_window(panel))).filter(F.col(rn) <= n)
+    way = (lambda c: F.col(c).desc()) if last else F.col
+    w = Window.partitionBy(*panel.keys, CHUNK).orderBy(way(panel.ts))
+    per_chunk = add_chunk(df, panel).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n)
     sizes = per_chunk.groupBy(*panel.keys, CHUNK).agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*panel.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*panel.keys).orderBy(way(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*panel.keys, CHUNK, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
     starts = starts.filter(F.col("__s") < n)
     return (
         per_chunk.join(starts, [*panel.keys, CHUNK])
-        .filter(F.col("__s") + F.col(rn) <= n)
-        .drop(CHUNK, rn, "__s")
+        .filter(F.col("__s") + F.col("__n") <= n)
+        .drop(CHUNK, "__n", "__s")
     )
 
 

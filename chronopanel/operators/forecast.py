@@ -184,7 +184,7 @@ class PerSeries:
     name: str
     hyperparameters: Mapping[str, Any] = field(default_factory=dict)
 
-    def predict_all(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame) -> DataFrame:
+    def predictions(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame) -> DataFrame:
         rows = assign_folds(matrix, panel, folds).drop("fold_from")
         keys, ts, fn, name = list(panel.keys), panel.ts, self.fn, self.name
         types = dict(matrix.dtypes)
@@ -229,7 +229,8 @@ def backtest(
 ) -> Backtest:
     """Fit and predict every model on every fold.
 
-    Lag and per-series models run all folds in one job. Tree models are fitted
+    Lag models, and models with a ``predictions`` method of their own, run all
+    folds in one job. Tree models are fitted
     once per fold over all series, so only the few folds loop on the driver.
     The fold-expanded rows are written once and read by every fit.
     """
@@ -241,10 +242,10 @@ def backtest(
     naive = [m for m in models if isinstance(m, NaiveLag)]
     if naive:
         parts.append(naive_predictions(matrix, panel, target, folds, naive))
-    for m in models:
-        if isinstance(m, PerSeries):
-            parts.append(m.predict_all(matrix, panel, target, folds))
-    fitted = [m for m in models if not isinstance(m, (NaiveLag, PerSeries))]
+    panel_wide = [m for m in models if hasattr(m, "predictions")]
+    for m in panel_wide:
+        parts.append(m.predictions(matrix, panel, target, folds))
+    fitted = [m for m in models if m not in naive and m not in panel_wide]
     if fitted:
         expanded = assign_folds(matrix, panel, folds)
         expanded = materialize(expanded) if store else expanded

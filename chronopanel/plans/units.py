@@ -28,7 +28,9 @@ BROADCAST_ROWS = 200_000
 
 
 def chunk_of(panel: Panel) -> Column:
-    return F.floor(panel.seconds() / F.lit(panel.chunk_seconds)).cast("bigint")
+    """Never null, so that a join on it adds no filter to only one of its sides."""
+    chunk = F.floor(panel.seconds() / F.lit(panel.chunk_seconds)).cast("bigint")
+    return F.coalesce(chunk, F.lit(-(1 << 62)))
 
 
 def add_chunk(df: DataFrame, panel: Panel) -> DataFrame:
@@ -43,14 +45,17 @@ def row_index(df: DataFrame, panel: Panel, name: str = ROW) -> DataFrame:
     """Add the 0-based position of each row in its series.
 
     Position = rows in earlier chunks + position in the own chunk. The chunk
-    sizes are a partial aggregate over keys and time only; the running total
-    over them touches one row per chunk.
+    sizes are a partial aggregate and the running total over them touches one
+    row per chunk. The sizes look at every column, so that both branches ask
+    for the same upstream rows and Spark computes (and shuffles) those once.
     """
     src = add_chunk(df, panel)
+    columns = [F.col(c) for c, t in df.dtypes if not t.startswith("map")]
     before = Window.partitionBy(*panel.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         src.groupBy(*panel.keys, CHUNK)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.max(F.xxhash64(*columns)).alias("__all"))
+        .filter(F.col("__all").isNotNull())
         .select(*panel.keys, CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
     return (

@@ -11,17 +11,13 @@ from chronopanel.queries.base import (
     DAILY_PANEL, DAILY_SQL, HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, PREDICTIONS_SQL, R, SCALE_SQL, SCORES_SQL,
     daily, folds_sql, hourly, query, table,
 )
-from chronopanel.queries.tables import lag_matrix, predictions
+from chronopanel.queries.tables import predictions, stored_plan
+from chronopanel.session import materialize
 
 MODELS = ["naive_lag_1h", "naive_lag_24h_daily", "naive_lag_168h_weekly"]
 FLAGSHIP_FOLDS = {"n_folds": 6, "train_days": 10, "valid_days": 3, "gap_days": 0}
 
 
-def plan(spark, sf):
-    matrix = lag_matrix(spark, sf)
-    return matrix, fold_plan(matrix, HOURLY_PANEL, **HOURLY_FOLDS, strict=False)
-
-
 @query("flagship_leaderboard", f"""WITH {HOURLY_SQL},
 lagged AS (SELECT series_id, ts, value, lag(value, 1) OVER (PARTITION BY series_id ORDER BY ts) AS l1 FROM hourly),
 matrix AS (SELECT * FROM lagged WHERE l1 IS NOT NULL),
@@ -38,9 +34,9 @@ SELECT series_id, 'naive_lag_1h' AS model, """ + ", ".join(
 ) + " FROM full_sc GROUP BY 1")
 def flagship(spark, sf):
     """Hourly mean, lag 1, rolling-origin folds, naive forecast, metrics, leaderboard per series."""
-    matrix = features.build_features(
+    matrix = materialize(features.build_features(
         hourly(spark, sf), HOURLY_PANEL, "value", (1,), (), calendar=False, cyclical=False, holidays=False
-    )
+    ))
     folds = fold_plan(matrix, HOURLY_PANEL, **FLAGSHIP_FOLDS, strict=False)
     preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, [forecast.NaiveLag("value_lag_1h", "naive_lag_1h")])
     scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
@@ -50,7 +46,7 @@ def flagship(spark, sf):
 
 @query("m1_fold_plan", f"WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)} SELECT * FROM folds")
 def rolling_origin(spark, sf):
-    return plan(spark, sf)[1]
+    return stored_plan(spark, sf)[1]
 
 
 @query("m1_fold_plan_daily", f"WITH {DAILY_SQL}, {folds_sql('daily', 6, 365, 30, 2, '1 day')} SELECT * FROM folds")
@@ -69,14 +65,14 @@ SELECT series_id, fold, train_start, train_end, valid_start, valid_end,
   {R('round(valid_rows / 72, 3)')} AS valid_completeness, 72 - valid_rows AS missing_valid_rows
 FROM folds JOIN counts USING (series_id, fold)""")
 def fold_overview(spark, sf):
-    matrix, folds = plan(spark, sf)
+    matrix, folds = stored_plan(spark, sf)
     return fold_table(matrix, HOURLY_PANEL, folds)
 
 
 @query("a25_split_completeness", f"""WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)}, {FOLD_COUNTS_SQL}
 SELECT series_id, fold, valid_rows, {R('round(valid_rows / 72, 3)')} AS valid_completeness, 72 - valid_rows AS missing_valid_rows FROM counts""")
 def split_completeness(spark, sf):
-    matrix, folds = plan(spark, sf)
+    matrix, folds = stored_plan(spark, sf)
     return fold_table(matrix, HOURLY_PANEL, folds).select("series_id", "fold", "valid_rows", "valid_completeness", "missing_valid_rows")
 
 
@@ -84,7 +80,7 @@ def split_completeness(spark, sf):
 SELECT m.series_id, m.ts, {R('m.value')} AS value, f.fold, CASE WHEN m.ts >= f.valid_start THEN 'valid' ELSE 'train' END AS role
 FROM matrix m JOIN folds f ON m.series_id = f.series_id AND m.ts BETWEEN f.train_start AND f.valid_end""")
 def fold_assignment(spark, sf):
-    matrix, folds = plan(spark, sf)
+    matrix, folds = stored_plan(spark, sf)
     return assign_folds(matrix.select("series_id", "ts", "value"), HOURLY_PANEL, folds).drop("fold_from")
 
 
@@ -107,7 +103,7 @@ def mase(spark, sf):
 
 
 def fold_scores(spark, sf):
-    matrix, folds = plan(spark, sf)
+    matrix, folds = stored_plan(spark, sf)
     preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value"))
     scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
     return evaluate.score(preds, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
@@ -138,12 +134,12 @@ def leaderboard(spark, sf):
 
 @query("m9_backtest_naive", f"""WITH {PREDICTIONS_SQL} SELECT series_id, model, fold, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds""")
 def backtest_naive(spark, sf):
-    matrix, folds = plan(spark, sf)
+    matrix, folds = stored_plan(spark, sf)
     return forecast.backtest(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value")).predictions
 
 
 def tree_inputs(spark, sf):
-    matrix = features.build_features(hourly(spark, sf), HOURLY_PANEL, "value", (1, 24), (3, 24))
+    matrix = materialize(features.build_features(hourly(spark, sf), HOURLY_PANEL, "value", (1, 24), (3, 24)))
     return matrix, fold_plan(matrix, HOURLY_PANEL, 2, 12, 5, strict=False)
 
 
@@ -184,7 +180,7 @@ def trees_with_exogenous(spark, sf):
 
     registry = default_registry("quantity").register("external_*", "external", True, "known outside the series")
     joined = small_join(daily(spark, sf).drop("value"), daily_exogenous(spark, sf), ["ts"])
-    matrix = features.build_features(joined, DAILY_PANEL, "quantity", (1, 7), (3, 7), registry=registry)
+    matrix = materialize(features.build_features(joined, DAILY_PANEL, "quantity", (1, 7), (3, 7), registry=registry))
     folds = fold_plan(matrix, DAILY_PANEL, 2, 365, 60)
     run = forecast.backtest(matrix, DAILY_PANEL, "quantity", folds, [forecast.BoostedTrees(trees=10, depth=4, bins=64, name="trees_exogenous")])
     return evaluate.score(run.predictions, ["model", "fold"]).drop("undefined")
@@ -208,7 +204,7 @@ def per_series_model(spark, sf):
         means = train.groupby(train["ts"].dt.hour)["value"].mean()
         return valid["ts"].dt.hour.map(means).to_numpy(dtype=np.float64)
 
-    matrix, folds = plan(spark, sf)
+    matrix, folds = stored_plan(spark, sf)
     return forecast.backtest(matrix, HOURLY_PANEL, "value", folds, [forecast.PerSeries(hour_mean, "hour_mean")]).predictions
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.resample import resample
 from chronopanel.panel import Panel
-from chronopanel.session import CHECKPOINT_KEY, prepare
+from chronopanel.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,16 +64,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for files a query writes: shared on a cluster, /tmp when local."""
-    shared = spark.conf.get(CHECKPOINT_KEY, None)
-    if shared:
-        return os.path.join(shared, f"scratch-{os.urandom(8).hex()}")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 # --- panels ---------------------------------------------------------------------
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

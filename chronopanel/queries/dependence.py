@@ -1 +1,75 @@
-"""placeholder"""
+"""Autocorrelation, stationarity and seasonal ARIMA."""
+
+from chronopanel.operators import arima, dependence, evaluate, forecast
+from chronopanel.plans.folds import fold_plan
+from chronopanel.queries.base import HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, R, hourly, query
+from chronopanel.session import materialize
+
+DIFF_SQL = HOURLY_SQL + """,
+d AS (SELECT series_id, ts, value - lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS d FROM hourly),
+x AS (SELECT series_id, d - avg(d) OVER (PARTITION BY series_id) AS x, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i
+      FROM d WHERE d IS NOT NULL),
+c0 AS (SELECT series_id, sum(x * x) AS v, count(*) AS n FROM x GROUP BY 1)"""
+
+
+@query("w8_acf", f"""WITH {DIFF_SQL}, lags AS (SELECT CAST(unnest(generate_series(1, 168)) AS BIGINT) AS lag),
+p AS (SELECT a.series_id, l.lag, sum(a.x * b.x) AS s FROM x a, lags l, x b
+      WHERE a.series_id = b.series_id AND b.i = a.i - l.lag GROUP BY 1, 2)
+SELECT series_id, lag, {R('s / v')} AS acf, n FROM p JOIN c0 USING (series_id)""")
+def acf(spark, sf):
+    return dependence.acf(hourly(spark, sf), HOURLY_PANEL, "value", 168)
+
+
+@query("w9_pacf")
+def pacf(spark, sf):
+    return dependence.pacf(hourly(spark, sf), HOURLY_PANEL, "value", 168)
+
+
+@query("w13_adf")
+def adf(spark, sf):
+    return dependence.adf(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 40)
+
+
+@query("w13_adf_fixed_lag")
+def adf_fixed(spark, sf):
+    return dependence.adf(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 40, select=None)
+
+
+@query("w14_kpss", f"""WITH {HOURLY_SQL}, x AS (SELECT series_id, ts, value - avg(value) OVER (PARTITION BY series_id) AS x,
+  row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM hourly),
+s AS (SELECT series_id, n, sum(x) OVER (PARTITION BY series_id ORDER BY i) AS s FROM x),
+e AS (SELECT series_id, n, sum(s * s) / (n * n) AS eta FROM s GROUP BY 1, 2),
+p AS (SELECT a.series_id, a.i - b.i AS lag, sum(a.x * b.x) AS g FROM x a JOIN x b ON a.series_id = b.series_id AND a.i - b.i BETWEEN 0 AND 8 GROUP BY 1, 2),
+v AS (SELECT series_id, sum(g * CASE WHEN lag = 0 THEN 1 ELSE 2 * (1 - lag / 9) END) AS v FROM p GROUP BY 1)
+SELECT series_id, {R('eta / (v / n)')} AS kpss_stat FROM e JOIN v USING (series_id)""")
+def kpss(spark, sf):
+    return dependence.kpss(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", lags=8).select("series_id", "kpss_stat")
+
+
+@query("w14_stationarity_verdict")
+def stationarity(spark, sf):
+    return dependence.stationarity(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 24)
+
+
+def arima_inputs(spark, sf):
+    h = materialize(hourly(spark, sf))
+    return h, fold_plan(h, HOURLY_PANEL, **{**HOURLY_FOLDS, "n_folds": 3, "train_days": 14}, strict=False)
+
+
+@query("m7_seasonal_arima")
+def seasonal_arima(spark, sf):
+    h, folds = arima_inputs(spark, sf)
+    return arima.SeasonalArima().predictions(h, HOURLY_PANEL, "value", folds)
+
+
+@query("m7_seasonal_arima_scores")
+def seasonal_arima_scores(spark, sf):
+    h, folds = arima_inputs(spark, sf)
+    run = forecast.backtest(h, HOURLY_PANEL, "value", folds, [arima.SeasonalArima()], features=[])
+    return evaluate.score(run.predictions, ["series_id", "fold", "model"]).drop("undefined")
+
+
+@query("m10_recursive_forecast")
+def recursive_forecast(spark, sf):
+    h, folds = arima_inputs(spark, sf)
+    return arima.SeasonalArima().forecast_path(h, HOURLY_PANEL, "value", folds, horizon=72)

@@ -6,8 +6,9 @@ from chronopanel.operators import features
 from chronopanel.operators.forecast import naive_baselines, naive_predictions
 from chronopanel.plans.folds import fold_plan
 from chronopanel.queries.base import (
-    HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, PREDICTIONS_SQL, R, hourly, query, scratch, table,
+    HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, PREDICTIONS_SQL, R, hourly, query, table,
 )
+from chronopanel.session import materialize, new_folder
 from chronopanel.sources import observations as text, tables
 
 TEXT_SQL = """SELECT event_type AS series_id, date_trunc('second', ts) AS ts,
@@ -26,7 +27,7 @@ def as_text(spark, sf):
 
 @query("s1_delimited_scan", f"SELECT series_id, ts, {R('value')} AS value FROM ({TEXT_SQL})")
 def delimited_scan(spark, sf):
-    path = scratch(spark)
+    path = new_folder(spark, "files")
     as_text(spark, sf).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
     return text.read_observations(spark, path, measures=["value"], keys=["series_id"]).select("series_id", "ts", "value")
 
@@ -50,8 +51,7 @@ def projected_scan(spark, sf):
 
 
 def predictions(spark, sf):
-    matrix = lag_matrix(spark, sf)
-    folds = fold_plan(matrix, HOURLY_PANEL, **HOURLY_FOLDS, strict=False)
+    matrix, folds = stored_plan(spark, sf)
     return naive_predictions(matrix, HOURLY_PANEL, "value", folds, naive_baselines("value"))
 
 
@@ -61,11 +61,17 @@ def lag_matrix(spark, sf):
     )
 
 
+def stored_plan(spark, sf):
+    """The lag matrix, written once because folds, forecasts and scales all read it, and its folds."""
+    matrix = materialize(lag_matrix(spark, sf))
+    return matrix, fold_plan(matrix, HOURLY_PANEL, **HOURLY_FOLDS, strict=False)
+
+
 @query("s5_prediction_files", f"""WITH {PREDICTIONS_SQL} SELECT series_id, fold, model, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred
 FROM preds WHERE model <> 'naive_lag_168h_weekly'""")
 def prediction_files(spark, sf):
     """The weekly model lacks fold 2 and is left out as a whole."""
-    path = scratch(spark)
+    path = new_folder(spark, "files")
     p = predictions(spark, sf)
     tables.write_predictions(p.filter(~((F.col("model") == "naive_lag_168h_weekly") & (F.col("fold") == 2))), path)
     return tables.read_predictions(spark, path, n_folds=HOURLY_FOLDS["n_folds"])
@@ -73,7 +79,7 @@ def prediction_files(spark, sf):
 
 @query("s6_parquet_sink", f"WITH {LAGGED_SQL} SELECT series_id, ts, {R('value')} AS value, {R('l24')} AS value_lag_24h FROM matrix")
 def parquet_sink(spark, sf):
-    path = scratch(spark)
+    path = new_folder(spark, "files")
     tables.write_panel(lag_matrix(spark, sf), HOURLY_PANEL, path)
     return tables.read_panel(spark, path, months=["2024-01"]).select("series_id", "ts", "value", "value_lag_24h")
 
@@ -81,7 +87,7 @@ def parquet_sink(spark, sf):
 @query("s7_result_files", f"""WITH {HOURLY_SQL} SELECT series_id, count(*) AS n, {R('avg(value)')} AS mean_value, f AS fmt
 FROM hourly, (VALUES ('csv'), ('json')) t(f) GROUP BY series_id, f""")
 def result_files(spark, sf):
-    path = scratch(spark)
+    path = new_folder(spark, "files")
     small = hourly(spark, sf).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
     back = []
     for fmt in ("csv", "json"):
@@ -94,7 +100,7 @@ def result_files(spark, sf):
 @query("s8_provenance", f"""WITH {LAGGED_SQL} SELECT 'value' AS target_column, '1h' AS target_frequency, count(*) AS n_rows, CAST(3 AS BIGINT) AS n_features,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, true AS readable FROM matrix""")
 def provenance(spark, sf):
-    path, parameters = scratch(spark), {"lags": [1, 24, 168], "target": "value"}
+    path, parameters = new_folder(spark, "files"), {"lags": [1, 24, 168], "target": "value"}
     meta = tables.save_features(lag_matrix(spark, sf), HOURLY_PANEL, "value", path, parameters)
     rows = tables.load_features(spark, path, parameters).agg(F.count(F.lit(1)).alias("stored"))
     at = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
