@@ -1,12 +1,14 @@
 """Past-only features: lags, rolling statistics, the feature matrix, sequence samples.
 
-All features of a panel are built in one select over one window, so the whole
+All features of a panel are built over one window definition, so the whole
 matrix costs one exchange for positions and one for blocks, whatever its width.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from chronopanel.plans.units import attach, over_blocks, over_spans
 # The default feature set, and the wider lag set of the earlier variant.
 LAGS, WINDOWS = (1, 24, 168), (3, 24, 168)
 WIDE_LAGS, WIDE_WINDOWS = (1, 2, 3, 24, 48, 168), (3, 6, 12, 24, 48, 168)
+# Windows longer than this are put together from up to MAX_PARTS shorter ones where possible.
+DIRECT_ROWS, MAX_PARTS = 32, 24
 STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
@@ -44,8 +48,6 @@ def rolling_columns(
 
     Null unless all n values are present.
     """
-    if any(n < 2 for n in windows):
-        raise PanelError("rolling windows must be at least 2")
     out = []
     for n in windows:
         frame = w.rowsBetween(-n, -1) if time_step is None else w.rangeBetween(-n * time_step, -time_step)
@@ -56,6 +58,58 @@ def rolling_columns(
     return out
 
 
+def _base_window(n: int, windows: Sequence[int]) -> int | None:
+    """The window that n can be put together from, if sliding over n rows would be slow."""
+    fits = [b for b in windows if b < n and n % b == 0 and n // b <= MAX_PARTS]
+    return max(fits, default=None) if n > DIRECT_ROWS else None
+
+
+def add_rolling(
+    blocks: DataFrame, target: str, windows: Sequence[int], w: WindowSpec, stats: Sequence[str] = tuple(STATS)
+) -> DataFrame:
+    """`rolling_columns` over rows, with long windows put together from shorter ones.
+
+    Sliding over n rows costs n steps per row. A window of k times b rows is
+    the union of k windows of b rows, each already computed at an earlier row,
+    so it costs k steps: means and squared deviations are merged without
+    cancellation, extremes by comparison. All levels share one sort.
+    """
+    name = lambda s, n: f"{target}_roll_{s}_{n}h"
+    composed = {n: _base_window(n, windows) for n in windows}
+    if "median" in stats:
+        composed = dict.fromkeys(windows)
+    direct = [n for n in windows if composed[n] is None]
+    # Merging deviations needs the means as well.
+    need = list(stats) if "std" not in stats or "mean" in stats else [*stats, "mean"]
+    out = blocks.select("*", *rolling_columns(target, direct, w, need))
+    for n in sorted(n for n in windows if composed[n]):
+        b = composed[n]
+        k = n // b
+        # One lag of a struct per part: the window operator walks the rows once per lagged column.
+        out = out.withColumn("__part", F.struct(*[F.col(name(s, b)).alias(s) for s in need]))
+        out = out.withColumns({
+            f"__p{i}": F.lag("__part", i * b).over(w) if i else F.col("__part") for i in range(k)
+        })
+        # A part is null when it is not full, which makes these sums null as well.
+        total = lambda cols: reduce(add, cols)
+        of = lambda s: [F.col(f"__p{i}")[s] for i in range(k)]  # noqa: E731, B023
+        made: dict[str, Column] = {}
+        if "mean" in need:
+            made["mean"] = total(of("mean")) / k
+        if "std" in need:
+            # Deviations within the parts, and of the parts' means from the newest part's mean.
+            inner = total([c * c for c in of("std")]) * (b - 1)
+            shift = [c - of("mean")[0] for c in of("mean")[1:]]
+            between = (total([d * d for d in shift]) - total(shift) * total(shift) / k) * b
+            made["std"] = F.sqrt((inner + between) / (n - 1))
+        for s, pick in (("min", F.least), ("max", F.greatest)):
+            if s in need:
+                made[s] = F.when(total(of(s)).isNotNull(), pick(*of(s)))
+        out = out.withColumns({name(s, n): made[s] for s in need})
+        out = out.drop("__part", *[f"__p{i}" for i in range(k)])
+    return out.select(*blocks.columns, *[name(s, n) for n in windows for s in stats])
+
+
 def past_features(
     df: DataFrame,
     panel: Panel,
@@ -66,23 +120,27 @@ def past_features(
     mode: str = "rows",
     extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Append lag and rolling columns (and any further expressions) in one select.
+    """Append lag and rolling columns (and any further expressions).
 
     ``mode="rows"`` counts rows of the frame, ``mode="time"`` counts grid steps.
     """
     if mode not in ("rows", "time"):
         raise PanelError(f"unknown mode {mode!r}")
+    if any(n < 2 for n in windows):
+        raise PanelError("rolling windows must be at least 2")
     reach = max([*lags, *windows], default=0)
-    step = None if mode == "rows" else panel.step
 
-    def select(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+    def by_rows(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        return add_rolling(blocks.select("*", *extra, *lag_columns(target, lags, w)), target, windows, w, stats)
+
+    def by_time(blocks: DataFrame, w: WindowSpec) -> DataFrame:
         return blocks.select(
-            "*", *extra, *lag_columns(target, lags, w, step), *rolling_columns(target, windows, w, stats, step)
+            "*", *extra, *lag_columns(target, lags, w, panel.step), *rolling_columns(target, windows, w, stats, panel.step)
         )
 
     if mode == "rows":
-        return over_blocks(df, panel, select, back=reach)
-    return over_spans(df, panel, select, back_seconds=reach * panel.step)
+        return over_blocks(df, panel, by_rows, back=reach)
+    return over_spans(df, panel, by_time, back_seconds=reach * panel.step)
 
 
 def build_features(

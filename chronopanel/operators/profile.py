@@ -12,7 +12,7 @@ from chronopanel.functions.special import norm_quantile
 from chronopanel.operators.evaluate import segments
 from chronopanel.operators.quantiles import exact_quantiles
 from chronopanel.panel import Panel, PanelError
-from chronopanel.plans.units import attach, over_blocks
+from chronopanel.plans.units import CHUNK, add_chunk, attach, over_blocks, small_join
 
 SIGMAS = 2.0
 TAIL_PROBS = (0.95, 0.99, 0.999)
@@ -87,29 +87,43 @@ def histogram(df: DataFrame, panel: Panel, value: str | Column, bins: int, log_b
     )
 
 
-def value_ranks(df: DataFrame, panel: Panel, value: str, cells: int = 4096) -> DataFrame:
+def value_ranks(df: DataFrame, panel: Panel, value: str, cells: int = 256) -> DataFrame:
     """Add ``rank`` (1-based, by value then time) and ``n`` within each series.
 
-    Values are first cut into equal-width cells; ranks inside a cell are
-    shifted by the size of the cells below, so no series is sorted whole.
+    A row's rank is the number of smaller values, plus the equal values in
+    earlier time chunks, plus its place among the equal values of its chunk.
+    Smaller values are counted over distinct values, cut into cells at sketched
+    quantiles. So neither a long series, an extreme value nor a value that most
+    rows share is ever ordered in one task.
     """
-    src = df.filter(F.col(value).isNotNull())
-    stats = src.groupBy(*panel.keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("n")
+    keys = list(panel.keys)
+    src = add_chunk(df.filter(F.col(value).isNotNull()), panel)
+    before = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, part, order: F.coalesce(F.sum(c).over(before(part, order)), F.lit(0))
+
+    per_chunk = src.groupBy(*keys, value, CHUNK).agg(F.count(F.lit(1)).alias("__c"))
+    ties = per_chunk.withColumn("__earlier", running("__c", [*keys, value], CHUNK)).drop("__c")
+    distinct = per_chunk.groupBy(*keys, value).agg(F.sum("__c").alias("__c"))
+    grid = [k / cells for k in range(1, cells)]
+    cuts = src.groupBy(*keys).agg(
+        F.percentile_approx(value, grid, 10_000).alias("__cuts"), F.count(F.lit(1)).alias("n")
+    )
+    placed = small_join(distinct, cuts, keys).withColumn(
+        "__cell", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     )
-    span = F.col("__hi") - F.col("__lo")
-    cell = F.when(span > 0, F.floor((F.col(value) - F.col("__lo")) / span * cells)).otherwise(0).cast("bigint")
-    placed = attach(src, panel, stats).withColumn("__cell", cell).drop("__lo", "__hi")
-    below = Window.partitionBy(*panel.keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*panel.keys, "__cell").agg(F.count(F.lit(1)).alias("__c")).select(
-        *panel.keys, "__cell", F.coalesce(F.sum("__c").over(below), F.lit(0)).alias("__s")
+    starts = placed.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__c")).withColumn(
+        "__below", running("__c", keys, "__cell")
+    ).drop("__c")
+    smaller = placed.join(starts, [*keys, "__cell"]).select(
+        *keys, value, "n", (F.col("__below") + running("__c", [*keys, "__cell"], value)).alias("__smaller")
     )
-    inside = Window.partitionBy(*panel.keys, "__cell").orderBy(value, panel.ts)
+    offsets = ties.join(smaller, [*keys, value])
+    inside = Window.partitionBy(*keys, value, CHUNK).orderBy(panel.ts)
     return (
-        placed.withColumn("__rn", F.row_number().over(inside))
-        .join(starts, [*panel.keys, "__cell"])
-        .withColumn("rank", F.col("__s") + F.col("__rn"))
-        .drop("__cell", "__s", "__rn")
+        src.withColumn("__rn", F.row_number().over(inside))
+        .join(offsets, [*keys, value, CHUNK])
+        .withColumn("rank", F.col("__smaller") + F.col("__earlier") + F.col("__rn"))
+        .drop(CHUNK, "__rn", "__smaller", "__earlier")
     )
 
 

@@ -36,7 +36,7 @@ class Panel:
     keys: tuple[str, ...] = ("series_id",)
     ts: str = "ts"
     freq: str = "1h"
-    unit_rows: int = 16384
+    unit_rows: int = 8192
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "keys", tuple(self.keys))

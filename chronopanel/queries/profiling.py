@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chronopanel.functions import special
 from chronopanel.operators import profile, quality
 from chronopanel.queries.base import (
     DAILY_PANEL, DAILY_SQL, GAPPY_SQL, GAPS_SQL, HOURLY_PANEL, HOURLY_SQL, QUARTER_PANEL, R, RAW_PANEL, by_user, daily,
@@ -77,7 +78,25 @@ def gap_log_histogram(spark, sf):
     return profile.histogram(gaps, QUARTER_PANEL, "length", 40, log_bins=True)
 
 
-@query("a13_normal_qq")
+def norm_quantile_sql(p: str) -> str:
+    """Acklam's approximation written out in SQL."""
+    def horner(coefs, x):
+        out = repr(coefs[0])
+        for c in coefs[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    tail = lambda q: f"({horner(special._NUM_TAIL, f'sqrt(-2 * ln({q}))')} / ({horner(special._DEN_TAIL, f'sqrt(-2 * ln({q}))')} * sqrt(-2 * ln({q})) + 1))"
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    mid = f"({horner(special._NUM_CENTRAL, r)} * ({p} - 0.5) / ({horner(special._DEN_CENTRAL, r)} * {r} + 1))"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 0.97575 THEN -{tail(f'(1 - {p})')} ELSE {mid} END"
+
+
+@query("a13_normal_qq", f"""WITH r AS (SELECT event_type AS series_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY value, ts) AS rank,
+  count(*) OVER (PARTITION BY event_type) AS n FROM events),
+q AS (SELECT *, CASE WHEN rank = n THEN pow(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - pow(0.5, 1.0 / n)
+                ELSE CAST(rank - 0.3175 AS DOUBLE) / CAST(n + 0.365 AS DOUBLE) END AS p FROM r)
+SELECT series_id, ts, rank, {R('value')} AS ordered, {R(norm_quantile_sql('p'))} AS theoretical FROM q""")
 def normal_qq(spark, sf):
     return profile.qq_pairs(observations(spark, sf), RAW_PANEL, "value")
 

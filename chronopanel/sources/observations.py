@@ -66,12 +66,11 @@ def read_observations(
 ) -> DataFrame:
     """Typed observations; rows without a valid timestamp are dropped.
 
-    ``strict`` checks with one aggregation that some timestamp parsed.
+    ``strict`` fails when no timestamp parses; it stops reading at the first that does.
     """
     text = match_columns(read_text(spark, path, sep, null_token), [*keys, date_col, time_col, *measures])
     rows = to_numbers(parse_times(text, date_col, time_col, fmt), measures)
-    if strict:
-        seen = parse_report(rows).first()
-        if seen.n_rows == seen.n_unparsed:
-            raise PanelError("no timestamp could be parsed; check the delimiter and the date format")
-    return rows.filter(F.col("ts").isNotNull())
+    good = rows.filter(F.col("ts").isNotNull())
+    if strict and good.isEmpty():
+        raise PanelError("no timestamp could be parsed; check the delimiter and the date format")
+    return good
