@@ -7,8 +7,6 @@ matrix costs one exchange for positions and one for blocks, whatever its width.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,27 +84,23 @@ def add_rolling(
         b = composed[n]
         k = n // b
         # One lag of a struct per part: the window operator walks the rows once per lagged column.
-        out = out.withColumn("__part", F.struct(*[F.col(name(s, b)).alias(s) for s in need]))
-        out = out.withColumns({
-            f"__p{i}": F.lag("__part", i * b).over(w) if i else F.col("__part") for i in range(k)
-        })
+        out = out.withColumn("__p0", F.struct(*[F.col(name(s, b)).alias(s) for s in need]))
+        out = out.withColumns({f"__p{i}": F.lag("__p0", i * b).over(w) for i in range(1, k)})
         # A part is null when it is not full, which makes these sums null as well.
-        total = lambda cols: reduce(add, cols)
-        of = lambda s: [F.col(f"__p{i}")[s] for i in range(k)]  # noqa: E731, B023
-        made: dict[str, Column] = {}
-        if "mean" in need:
-            made["mean"] = total(of("mean")) / k
-        if "std" in need:
-            # Deviations within the parts, and of the parts' means from the newest part's mean.
-            inner = total([c * c for c in of("std")]) * (b - 1)
-            shift = [c - of("mean")[0] for c in of("mean")[1:]]
-            between = (total([d * d for d in shift]) - total(shift) * total(shift) / k) * b
-            made["std"] = F.sqrt((inner + between) / (n - 1))
-        for s, pick in (("min", F.least), ("max", F.greatest)):
-            if s in need:
-                made[s] = F.when(total(of(s)).isNotNull(), pick(*of(s)))
-        out = out.withColumns({name(s, n): made[s] for s in need})
-        out = out.drop("__part", *[f"__p{i}" for i in range(k)])
+        of = lambda s, form="{}": " + ".join(form.format(f"__p{i}.{s}") for i in range(k))  # noqa: E731, B023
+        listed = lambda s: ", ".join(f"__p{i}.{s}" for i in range(k))  # noqa: E731, B023
+        shift = [f"(__p{i}.mean - __p0.mean)" for i in range(1, k)]
+        # Deviations within the parts, and of the parts' means from the newest part's mean.
+        inner = f"({of('std', '{0} * {0}')}) * {b - 1}"
+        between = f"({' + '.join(f'{d} * {d}' for d in shift)} - pow({' + '.join(shift)}, 2) / {k}) * {b}"
+        made = {
+            "mean": f"({of('mean')}) / {k}",
+            "std": f"sqrt(({inner} + {between}) / {n - 1})",
+            "min": f"if(({of('min')}) IS NOT NULL, least({listed('min')}), NULL)",
+            "max": f"if(({of('max')}) IS NOT NULL, greatest({listed('max')}), NULL)",
+        }
+        out = out.withColumns({name(s, n): F.expr(made[s]) for s in need})
+        out = out.drop(*[f"__p{i}" for i in range(k)])
     return out.select(*blocks.columns, *[name(s, n) for n in windows for s in stats])
 
 

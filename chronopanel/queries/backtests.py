@@ -37,7 +37,7 @@ def flagship(spark, sf):
     matrix = materialize(features.build_features(
         hourly(spark, sf), HOURLY_PANEL, "value", (1,), (), calendar=False, cyclical=False, holidays=False
     ))
-    folds = fold_plan(matrix, HOURLY_PANEL, **FLAGSHIP_FOLDS, strict=False)
+    folds = fold_plan(matrix, HOURLY_PANEL, **FLAGSHIP_FOLDS, strict=False).persist()
     preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, [forecast.NaiveLag("value_lag_1h", "naive_lag_1h")])
     scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
     scores = evaluate.score(preds, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
@@ -140,7 +140,7 @@ def backtest_naive(spark, sf):
 
 def tree_inputs(spark, sf):
     matrix = materialize(features.build_features(hourly(spark, sf), HOURLY_PANEL, "value", (1, 24), (3, 24)))
-    return matrix, fold_plan(matrix, HOURLY_PANEL, 2, 12, 5, strict=False)
+    return matrix, fold_plan(matrix, HOURLY_PANEL, 2, 12, 5, strict=False).persist()
 
 
 @query("m4_boosted_trees")

@@ -53,7 +53,7 @@ def stationarity(spark, sf):
 
 def arima_inputs(spark, sf):
     h = materialize(hourly(spark, sf))
-    return h, fold_plan(h, HOURLY_PANEL, **{**HOURLY_FOLDS, "n_folds": 3, "train_days": 14}, strict=False)
+    return h, fold_plan(h, HOURLY_PANEL, **{**HOURLY_FOLDS, "n_folds": 3, "train_days": 14}, strict=False).persist()
 
 
 @query("m7_seasonal_arima")

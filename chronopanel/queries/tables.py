@@ -64,7 +64,7 @@ def lag_matrix(spark, sf):
 def stored_plan(spark, sf):
     """The lag matrix, written once because folds, forecasts and scales all read it, and its folds."""
     matrix = materialize(lag_matrix(spark, sf))
-    return matrix, fold_plan(matrix, HOURLY_PANEL, **HOURLY_FOLDS, strict=False)
+    return matrix, fold_plan(matrix, HOURLY_PANEL, **HOURLY_FOLDS, strict=False).persist()
 
 
 @query("s5_prediction_files", f"""WITH {PREDICTIONS_SQL} SELECT series_id, fold, model, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred
