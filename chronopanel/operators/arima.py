@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chronopanel.operators.evaluate import first_n
 from chronopanel.panel import Panel, PanelError, need_columns
 from chronopanel.plans.folds import assign_folds
-from chronopanel.plans.units import attach, over_blocks
+from chronopanel.plans.units import attach, over_blocks, row_index
 from chronopanel.session import materialize
 
 RIDGE = 1e-8
@@ -107,7 +107,10 @@ class SeasonalArima:
             return with_w.withColumns({"__w": at, "__x": x}).drop("__d")
 
         slim = matrix.select(*panel.keys, panel.ts, F.col(target).cast("double").alias(target), *self.exog)
-        rows = over_blocks(slim, panel, lagged, back=self.reach)
+        # Both stages and the forecasts walk the rows again: the narrow rows with their
+        # positions are stored, the wide lag arrays never are.
+        placed = materialize(row_index(slim, panel))
+        rows = over_blocks(placed, panel, lagged, back=self.reach, indexed=True)
         whole = ~F.exists("__w", lambda v: v.isNull()) & ~F.exists("__x", lambda v: v.isNull())
         return rows.filter(whole).select(*panel.keys, panel.ts, target, "__base", "__w", "__x")
 
@@ -131,7 +134,7 @@ class SeasonalArima:
         return theta.select(*panel.keys, "fold", F.explode(pairs).alias("p")).select(*panel.keys, "fold", "p.*")
 
     def _fit(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = materialize(assign_folds(self.history(matrix, panel, target), panel, folds).drop("fold_from"))
+        rows = assign_folds(self.history(matrix, panel, target), panel, folds).drop("fold_from")
         by_fold = Panel((*panel.keys, "fold"), panel.ts, panel.freq, panel.unit_rows)
         train = F.col("role") == "train"
         phi = least_squares(rows.filter(train), by_fold.keys, [self._w(i) for i in self.long_ar], self._w(0), "__phi")

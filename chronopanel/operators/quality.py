@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.operators.evaluate import first_n
 from chronopanel.operators.quantiles import exact_quantiles
 from chronopanel.panel import Panel, PanelError, need_columns
 from chronopanel.plans.units import CHUNK, add_chunk, chunk_window, over_blocks
@@ -309,9 +310,8 @@ def infer_step(df: DataFrame, panel: Panel, first: int | None = None) -> DataFra
         seconds = F.unix_micros(F.col(panel.ts).cast("timestamp")) / F.lit(1e6)
         return blocks.withColumn("__s", seconds).withColumn("__d", F.col("__s") - F.lag("__s", 1).over(w)).drop("__s")
 
-    d = over_blocks(df.select(*panel.keys, panel.ts), panel, spacing, back=1, keep_row=True)
-    if first is not None:
-        d = d.filter(F.col("__row") < first)
+    src = df.select(*panel.keys, panel.ts)
+    d = over_blocks(src if first is None else first_n(src, panel, first), panel, spacing, back=1)
     counts = d.filter(F.col("__d").isNotNull()).groupBy(*panel.keys, "__d").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*panel.keys).agg(
         F.max_by("__d", F.struct(F.col("n"), -F.col("__d"))).alias("step_seconds"),

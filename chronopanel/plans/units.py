@@ -104,9 +104,10 @@ def over_blocks(
     back: int,
     ahead: int = 0,
     keep_row: bool = False,
+    indexed: bool = False,
 ) -> DataFrame:
     """Run ``work(blocks, window)`` on row blocks and return the own rows only."""
-    blocks = row_blocks(df, panel, back, ahead)
+    blocks = row_blocks(df, panel, back, ahead, indexed)
     out = work(blocks, block_window(panel)).filter(~F.col(HALO)).drop(BLOCK, HALO)
     return out if keep_row else out.drop(ROW)
 
