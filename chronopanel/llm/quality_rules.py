@@ -61,8 +61,8 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per input row: id and the counts that the rules read. Null text counts as no words.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words, and of
-    the rules' own: n_lines (with a word), n_upper (A-Z), n_shout (words that end in !!), n_bars
-    (``|`` standing alone).
+    the rules' own: n_unlike (different words), n_lines (with a word), n_upper (A-Z), n_punct (ASCII
+    punctuation), n_shout (pairs of ``!``).
     """
     base = id_and_text(docs, id_col, text_col).withColumn("__text", F.coalesce(F.col("__text"), F.lit("")))
     text = F.col("__text")
@@ -70,15 +70,16 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("bigint")
     return base.select(
         F.col("__id").alias(id_col),
-        _let(_words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeated_words(w).cast("bigint").alias("r"))).alias("__w"),
+        _let(_words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.size(F.array_distinct(w)).cast("bigint").alias("u"), _repeated_words(w).cast("bigint").alias("r"))).alias("__w"),
         (F.length(text).cast("bigint") - count(SPACE_CLASS)).alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
         _let(lines, lambda v: F.struct(F.size(v).cast("bigint").alias("n"), (F.size(v) - F.size(F.array_distinct(v))).cast("bigint").alias("d"))).alias("__l"),
         count("[A-Z]").alias("n_upper"),
+        count(r"[!-/:-@\[-`{-~]").alias("n_punct"),
         count("!!").alias("n_shout"),
     ).select(
         id_col, F.col("__w.n").alias("n_words"), "word_chars", "n_symbols", F.col("__l.d").alias("n_dup_lines"),
-        F.col("__w.r").alias("n_repeat_words"), F.col("__l.n").alias("n_lines"), "n_upper", "n_shout",
+        F.col("__w.r").alias("n_repeat_words"), F.col("__w.u").alias("n_unlike"), F.col("__l.n").alias("n_lines"), "n_upper", "n_punct", "n_shout",
     )
 
 
@@ -100,11 +101,14 @@ def _share(part: str, whole: str) -> Column:
 
 def default_rules() -> list[Rule]:
     length = _share("word_chars", "n_words")
+    # Each kind of junk meets two rules at least: what rules agree on is all that EM can learn from.
     return [
-        Rule("word_length", ~length.between(2.0, 16.0), length.between(3.0, 10.0)),
-        Rule("symbols", _share("n_symbols", "n_words") > 0.2, _share("n_symbols", "n_words") < 0.02),
+        Rule("word_length", ~length.between(2.5, 12.0), length.between(3.5, 7.0)),
+        Rule("symbols", _share("n_symbols", "n_words") > 0.1, _share("n_symbols", "n_words") < 0.02),
+        Rule("punctuation", _share("n_punct", "word_chars") > 0.08, _share("n_punct", "word_chars") < 0.06),
         Rule("repeated_words", _share("n_repeat_words", "n_words") > 0.3, _share("n_repeat_words", "n_words") < 0.1),
-        Rule("repeated_lines", _share("n_dup_lines", "n_lines") > 0.3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 3)),
+        Rule("few_words", _share("n_unlike", "n_words") < 0.3, _share("n_unlike", "n_words") > 0.45),
+        Rule("repeated_lines", _share("n_dup_lines", "n_lines") > 0.35, F.col("n_dup_lines") == 0),
         Rule("capitals", _share("n_upper", "word_chars") > 0.3, _share("n_upper", "word_chars") < 0.1),
         Rule("shouting", _share("n_shout", "n_words") > 0.1, F.col("n_shout") == 0),
     ]
@@ -133,12 +137,12 @@ class LabelModel:
 
 
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
-    """EM on (vote pattern, count). Pseudo-counts worth 1 % of the documents, and 20 at least, say
+    """EM on (vote pattern, count). Pseudo-counts worth 5 % of the documents, and 20 at least, say
     that rules are right more often than wrong; they name the two classes and keep them from
     swapping. Without documents the model is what they say."""
     patterns = sorted(patterns)
     total = sum(n for _, n in patterns)
-    weight = max(20.0, 0.01 * total)
+    weight = max(20.0, 0.05 * total)
     anchor = ([0.3, 0.4, 0.3], [0.01, 0.29, 0.7])
     model = LabelModel(0.8, [[list(anchor[0]), list(anchor[1])] for _ in range(n_rules)])
     last = -math.inf
