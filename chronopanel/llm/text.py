@@ -1,11 +1,8 @@
-"""Column expressions and byte helpers that several text operators share."""
+"""Column expressions that several text operators share."""
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable, Iterator
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,54 +43,3 @@ def same(left: Column, right: Column) -> Column:
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only what the operators read, under names that no column of the caller can clash with."""
     return docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-
-
-# --- bytes inside tasks ---------------------------------------------------------
-
-_BREAKS = bytes(
-    c + 32 if 65 <= c <= 90 else (c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256)
-)
-_ONLY_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def alnum_words(text: bytes) -> list[bytes]:
-    """Words of lower-cased text between `BREAK_CLASS` characters."""
-    return text.translate(_BREAKS).split()
-
-
-def space_words(text: bytes) -> list[bytes]:
-    """Words of lower-cased text between ASCII white space."""
-    return text.translate(_ONLY_LOWER).split()
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose output bits depend on all input bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(words: Iterable[bytes], count: int) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=count)
-
-
-def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One 64-bit number per run of n consecutive word hashes."""
-    size = len(hashes) - n + 1
-    if size <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(size, np.uint64)
-    for i in range(n):
-        out = mix(out * _MIX + hashes[i : i + size])
-    return out
-
-
-def byte_columns(batch, name: str) -> Iterator[bytes | None]:
-    """The values of a binary column of an Arrow batch, one at a time."""
-    for value in batch.column(name):
-        yield value.as_py()
