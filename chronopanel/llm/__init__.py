@@ -4,7 +4,16 @@ Nothing outside this package imports it. Every operator takes a DataFrame and th
 its id and text columns, uses no other column unless it says so, and returns a DataFrame.
 """
 
-from chronopanel.llm import decontamination, kd_shards, license_scan, line_dedup, minhash, mixing, quality_rules  # noqa: F401  (registration)
+from chronopanel.llm import (  # noqa: F401  (registration)
+    decontamination,
+    kd_shards,
+    license_scan,
+    line_dedup,
+    minhash,
+    mixing,
+    quality_rules,
+    repeats,
+)
 from chronopanel.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
