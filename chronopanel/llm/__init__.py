@@ -11,8 +11,10 @@ from chronopanel.llm import (  # noqa: F401  (registration)
     line_dedup,
     minhash,
     mixing,
+    quality_classifier,
     quality_rules,
     repeats,
+    warc,
 )
 from chronopanel.llm.registry import QUERIES, SQL
 
