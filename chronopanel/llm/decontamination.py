@@ -26,6 +26,8 @@ from chronopanel.session import materialize
 SHINGLE = 3
 # Windows that are broadcast at once; a window of 10 words takes 8 shingle numbers.
 BLOCK_WINDOWS = 200_000
+# Keys of documents, 16 bytes each, that may be broadcast.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def row_key(id_col, text_col) -> list:
@@ -161,17 +163,9 @@ def _verified(spark, matches: DataFrame, block: Block, prefixes: dict) -> DataFr
     return matches.filter(F.size("grams") > 0).mapInArrow(verify, schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """A row per input row: id, n_words, n_hit (words inside an occurrence of a window), items (sorted strings), hits
-    (runs of hit words: start, end).
-
-    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
-
-    Null and empty texts have no words and no hits. Items without words match nothing; a null item id is "".
-    Repeated items count once. Rows that share an id are compared one by one. Without items nothing is hit;
-    an empty table gives an empty result. Columns other than id and text are not read.
-    """
+def _find_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int,
+               block_windows: int) -> tuple[DataFrame, DataFrame]:
+    """Per distinct row: (__k1, __k2, n_words) of all, and (.., runs, items, n_hit) of those with a hit."""
     spark = docs.sparkSession
     key = row_key(id_col, text_col)
     windows = materialize(item_windows(items, window, item_id, item_text))
@@ -192,15 +186,39 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     fresh = F.aggregate(
         "runs", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")))["n"]
-    per_doc = materialize(
+    per_doc = (
         hits.groupBy("__k1", "__k2").agg(F.array_distinct(runs).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         .withColumn("n_hit", fresh.cast("bigint")))
-    base = docs.select(F.col(f"`{id_col}`").alias(id_col), *key)
+    return totals, materialize(per_doc)
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """A row per input row: id, n_words, n_hit (words inside an occurrence of a window), items (sorted strings), hits
+    (runs of hit words: start, end).
+
+    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
+
+    Null and empty texts have no words and no hits. Items without words match nothing; a null item id is "".
+    Repeated items count once. Rows that share an id are compared one by one. Without items nothing is hit;
+    an empty table gives an empty result. Columns other than id and text are not read.
+    """
+    totals, per_doc = _find_hits(docs, items, id_col, text_col, item_id, item_text, window, block_windows)
+    base = docs.select(F.col(f"`{id_col}`").alias(id_col), *row_key(id_col, text_col))
     return base.join(totals, ["__k1", "__k2"]).join(per_doc, ["__k1", "__k2"], "left").select(
         id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("runs").alias("hits"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, all columns kept. Cases are settled as in `contamination`."""
+    _, per_doc = _find_hits(docs, items, id_col, text_col, item_id, item_text, window, block_windows)
+    gone = per_doc.select("__k1", "__k2")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
+    return docs.select("*", *row_key(id_col, text_col)).join(gone, ["__k1", "__k2"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 @query(
     "op10_decontamination",
     r"""

@@ -202,6 +202,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the smallest id; all columns are kept.
+
+    Rows that share a kept id are one document: of them the least text stays, and of equal texts one. Null ids and
+    texts without words are groups of their own, and all their rows stay, whatever id they share.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, percent=percent, **options))
+    lone = F.col("__n") == 0
+    narrow = found.select(F.col(f"`{id_col}`").alias("__i"), F.col("n_shingles").alias("__n"), F.col("kept").alias("__kept"))
+    narrow = narrow.filter(F.col("__i").isNotNull() & ~lone)
+    gone = materialize(narrow.filter(~F.col("__kept")).select("__i").distinct())
+    twice = materialize(narrow.filter("__kept").groupBy("__i").count().filter("count > 1").select("__i"))
+    small = lambda t: F.broadcast(t) if t.count() <= MAX_BROADCAST_ROWS else t
+    on = F.col(f"`{id_col}`") == F.col("__i")
+    left = docs.join(small(gone), on, "left_anti")
+    if not twice.limit(1).count():
+        return left
+    few = small(twice)
+    again = left.join(few, on, "left_semi").groupBy(F.col(f"`{id_col}`").alias("__i")).agg(
+        F.min(F.struct(F.col(f"`{text_col}`").alias("__t"), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+    return left.join(few, on, "left_anti").unionByName(again.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+
+
 @query(
     "op2_minhash_near_dedup",
     r"""
