@@ -216,7 +216,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     _, per_doc = _find_hits(docs, items, id_col, text_col, item_id, item_text, window, block_windows)
     gone = per_doc.select("__k1", "__k2")
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
-    return docs.select("*", *row_key(id_col, text_col)).join(gone, ["__k1", "__k2"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    # The caller's columns travel in a struct, so that none clashes with those in use here.
+    return docs.select(F.struct("*").alias("__row"), *row_key(id_col, text_col)).join(gone, ["__k1", "__k2"], "left_anti").select("__row.*")
 
 
 @query(

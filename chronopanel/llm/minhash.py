@@ -215,14 +215,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(narrow.filter(~F.col("__kept")).select("__i").distinct())
     twice = materialize(narrow.filter("__kept").groupBy("__i").count().filter("count > 1").select("__i"))
     small = lambda t: F.broadcast(t) if t.count() <= MAX_BROADCAST_ROWS else t
-    on = F.col(f"`{id_col}`") == F.col("__i")
-    left = docs.join(small(gone), on, "left_anti")
-    if not twice.limit(1).count():
-        return left
-    few = small(twice)
-    again = left.join(few, on, "left_semi").groupBy(F.col(f"`{id_col}`").alias("__i")).agg(
-        F.min(F.struct(F.col(f"`{text_col}`").alias("__t"), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-    return left.join(few, on, "left_anti").unionByName(again.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+    # The caller's columns travel in a struct, so that none clashes with those in use here.
+    rows = docs.select(F.struct("*").alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"))
+    left = rows.join(small(gone), F.col("__id") == F.col("__i"), "left_anti")
+    if twice.limit(1).count():
+        few = small(twice)
+        again = left.join(few, F.col("__id") == F.col("__i"), "left_semi").groupBy("__id").agg(F.min(F.struct("__t", "__row")).alias("__x"))
+        left = left.join(few, F.col("__id") == F.col("__i"), "left_anti").select("__row").unionByName(again.select("__x.__row"))
+    return left.select("__row.*")
 
 
 @query(

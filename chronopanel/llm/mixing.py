@@ -171,16 +171,16 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     taken = mix_documents(docs, id_col, text_col, source_col, **options)
     # Rows are told apart by id, source and size; those alike in all three share alike.
-    key = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), F.col("size")]
     at = lambda cols: [F.xxhash64(*cols).alias("__k1"), F.xxhash64(F.lit(7), *cols[::-1]).alias("__k2")]
+    key = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), F.col("size")]
     share = materialize(taken.select(*at(key), "size", "taken").groupBy("__k1", "__k2").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__share")))
     lot = F.pmod(F.xxhash64("__k1", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
     copies = share.withColumn("__copies", F.floor(F.col("__share") + lot).cast("int")).filter("__copies > 0").select("__k1", "__k2", "__copies")
     mine = [key[0], key[1], word_count(F.col(f"`{text_col}`"))]
-    names = [f"`{c}`" for c in docs.columns]
+    # The caller's columns travel in a struct, so that none clashes with those in use here.
     return (
-        docs.select("*", *at(mine)).join(copies, ["__k1", "__k2"])
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+        docs.select(F.struct("*").alias("__row"), *at(mine)).join(copies, ["__k1", "__k2"])
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")
     )
 
 

@@ -137,13 +137,13 @@ class LabelModel:
 
 
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200, tolerance: float = 1e-9) -> LabelModel:
-    """EM on (vote pattern, count). Pseudo-counts worth 5 % of the documents, and 20 at least, say
+    """EM on (vote pattern, count). Pseudo-counts worth 1 % of the documents, and 50 at least, say
     that rules are right more often than wrong; they name the two classes and keep them from
     swapping. Without documents the model is what they say."""
     patterns = sorted(patterns)
     total = sum(n for _, n in patterns)
-    weight = max(20.0, 0.05 * total)
-    anchor = ([0.3, 0.4, 0.3], [0.01, 0.29, 0.7])
+    weight = max(50.0, 0.01 * total)
+    anchor = ([0.25, 0.15, 0.6], [0.01, 0.14, 0.85])
     model = LabelModel(0.8, [[list(anchor[0]), list(anchor[1])] for _ in range(n_rules)])
     last = -math.inf
     for step in range(rounds):

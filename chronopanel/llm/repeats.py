@@ -8,8 +8,10 @@ holds one anchor, the least of its grams of ``gram`` bytes by hash, and equal wi
 
 1. the first digit of a suffix is its anchor gram. Windows in a row share an anchor: they are one row, a segment;
 2. the second is all the bytes under a segment. Segments equal in it are repeated as a whole;
-3. where an anchor stands in segments that differ, the last digit is the window itself, one row per window and
-   distinct segment.
+3. where an anchor stands in segments that differ, windows are taken by blocks of 16 in a row, counted from the anchor.
+   The digit is the bytes that all 16 share, and then the bytes under any of them: a block alone in the first
+   holds no repeated window, blocks equal in the second hold nothing else;
+4. for the blocks that are left, the last digit is the window itself.
 
 Passes are Spark aggregations by hash. A common string is counted before it is dealt out.
 """
@@ -31,6 +33,8 @@ from chronopanel.llm.registry import query, table
 from chronopanel.session import materialize
 
 LENGTH, GRAM = 400, 128
+# Windows to a block. Less than the bytes that a window has besides its anchor.
+BLOCK = 16
 # A text is read in pieces of so many windows, with the bytes that the last ones need.
 PIECE = 1 << 20
 PLACE_BITS = 22
@@ -79,7 +83,7 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram hash, two hashes of the bytes under the segment, first window, last window) of each, piece by piece."""
+    """(gram hash, two hashes of the bytes under the segment, first window, last window, anchor) of each, piece by piece."""
     for at in range(0, max(len(text) - length + 1, 0), PIECE):
         data = np.frombuffer(text, np.uint8, min(PIECE + length - 1, len(text) - at), at)
         one, two = Rolling(data, 21), Rolling(data, 31)
@@ -90,13 +94,20 @@ def segments(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray,
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
         end = last + length
-        yield grams[place[first]], one.of(first, end), two.of(first, end), first + at, last + at
+        yield grams[place[first]], one.of(first, end), two.of(first, end), first + at, last + at, place[first] + at
 
 
-def windows(text: bytes, first: int, last: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window from ``first`` to ``last``."""
-    data = np.frombuffer(text, np.uint8, last - first + length, first)
-    return Rolling(data, 41).all_of(length), Rolling(data, 51).all_of(length)
+def blocks(data: bytes, anchor: int, length: int) -> tuple[np.ndarray, ...]:
+    """Of a segment's bytes and the place of its anchor in them: (hash of what all windows of a block share, two hashes of
+    the bytes under the segment's windows of the block, first window, last window) of each block."""
+    part = np.frombuffer(data, np.uint8)
+    one, two = Rolling(part, 41), Rolling(part, 51)
+    windows = len(part) - length + 1
+    number = (np.arange(windows) - anchor) // BLOCK
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    last = np.append(first[1:], windows) - 1
+    begin = number[first] * BLOCK + anchor  # of the whole block, which the segment may hold a part of
+    return one.of(begin + BLOCK - 1, begin + length), one.of(first, last + length), two.of(first, last + length), first, last
 
 
 def _signed(parts: list[np.ndarray]) -> pa.Array:
@@ -118,7 +129,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in in_pieces(batches, ["__k1", "__k2"], "text"):
-            row, out = [], [[] for _ in range(5)]
+            row, out = [], [[] for _ in range(6)]
             for i, text in enumerate(texts):
                 for part in segments(text, length, gram):
                     row.append(np.full(len(part[0]), i))
@@ -126,46 +137,68 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
                         o.append(p)
             take = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids["__k1"].take(take), ids["__k2"].take(take), *map(_signed, out)], names=["__k1", "__k2", "g", "c1", "c2", "first", "last"])
+                [ids["__k1"].take(take), ids["__k2"].take(take), *map(_signed, out)], names=["__k1", "__k2", "g", "c1", "c2", "first", "last", "anchor"])
 
     src = docs.filter(F.octet_length(F.col(f"`{text_col}`")) >= length).select(*key, F.col(f"`{text_col}`").cast("binary").alias("text"))
-    found = materialize(src.mapInArrow(cut, "__k1 bigint, __k2 bigint, g bigint, c1 bigint, c2 bigint, first bigint, last bigint"))
+    found = materialize(src.mapInArrow(cut, "__k1 bigint, __k2 bigint, g bigint, c1 bigint, c2 bigint, first bigint, last bigint, anchor bigint"))
     # Pass 1: anchors that stand in one place only hold no repeated window.
     often = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    live = materialize(found.join(often, "g"))
     # Pass 2: equal segments. One of each stands for all.
-    groups = materialize(
-        found.join(often, "g").groupBy("g", "c1", "c2")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("__k1", "__k2", "first", "last")]))
-    whole = found.join(groups.filter("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("__k1", "__k2", "first", "last")
-    # Pass 3: anchors with segments that differ, of which one at least is not yet known to be repeated.
+    place = ("__k1", "__k2", "first", "last", "anchor")
+    groups = materialize(live.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in place]))
+    whole = live.join(groups.filter("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("__k1", "__k2", "first", "last")
+    # Anchors with segments that differ, of which one at least is not yet known to be repeated, go on with their bytes.
     unlike = groups.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("g")
-    mixed = materialize(groups.join(unlike, "g", "left_semi").select("__k1", "__k2", "n", "first", "last"))
-    per_doc = mixed.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("n", "first", "last")).alias("parts"))
+    mixed = materialize(groups.join(unlike, "g", "left_semi").select("n", *place))
+    per_doc = mixed.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("n", "first", "last", "anchor")).alias("parts"))
     texts = _with_text(docs, key, text_col, mixed).dropDuplicates(["__k1", "__k2"])
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts_ in in_pieces(batches, ["__k1", "__k2", "parts"], "text"):
-            row, w1, w2, n, start = [], [], [], [], []
-            for i, (text, parts) in enumerate(zip(texts_, ids["parts"].to_pylist(), strict=True)):
-                for p in parts:
-                    a, b = windows(text, p["first"], p["last"], length)
-                    w1.append(a), w2.append(b)
-                    row.append(np.full(len(a), i)), n.append(np.full(len(a), p["n"]))
-                    start.append(np.arange(p["first"], p["last"] + 1))
-                if sum(map(len, w1)) > 500_000:
-                    yield batch(ids, row, w1, w2, n, start)
-                    row, w1, w2, n, start = [], [], [], [], []
-            yield batch(ids, row, w1, w2, n, start)
-
-    def batch(ids, row, w1, w2, n, start) -> pa.RecordBatch:
-        take = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))
-        return pa.RecordBatch.from_arrays(
-            [ids["__k1"].take(take), ids["__k2"].take(take), *map(_signed, (w1, w2, n, start))], names=["__k1", "__k2", "w1", "w2", "n", "start"])
-
-    single = materialize(texts.join(per_doc, ["__k1", "__k2"]).mapInArrow(expand, "__k1 bigint, __k2 bigint, w1 bigint, w2 bigint, n bigint, start bigint"))
-    twice = single.groupBy("w1", "w2").agg(F.sum("n").alias("m")).filter("m > 1").select("w1", "w2")
-    starts = single.filter("n = 1").join(twice, ["w1", "w2"], "left_semi").select("__k1", "__k2", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(starts)
+    open_segments = materialize(
+        texts.join(per_doc, ["__k1", "__k2"]).select("__k1", "__k2", "text", F.explode("parts").alias("p"))
+        .select("__k1", "__k2", "p.*", F.substring("text", F.col("p.first").cast("int") + 1, (F.col("p.last") - F.col("p.first")).cast("int") + length).alias("text"))
+        .withColumn("anchor", F.col("anchor") - F.col("first")))
+    # Pass 3: blocks of windows.
+    ids = ["__k1", "__k2", "n", "first"]
+    in_blocks = materialize(_expand(open_segments, [*ids, "anchor"], ids, lambda text, row: blocks(text, row["anchor"], length), ("core", "u1", "u2", "lo", "hi")))
+    shared = in_blocks.groupBy("core").agg(F.sum("n").alias("m")).filter("m > 1").select("core")
+    kinds = in_blocks.join(shared, "core", "left_semi").groupBy("core", "u1", "u2").agg(F.sum("n").alias("m"), *[F.first(c).alias(c) for c in (*ids, "lo", "hi")])
+    kinds = materialize(kinds)
+    run = lambda t: t.select("__k1", "__k2", (F.col("first") + F.col("lo")).alias("first"), (F.col("first") + F.col("hi")).alias("last"))
+    # A block that is alone stands for itself; equal ones are looked up again.
+    equal = run(in_blocks.filter("n = 1").join(kinds.filter("m > 1").select("core", "u1", "u2"), ["core", "u1", "u2"], "left_semi"))
+    unsure = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("core")
+    # Pass 4: single windows of one block of each kind.
+    asked = kinds.join(unsure, "core", "left_semi").groupBy("__k1", "__k2", "n", "first").agg(F.collect_list(F.struct("lo", "hi", "m")).alias("wanted"))
+    single = materialize(_expand(open_segments.join(asked, ids), [*ids, "wanted"], ["__k1", "__k2", "first"], lambda text, row: _windows(text, row["wanted"], length), ("w1", "w2", "at", "m")))
+    twice = single.groupBy("w1", "w2").agg(F.sum("m").alias("m")).filter("m > 1").select("w1", "w2")
+    starts = single.filter("m = 1").join(twice, ["w1", "w2"], "left_semi").select("__k1", "__k2", (F.col("first") + F.col("at")).alias("first"))
+    return whole.unionByName(equal).unionByName(starts.withColumn("last", F.col("first")))
+
+
+def _windows(data: bytes, wanted: list[dict], length: int) -> tuple[np.ndarray, ...]:
+    """(two hashes, place, weight) of each single window of some blocks of a segment."""
+    part = np.frombuffer(data, np.uint8)
+    at = np.concatenate([np.arange(w["lo"], w["hi"] + 1) for w in wanted])
+    weight = np.concatenate([np.full(w["hi"] - w["lo"] + 1, w["m"]) for w in wanted])
+    return Rolling(part, 61).of(at, at + length), Rolling(part, 71).of(at, at + length), at, weight
+
+
+def _expand(segments_: DataFrame, read: list[str], keep: list[str], work, names: tuple[str, ...]) -> DataFrame:
+    """Rows (``keep``, ``names``) that ``work(bytes, row)`` makes of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in in_pieces(batches, read, "text"):
+            rows = pa.RecordBatch.from_pydict(ids).to_pylist()
+            index, out = [], [[] for _ in names]
+            for i, (text, row) in enumerate(zip(texts, rows, strict=True)):
+                made = work(text, row)
+                index.append(np.full(len(made[0]), i))
+                for o, m in zip(out, made, strict=True):
+                    o.append(m)
+            take = pa.array(np.concatenate(index) if index else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(ids[c].take(take) for c in keep), *map(_signed, out)], names=[*keep, *names])
+
+    return segments_.select(*read, "text").mapInArrow(run, ", ".join(f"`{c}` bigint" for c in (*keep, *names)))
 
 
 def _removed(text: bytes, first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
