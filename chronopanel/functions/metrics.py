@@ -13,8 +13,19 @@ Metric = Callable[[str, str], Column]
 MAPE_FLOOR = 1e-6
 
 
+def paired(y: str, yhat: str) -> Column:
+    """Whether truth and forecast are both there: neither null nor NaN."""
+    both = F.col(y).isNotNull() & F.col(yhat).isNotNull()
+    return both & ~F.isnan(F.col(y).cast("double")) & ~F.isnan(F.col(yhat).cast("double"))
+
+
+def _truth(y: str, yhat: str) -> Column:
+    return F.when(paired(y, yhat), F.col(y))
+
+
 def abs_error(y: str, yhat: str) -> Column:
-    return F.abs(F.col(y) - F.col(yhat))
+    """Null where the pair is incomplete, so that every metric is over the same rows."""
+    return F.when(paired(y, yhat), F.abs(F.col(y) - F.col(yhat)))
 
 
 def mae(y: str, yhat: str) -> Column:
@@ -22,18 +33,18 @@ def mae(y: str, yhat: str) -> Column:
 
 
 def rmse(y: str, yhat: str) -> Column:
-    e = F.col(y) - F.col(yhat)
+    e = abs_error(y, yhat)
     return F.sqrt(F.avg(e * e))
 
 
 def wape(y: str, yhat: str) -> Column:
     """Null when the total of the truth is zero."""
-    return F.try_divide(F.sum(abs_error(y, yhat)), F.sum(F.abs(F.col(y))))
+    return F.try_divide(F.sum(abs_error(y, yhat)), F.sum(F.abs(_truth(y, yhat))))
 
 
 def smape(y: str, yhat: str) -> Column:
     """A point where both values are zero counts as zero."""
-    half = (F.abs(F.col(y)) + F.abs(F.col(yhat))) / 2
+    half = F.when(paired(y, yhat), (F.abs(F.col(y)) + F.abs(F.col(yhat))) / 2)
     return F.avg(F.when(half == 0, F.lit(0.0)).otherwise(abs_error(y, yhat) / half))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.functions.metrics import METRICS, PERCENT_METRICS, Metric, mae
+from chronopanel.functions.metrics import METRICS, PERCENT_METRICS, Metric, mae, paired
 from chronopanel.functions.special import t_p_value
 from chronopanel.panel import Panel, PanelError
 from chronopanel.plans.folds import assign_folds
@@ -15,6 +15,8 @@ from chronopanel.plans.units import CHUNK, add_chunk, over_blocks
 
 LEADERBOARD_METRICS = ("MAE", "RMSE", "WAPE", "sMAPE", "MASE")
 SEASON = 24
+# What `score` adds besides rows and metrics.
+CHECKS = ("paired_rows", "missing_predictions", "undefined")
 
 
 def mase_scale(
@@ -62,17 +64,24 @@ def score(
 ) -> DataFrame:
     """All metrics of one group-by. With ``scale`` (from `mase_scale`) adds MASE.
 
-    Undefined values are null and ``undefined`` names them.
+    A row counts when truth and forecast are both there (``paired_rows``); ``missing_predictions`` are rows
+    with a truth and without a forecast. Undefined values are null and ``undefined`` names them, and also
+    ``missing_predictions`` where there are some.
     """
+    pair, nan = paired(y, yhat), F.isnan(F.col(y).cast("double"))
     out = predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("valid_rows"), *[fn(y, yhat).alias(n) for n, fn in metrics.items()]
+        F.count(F.lit(1)).alias("valid_rows"), F.count_if(pair).alias("paired_rows"),
+        F.count_if(F.col(y).isNotNull() & ~F.coalesce(nan, F.lit(False)) & ~pair).alias("missing_predictions"),
+        *[fn(y, yhat).alias(n) for n, fn in metrics.items()],
     )
     names = list(metrics)
     if scale is not None:
         out = out.join(scale.select(*scale_on, "scale"), list(scale_on), "left")
         out = out.withColumn("MASE", F.col("MAE") / F.col("scale")).drop("scale")
         names.append("MASE")
-    why = F.concat_ws(",", *[F.when(F.col(n).isNull(), F.lit(n)) for n in names])
+    out = out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    lost = F.when(F.col("missing_predictions") > 0, F.lit("missing_predictions"))
+    why = F.concat_ws(",", *[F.when(F.col(n).isNull(), F.lit(n)) for n in names], lost)
     if decimals is not None:
         out = out.withColumns({n: F.round(n, decimals) for n in names})
     return out.withColumn("undefined", why)
@@ -93,15 +102,25 @@ def leaderboard(
     metrics: Sequence[str] = LEADERBOARD_METRICS,
     decimals: int = 4,
 ) -> DataFrame:
-    """Mean and sample deviation of each metric over folds, best MAE first."""
+    """Mean and sample deviation of each metric over folds, best MAE first.
+
+    ``n_folds`` counts a model's folds and ``n_undefined`` those in which some metric is undefined; its means are over
+    the others, so a model with any comes after all those without.
+    """
+    holes = F.col(metrics[0]).isNull()
+    for m in metrics[1:]:
+        holes = holes | F.col(m).isNull()
     aggs = [
         fn(m).alias(f"{m}_{label}")
         for m in metrics
         for label, fn in (("mean", F.avg), ("std", F.stddev_samp))
     ]
-    out = fold_results.groupBy(*keys, "model").agg(*aggs)
-    rounded = [F.round(c, decimals).alias(c) for c in out.columns if c not in {*keys, "model"}]
-    return out.select(*keys, "model", *rounded).orderBy(*keys, f"{metrics[0]}_mean", "model")
+    counts = [F.count(F.lit(1)).alias("n_folds"), F.count_if(holes).alias("n_undefined")]
+    out = fold_results.groupBy(*keys, "model").agg(*counts, *aggs)
+    rounded = [F.round(c, decimals).alias(c) for c in out.columns if c not in {*keys, "model", "n_folds", "n_undefined"}]
+    return out.select(*keys, "model", "n_folds", "n_undefined", *rounded).orderBy(
+        *keys, F.col("n_undefined") > 0, F.col(f"{metrics[0]}_mean").asc_nulls_last(), "model"
+    )
 
 
 def fold_leaderboard(results: DataFrame, fold: int, order: str = "MAE") -> DataFrame:
@@ -210,7 +229,7 @@ def residual_summary(
     """MAE and RMSE over the first rows of each fold's validation window."""
     keyed = Panel((*panel.keys, *by), panel.ts, panel.freq, panel.unit_rows)
     head = first_n(predictions, keyed, first_rows)
-    return score(head, [*panel.keys, *by], {"MAE": METRICS["MAE"], "RMSE": METRICS["RMSE"]}).drop("undefined")
+    return score(head, [*panel.keys, *by], {"MAE": METRICS["MAE"], "RMSE": METRICS["RMSE"]}).drop(*CHECKS)
 
 
 def first_n(df: DataFrame, panel: Panel, n: int, last: bool = False) -> DataFrame:

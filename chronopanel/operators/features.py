@@ -14,7 +14,8 @@ from pyspark.sql.window import WindowSpec
 
 from chronopanel.functions.calendar import calendar_columns, cyclical_columns, holiday_flag
 from chronopanel.operators.registry import Registry, default_registry
-from chronopanel.panel import Panel, PanelError, need_columns
+from chronopanel.panel import Panel, PanelError, missing_as_null, need_columns
+from chronopanel.plans.folds import assign_folds
 from chronopanel.plans.units import attach, over_blocks, over_spans
 
 # The default feature set, and the wider lag set of the earlier variant.
@@ -167,7 +168,7 @@ def build_features(
         *(cyclical_columns(panel.ts) if cyclical else []),
         *([holiday_flag(panel.ts)] if holidays else []),
     ]
-    base = df.select(*panel.keys, panel.ts, target, *carried)
+    base = missing_as_null(df.select(*panel.keys, panel.ts, target, *carried), [target, *carried])
     out = past_features(base, panel, target, lags, windows, stats, mode, extra)
     features = [c for c in out.columns if c not in {*panel.keys, panel.ts, target}]
     registry.check(features, strict)
@@ -205,12 +206,21 @@ def zscore_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def training_stats(df: DataFrame, panel: Panel, value: str, folds: DataFrame, fold: int) -> DataFrame:
+    """Mean and deviation of one fold's training rows, for `sequence_samples`: nothing of later rows leaks."""
+    one = folds.filter(F.col("fold") == fold)
+    train = assign_folds(df.select(*panel.keys, panel.ts, value), panel, one, roles=("train",))
+    return zscore_stats(missing_as_null(train, [value]), panel.keys, value)
+
+
 def sequence_samples(df: DataFrame, panel: Panel, value: str, lookback: int, stats: DataFrame | None = None) -> DataFrame:
     """``lookback`` past normalised values as an array, and the next value.
 
-    Rows without a full history are dropped. The result is ``lookback`` times
-    the input, so consume it directly rather than storing it.
+    Rows without a full history, or without a next value, are dropped. The result is ``lookback`` times
+    the input, so consume it directly rather than storing it. Without ``stats`` the whole series is normalised with
+    its own mean and deviation; for a backtest pass those of the training rows (`training_stats`).
     """
+    df = missing_as_null(df, [value])
     stats = zscore_stats(df, panel.keys, value) if stats is None else stats
     z = ((F.col(value) - F.col("train_mean")) / F.col("train_std")).cast("float")
     src = attach(df.select(*panel.keys, panel.ts, value), panel, stats)
@@ -219,7 +229,7 @@ def sequence_samples(df: DataFrame, panel: Panel, value: str, lookback: int, sta
     def windows(blocks: DataFrame, w: WindowSpec) -> DataFrame:
         return blocks.withColumn("history", F.collect_list("next_value").over(w.rowsBetween(-lookback, -1)))
 
-    return over_blocks(src, panel, windows, back=lookback).filter(F.size("history") == lookback)
+    return over_blocks(src, panel, windows, back=lookback).filter((F.size("history") == lookback) & F.col("next_value").isNotNull())
 
 
 def denormalise(value: Column) -> Column:

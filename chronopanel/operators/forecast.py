@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.features import feature_names
-from chronopanel.panel import Panel, PanelError, need_columns
+from chronopanel.panel import Panel, PanelError, missing_as_null, need_columns
 from chronopanel.plans.folds import assign_folds
 from chronopanel.plans.units import small_join
 from chronopanel.session import ensure_checkpoint_dir, materialize
@@ -90,15 +90,20 @@ def seasonal_naive_path(history: DataFrame, panel: Panel, target: str, origin: D
     """Multi-step forecast that repeats the last season before each origin.
 
     ``origin`` holds ``(keys, origin)``; step h takes the value h - ceil(h / season)
-    seasons back, found by time, so it is one join on series and time.
+    seasons back, found by time, so it is one join on series and time. Every step comes out: where nothing was
+    observed there, ``y_pred`` is null and ``reason`` says so.
     """
     steps = origin.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     back = F.ceil(F.col("h") / season) * season
     at = lambda n: (F.col("origin").cast("timestamp") + F.make_dt_interval(secs=n * panel.step)).cast("timestamp_ntz")
     wanted = steps.withColumn("__src", at(F.col("h") - back)).withColumn(panel.ts, at(F.col("h")))
-    past = history.select(*panel.keys, F.col(panel.ts).alias("__src"), F.col(target).alias("y_pred"))
-    return small_join(past, wanted, [*panel.keys, "__src"], fallback=lambda: past.join(wanted, [*panel.keys, "__src"])).select(
-        *panel.keys, "origin", "h", panel.ts, "y_pred"
+    past = missing_as_null(history, [target]).select(*panel.keys, F.col(panel.ts).alias("__src"), F.col(target).alias("y_pred"))
+    on = [*panel.keys, "__src"]
+    # The history is looked up first, so that only rows of some step are joined to the steps.
+    hit = small_join(past, wanted, on, fallback=lambda: past.join(wanted, on)).select(*panel.keys, "origin", "h", "y_pred", F.lit(True).alias("__hit"))
+    reason = F.when(F.col("__hit").isNull(), "no observation a season back").when(F.col("y_pred").isNull(), "missing value a season back")
+    return wanted.join(hit, [*panel.keys, "origin", "h"], "left").select(
+        *panel.keys, "origin", "h", panel.ts, "y_pred", reason.alias("reason")
     )
 
 

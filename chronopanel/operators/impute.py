@@ -10,7 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from chronopanel.operators.quality import SHORT_GAP_ROWS, any_null, gap_summary
 from chronopanel.operators.resample import resample
-from chronopanel.panel import Panel, PanelError
+from chronopanel.panel import Panel, PanelError, missing_as_null
 from chronopanel.plans.units import over_blocks, small_join
 
 
@@ -23,7 +23,7 @@ def fill_gaps(
 ) -> DataFrame:
     """Forward-fill gaps of up to k rows; null out and flag longer ones.
 
-    A row is missing when any measure is null. Whether its run is longer than
+    A row is missing when any measure is null or NaN. Whether its run is longer than
     k shows within k rows on either side, so blocks with that halo are exact.
     With ``remask=False`` the first k rows of a long gap keep their fill.
     Adds ``is_originally_missing`` and ``is_outage_gap``.
@@ -32,6 +32,8 @@ def fill_gaps(
         raise PanelError("k must be at least 1")
     measures = list(panel.measures_of(df) if measures is None else measures)
 
+    df = missing_as_null(df, measures)
+
     def policy(blocks: DataFrame, w: WindowSpec) -> DataFrame:
         # The nearest present row before and after, within k+1 rows, bounds the run.
         row = F.when(~F.col("__m"), F.col("__row"))
@@ -65,7 +67,7 @@ def seasonal_mean_fill(df: DataFrame, panel: Panel, measure: str) -> DataFrame:
     Only the 24 means per series are joined back, not a window over the series.
     """
     hour = F.hour(panel.ts).cast("int")
-    keyed = df.withColumn("__hour", hour)
+    keyed = missing_as_null(df, [measure]).withColumn("__hour", hour)
     means = keyed.groupBy(*panel.keys, "__hour").agg(F.avg(measure).alias("__mean"))
     on = [*panel.keys, "__hour"]
 
@@ -101,6 +103,7 @@ def preprocess_report(
         F.count_if(F.col("length") > k).alias("n_long_gaps_preserved"),
         F.max("length").alias("longest_gap_rows"),
     )
+    df = missing_as_null(df, measures)
     rows_in = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_rows"))
     rows_out = preprocess(df, panel, freq, how, k, measures).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("output_rows"),

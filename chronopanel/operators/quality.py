@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.evaluate import first_n
 from chronopanel.operators.quantiles import exact_quantiles
-from chronopanel.panel import Panel, PanelError, need_columns
+from chronopanel.panel import Panel, PanelError, missing_as_null, need_columns
 from chronopanel.plans.units import CHUNK, add_chunk, chunk_window, over_blocks
 
 # The columns of the household power panel and their plausible ranges.
@@ -37,9 +37,7 @@ def all_null(measures: Sequence[str]) -> Column:
     return out
 
 
-def nan_to_null(df: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Spark keeps NaN apart from null; panels treat both as missing."""
-    return df.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in measures})
+nan_to_null = missing_as_null
 
 
 # --- validation ---------------------------------------------------------------
@@ -58,8 +56,9 @@ def validate(
     """
     present = [m for m in measures if m in df.columns]
     types = dict(df.dtypes)
-    numeric = [m for m in present if types[m] in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    numeric = [m for m in present if m in panel.measures_of(df.select(m))]
     bounds = dict(bounds or {})
+    per_series = None
     aggs: list[tuple[str, Column, str]] = [
         ("rows_present", (F.count(F.lit(1)) == 0).cast("bigint"), "the frame has no rows"),
         ("null_key_or_time", F.count_if(any_null([*panel.keys, panel.ts])), "null series key or timestamp"),
@@ -74,8 +73,8 @@ def validate(
         if hi is not None:
             aggs.append((f"{m}_above_{hi:g}", F.count_if(F.col(m) > hi), f"values over {hi:g}"))
     if min_rows is not None:
-        short = F.greatest(F.lit(min_rows) - F.count(F.lit(1)), F.lit(0))
-        aggs.append(("row_sufficiency", short, f"rows short of the {min_rows} the fold plan needs"))
+        short = F.sum(F.greatest(F.lit(min_rows) - F.col("__rows"), F.lit(0)))
+        per_series = ("row_sufficiency", short, f"rows that series are short of the {min_rows} each that the fold plan needs")
     entries = [
         F.struct(F.lit(n).alias("check_name"), F.coalesce(c, F.lit(0)).cast("bigint").alias("failed_rows"),
                  F.lit(msg).alias("message"))
@@ -89,7 +88,22 @@ def validate(
         .select(F.lit("duplicate_timestamps").alias("check_name"), "failed_rows",
                 F.lit("repeated timestamps within a series").alias("message"))
     )
-    return battery.unionByName(repeats)
+    out = battery.unionByName(repeats)
+    if per_series:
+        name, failed, message = per_series
+        rows = df.groupBy(*panel.keys).agg(F.count(F.lit(1)).alias("__rows"))
+        # Without any row, one series is short by all of them.
+        failed = rows.agg(F.coalesce(failed, F.lit(min_rows)).cast("bigint").alias("failed_rows"))
+        out = out.unionByName(failed.select(F.lit(name).alias("check_name"), "failed_rows", F.lit(message).alias("message")))
+    return out
+
+
+def validation_summary(df: DataFrame, panel: Panel, measures: Sequence[str]) -> DataFrame:
+    """Per series: rows, rows with a missing measure, first and last time."""
+    return missing_as_null(df, measures).groupBy(*panel.keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(any_null(measures)).alias("rows_with_missing"),
+        F.min(panel.ts).alias("first_time"), F.max(panel.ts).alias("last_time"),
+    )
 
 
 def require_valid(report: DataFrame) -> None:
@@ -107,21 +121,25 @@ def fold_plan_rows(n_folds: int, train_days: int, valid_days: int, step: int) ->
 # --- missingness --------------------------------------------------------------
 
 def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: type, null percentage, distinct count, minimum, median, maximum."""
+    """Per column: type, missing percentage, distinct count, and of values that are numbers minimum, median, maximum."""
     types = dict(df.dtypes)
+    df = missing_as_null(df.select(*columns), columns)
+    floats = ("double", "float")
+    # Distinct values are told apart by their text, which keeps long integers exact; numbers as such give the rest.
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
-                 F.col(c).cast("double").alias("v")) for c in columns
+                 (F.col(c).cast("double") if types[c] in floats or types[c].startswith("decimal") else F.col(c).try_cast("double")).alias("v"),
+                 F.col(c).cast("string").alias("t")) for c in columns
     ])
     long = df.select(F.explode(pairs).alias("e")).select("e.*")
     # Counting per distinct value first keeps the distinct count mergeable.
     stats = (
-        long.groupBy("column_name", "dtype", "v")
+        long.groupBy("column_name", "dtype", "v", "t")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("column_name", "dtype")
         .agg(
-            (F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("missing_pct"),
-            F.count("v").alias("n_unique"),
+            (F.sum(F.when(F.col("t").isNull(), F.col("n")).otherwise(0)) / F.sum("n") * 100).alias("missing_pct"),
+            F.count("t").alias("n_unique"),
             F.min("v").alias("min"),
             F.max("v").alias("max"),
         )
@@ -134,6 +152,7 @@ def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def missing_rows(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Rows with any / all measures null, and whether all measures share one null mask."""
+    df = missing_as_null(df, measures)
     n_null = sum((F.col(m).isNull().cast("int") for m in measures), F.lit(0))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -146,7 +165,7 @@ def missing_rows(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
 
 def missing_rate(df: DataFrame, panel: Panel, measures: Sequence[str]) -> DataFrame:
     """Missing-row percentage by hour, weekday and calendar month, in one pass."""
-    flagged = df.select(
+    flagged = missing_as_null(df, measures).select(
         *panel.keys,
         F.hour(panel.ts).alias("hour"),
         F.weekday(panel.ts).alias("dow"),
@@ -176,13 +195,26 @@ def missing_rate_summary(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n_months"),
             F.avg("missing_pct").alias("mean_pct"),
+            F.stddev_samp("missing_pct").alias("std_pct"),
             F.min("missing_pct").alias("min_pct"),
+            # One number per month: the built-in exact percentile holds few values.
+            *[F.percentile("missing_pct", q / 100).alias(f"p{q}_pct") for q in (25, 50, 75)],
             F.max("missing_pct").alias("max_pct"),
             F.max_by("segment_value", F.struct(F.col("missing_pct"), F.col("segment_value"))).alias("worst_month"),
         )
     )
 
 
+def worst_hours(rates: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
+    """The n hours of day with the highest missing percentage; ties go to the earlier hour."""
+    hour = F.col("segment_value").cast("int")
+    w = Window.partitionBy(*keys).orderBy(F.col("missing_pct").desc(), "hour")  # 24 rows a series
+    return (
+        rates.filter(F.col("segment") == "hour").select(*keys, hour.alias("hour"), "missing_pct", "n_rows")
+        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    )
+
+
 # --- gaps ---------------------------------------------------------------------
 
 _ISLAND, _ID, _MISSING = "__island", "__gap", "__missing"
@@ -246,7 +278,7 @@ def gap_summary(df: DataFrame, panel: Panel, measures: Sequence[str]) -> DataFra
     joined up across chunks, so a long series needs no single-task pass.
     """
     need_columns(df, [*panel.keys, panel.ts, *measures])
-    slim = df.select(*panel.keys, panel.ts, any_null(measures).alias(_MISSING))
+    slim = missing_as_null(df, measures).select(*panel.keys, panel.ts, any_null(measures).alias(_MISSING))
     runs = _chunk_runs(_mark_islands(slim, panel, F.col(_MISSING)), panel)
     columns = [*panel.keys, "start", "end", "length"]
     inner = runs.filter((F.col(_ISLAND) >= 0) & ~F.col("__head") & ~F.col("__tail")).select(*columns)
@@ -261,7 +293,7 @@ def gap_summary(df: DataFrame, panel: Panel, measures: Sequence[str]) -> DataFra
 
 def gap_lengths(df: DataFrame, panel: Panel, measures: Sequence[str], short: int = SHORT_GAP_ROWS) -> DataFrame:
     """Add each row's gap length (0 when present) and whether it is in a long gap."""
-    marked = _mark_islands(df, panel, any_null(measures))
+    marked = _mark_islands(missing_as_null(df, measures), panel, any_null(measures))
     runs = _chunk_runs(marked, panel)
     edge = _join_edges(runs, panel)
     total = edge.withColumn("__total", F.sum("length").over(Window.partitionBy(*panel.keys, _ID))).select(

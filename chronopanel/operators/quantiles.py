@@ -18,12 +18,13 @@ ACCURACY = 100_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolation quantiles: one row ``(keys, p, quantile)`` per probability."""
+    """Linear-interpolation quantiles: one row ``(keys, p, quantile)`` per probability. NaN counts as null."""
     if not keys:
         whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs)
         return whole.drop("__all")
     keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    v = F.col(value).cast("double")
+    data = df.select(*keys, F.when(~F.isnan(v), v).alias("__v")).filter(F.col("__v").isNotNull())
     # The sketch may be off by one cell, and its rank convention by one row.
     slack = 3.0 / ACCURACY
     lows = [max(0.0, p - slack) for p in probs]

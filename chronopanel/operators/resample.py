@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions.calendar import day_label, month_label, week_label
 from chronopanel.operators.quantiles import exact_quantiles
-from chronopanel.panel import AGGREGATIONS, FLAGS, Panel, PanelError, step_seconds
+from chronopanel.panel import AGGREGATIONS, FLAGS, Panel, PanelError, missing_as_null, step_seconds
 
 
 def bucket_start(ts: str, freq: str) -> Column:
@@ -70,7 +70,7 @@ def resample(
     flags = [f for f in FLAGS if f in df.columns] if flags is None else list(flags)
     if not measures and not flags:
         raise PanelError("no measure or flag columns to resample")
-    src = df.select(*panel.keys, panel.ts, *measures, *flags)
+    src = missing_as_null(df.select(*panel.keys, panel.ts, *measures, *flags), measures)
     keys = [F.col(k) for k in panel.keys]
     bucket = bucket_start(panel.ts, freq).alias("__bucket")
     if dense:
@@ -109,7 +109,7 @@ def calendar_mean(df: DataFrame, panel: Panel, measure: str, period: str) -> Dat
         raise PanelError(f"unknown period {period!r}")
     keys = [F.col(k) for k in panel.keys]
     return (
-        df.groupBy(*keys, label.alias("__p"))
+        missing_as_null(df, [measure]).groupBy(*keys, label.alias("__p"))
         .agg(F.avg(measure).alias("value"))
         .select(*panel.keys, F.col("__p").alias(panel.ts), "value")
     )

@@ -66,6 +66,13 @@ class Panel:
         return [n for n, t in df.dtypes if n not in skip and (t in numeric or t.startswith("decimal"))]
 
 
+def missing_as_null(df: DataFrame, columns) -> DataFrame:
+    """NaN and null are both missing in a panel; null is what the operators look for."""
+    types = dict(df.dtypes)
+    nan = {c: F.when(~F.isnan(c), F.col(c)) for c in columns if types.get(c) in ("double", "float")}
+    return df.withColumns(nan) if nan else df
+
+
 def need_columns(df: DataFrame, names) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:

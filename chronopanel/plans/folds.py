@@ -55,6 +55,28 @@ def fold_plan(
     return folds.select(*panel.keys, "fold", *[_shift(hi, o).alias(b) for b, o in zip(BOUNDS, offsets)])
 
 
+def fold_status(
+    df: DataFrame,
+    panel: Panel,
+    n_folds: int = N_FOLDS,
+    train_days: int = TRAIN_DAYS,
+    valid_days: int = VALID_DAYS,
+    gap_days: int = GAP_DAYS,
+) -> DataFrame:
+    """Per series, whether the plan has folds for it: span, days needed, folds, and the reason where there are none.
+
+    With ``strict=False`` `fold_plan` leaves the short series out; this table names every one of them.
+    """
+    need = (train_days + n_folds * valid_days + gap_days) * 86400
+    secs = lambda c: F.unix_seconds(c.cast("timestamp"))
+    span = secs(F.max(panel.ts)) - secs(F.min(panel.ts))
+    enough = F.col("span_seconds") >= need
+    return df.groupBy(*panel.keys).agg(F.count(F.lit(1)).alias("n_rows"), span.alias("span_seconds")).select(
+        *panel.keys, "n_rows", (F.col("span_seconds") / 86400).alias("span_days"), F.lit(need / 86400).alias("needed_days"),
+        F.when(enough, n_folds).otherwise(0).alias("n_folds"), F.when(~enough, F.lit("series too short")).alias("reason"),
+    )
+
+
 def assign_folds(df: DataFrame, panel: Panel, folds: DataFrame, roles: tuple[str, ...] = ("train", "valid")) -> DataFrame:
     """One row per (row, fold, role), with the window's start; a row may train several folds.
 

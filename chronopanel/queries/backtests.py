@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from chronopanel.functions.metrics import metric
 from chronopanel.operators import evaluate, features, forecast
 from chronopanel.operators.resample import resample
-from chronopanel.plans.folds import assign_folds, fold_plan, fold_table
+from chronopanel.plans.folds import assign_folds, fold_plan, fold_status, fold_table
 from chronopanel.queries.base import (
     DAILY_PANEL, DAILY_SQL, HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, PREDICTIONS_SQL, R, SCALE_SQL, SCORES_SQL,
-    daily, folds_sql, hourly, query, table,
+    by_user, daily, folds_sql, hourly, query, table,
 )
 from chronopanel.queries.tables import predictions, stored_plan
 from chronopanel.session import materialize
@@ -29,7 +29,8 @@ sc AS (SELECT series_id, fold, count(*) AS n, avg(abs(y - p)) AS "MAE", sqrt(avg
   sum(abs(y - p)) / sum(abs(y)) AS "WAPE",
   avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE abs(y - p) / ((abs(y) + abs(p)) / 2) END) AS "sMAPE" FROM preds GROUP BY 1, 2),
 full_sc AS (SELECT sc.*, "MAE" / scale AS "MASE" FROM sc JOIN scales USING (series_id, fold))
-SELECT series_id, 'naive_lag_1h' AS model, """ + ", ".join(
+SELECT series_id, 'naive_lag_1h' AS model, count(*) AS n_folds, count(*) FILTER (WHERE "MAE" IS NULL OR "RMSE" IS NULL OR "WAPE" IS NULL
+  OR "sMAPE" IS NULL OR "MASE" IS NULL) AS n_undefined, """ + ", ".join(
     f'{R(f"""avg("{m}")""", 5)} AS "{m}_mean", {R(f"""stddev_samp("{m}")""", 5)} AS "{m}_std"' for m in evaluate.LEADERBOARD_METRICS
 ) + " FROM full_sc GROUP BY 1")
 def flagship(spark, sf):
@@ -94,12 +95,12 @@ SCORE_COLUMNS = f"""series_id, fold, model, valid_rows, {R('mae')} AS "MAE", {R(
 
 @query("a16_point_metrics", f"WITH {PREDICTIONS_SQL}, {SCALE_SQL}, " + SCORES_SQL[len(PREDICTIONS_SQL) + len(SCALE_SQL) + 4:] + f" SELECT {SCORE_COLUMNS} FROM raw_scores")
 def point_metrics(spark, sf):
-    return evaluate.score(predictions(spark, sf), ["series_id", "fold", "model"]).drop("undefined")
+    return evaluate.score(predictions(spark, sf), ["series_id", "fold", "model"]).drop(*evaluate.CHECKS)
 
 
 @query("a17_mase", f"""WITH {SCORES_SQL} SELECT {SCORE_COLUMNS}, {R('mase')} AS "MASE" FROM scores""")
 def mase(spark, sf):
-    return fold_scores(spark, sf).drop("undefined")
+    return fold_scores(spark, sf).drop(*evaluate.CHECKS)
 
 
 def fold_scores(spark, sf):
@@ -127,7 +128,8 @@ BOARD_SQL = ", ".join(
 )
 
 
-@query("a19_leaderboard", f"WITH {SCORES_SQL} SELECT series_id, model, {BOARD_SQL} FROM scores GROUP BY 1, 2")
+@query("a19_leaderboard", f"WITH {SCORES_SQL} SELECT series_id, model, count(*) AS n_folds, "
+       f"count(*) FILTER (WHERE mae IS NULL OR rmse IS NULL OR wape IS NULL OR smape IS NULL OR mase IS NULL) AS n_undefined, {BOARD_SQL} FROM scores GROUP BY 1, 2")
 def leaderboard(spark, sf):
     return evaluate.leaderboard(fold_scores(spark, sf), ["series_id"], decimals=5)
 
@@ -147,7 +149,7 @@ def tree_inputs(spark, sf):
 def boosted_trees(spark, sf):
     matrix, folds = tree_inputs(spark, sf)
     run = forecast.backtest(matrix, HOURLY_PANEL, "value", folds, [forecast.BoostedTrees(trees=10, depth=4, bins=32)])
-    return evaluate.score(run.predictions, ["model", "fold"]).drop("undefined")
+    return evaluate.score(run.predictions, ["model", "fold"]).drop(*evaluate.CHECKS)
 
 
 @query("m6_random_forest")
@@ -183,7 +185,7 @@ def trees_with_exogenous(spark, sf):
     matrix = materialize(features.build_features(joined, DAILY_PANEL, "quantity", (1, 7), (3, 7), registry=registry))
     folds = fold_plan(matrix, DAILY_PANEL, 2, 365, 60)
     run = forecast.backtest(matrix, DAILY_PANEL, "quantity", folds, [forecast.BoostedTrees(trees=10, depth=4, bins=64, name="trees_exogenous")])
-    return evaluate.score(run.predictions, ["model", "fold"]).drop("undefined")
+    return evaluate.score(run.predictions, ["model", "fold"]).drop(*evaluate.CHECKS)
 
 
 @query("a23_feature_importance")
@@ -210,9 +212,49 @@ def per_series_model(spark, sf):
 
 @query("m10_seasonal_naive_path", f"""WITH {HOURLY_SQL}, o AS (SELECT series_id, max(ts) - INTERVAL 72 HOUR AS origin FROM hourly GROUP BY 1),
 s AS (SELECT series_id, origin, h FROM o, (SELECT unnest(generate_series(1, 48)) AS h))
-SELECT s.series_id, s.origin, s.h, s.origin + to_hours(CAST(s.h AS INTEGER)) AS ts, {R('p.value')} AS y_pred FROM s JOIN hourly p
+SELECT s.series_id, s.origin, s.h, s.origin + to_hours(CAST(s.h AS INTEGER)) AS ts, {R('p.value')} AS y_pred FROM s LEFT JOIN hourly p
   ON p.series_id = s.series_id AND p.ts = s.origin + to_hours(CAST(s.h - CAST(ceil(s.h / 24) AS BIGINT) * 24 AS INTEGER))""")
 def seasonal_naive_path(spark, sf):
+    return path_with_reasons(spark, sf).drop("reason")
+
+
+def path_with_reasons(spark, sf):
     h = hourly(spark, sf)
     origins = h.groupBy("series_id").agg((F.max("ts") - F.expr("interval 72 hours")).alias("origin"))
     return forecast.seasonal_naive_path(h, HOURLY_PANEL, "value", origins, 48, 24)
+
+
+# Written from the rule: every series has exactly 48 steps; a step without an observation a season back says so.
+@query("m10_path_complete", f"""WITH {HOURLY_SQL}, o AS (SELECT series_id, max(ts) - INTERVAL 72 HOUR AS origin FROM hourly GROUP BY 1),
+s AS (SELECT series_id, origin, h, origin + to_hours(CAST(h AS INTEGER)) AS at, CASE WHEN h <= 24 THEN h ELSE h - 24 END AS k
+      FROM o, (SELECT unnest(generate_series(1, 48)) AS h)),
+known AS (SELECT s.*, (SELECT avg(e.value) FROM events e WHERE e.event_type = s.series_id
+          AND date_trunc('hour', e.ts) = s.origin - INTERVAL 24 HOUR + to_hours(CAST(s.k AS INTEGER))) AS v FROM s)
+SELECT series_id, count(*) AS steps, count(v) AS known_steps, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END)::BIGINT AS reasons,
+       {R('sum(v)')} AS total FROM known GROUP BY 1""")
+def path_complete(spark, sf):
+    return path_with_reasons(spark, sf).groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("steps"), F.count("y_pred").alias("known_steps"), F.count("reason").alias("reasons"), F.sum("y_pred").alias("total"))
+
+
+# A forecast is lost where the hour is a multiple of 5 and is NaN where it is one more.
+@query("a16_missing_predictions", f"""WITH {PREDICTIONS_SQL},
+p AS (SELECT series_id, fold, model, y_true AS y, CASE WHEN hour(ts) % 5 > 1 THEN y_pred END AS q FROM preds)
+SELECT series_id, fold, model, count(*) AS valid_rows, count(q) AS paired_rows, count(*) - count(q) AS missing_predictions,
+  {R('avg(abs(y - q))')} AS "MAE", {R('sqrt(avg((y - q) ** 2))')} AS "RMSE",
+  {R('sum(abs(y - q)) / sum(CASE WHEN q IS NOT NULL THEN abs(y) END)')} AS "WAPE",
+  {R('avg(CASE WHEN abs(y) + abs(q) = 0 THEN 0 ELSE 2 * abs(y - q) / (abs(y) + abs(q)) END)')} AS "sMAPE",
+  CASE WHEN count(q) < count(*) THEN 'missing_predictions' ELSE '' END AS undefined FROM p GROUP BY 1, 2, 3""")
+def missing_predictions(spark, sf):
+    part = F.hour("ts") % 5
+    holes = F.when(part == 1, F.lit(float("nan"))).when(part > 1, F.col("y_pred"))
+    return evaluate.score(predictions(spark, sf).withColumn("y_pred", holes), ["series_id", "fold", "model"])
+
+
+# Per user, few series span the plan; none may vanish.
+@query("m1_short_series", f"""WITH u AS (SELECT DISTINCT user_id AS series_id, date_trunc('hour', ts) AS ts FROM events),
+s AS (SELECT series_id, count(*) AS n_rows, epoch(max(ts)) - epoch(min(ts)) AS span FROM u GROUP BY 1)
+SELECT series_id, n_rows, {R('span / 86400')} AS span_days, {R('29.0')} AS needed_days,
+  CASE WHEN span >= 29 * 86400 THEN 4 ELSE 0 END::BIGINT AS n_folds, CASE WHEN span < 29 * 86400 THEN 'series too short' END AS reason FROM s""")
+def short_series(spark, sf):
+    return fold_status(by_user(spark, sf), HOURLY_PANEL, 4, 20, 2, 1)

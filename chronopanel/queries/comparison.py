@@ -101,9 +101,9 @@ def dm_p_values(spark, sf):
 
 @query("a28_first_week", f"""WITH {PREDICTIONS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, fold, model ORDER BY ts) AS rn FROM preds)
 SELECT series_id, fold, model, count(*) AS valid_rows, {R('avg(abs(y_true - y_pred))')} AS "MAE",
-  {R('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))')} AS "RMSE" FROM r WHERE rn <= 48 GROUP BY 1, 2, 3""")
+  {R('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))')} AS "RMSE" FROM r WHERE rn <= 168 GROUP BY 1, 2, 3""")
 def first_week(spark, sf):
-    return evaluate.residual_summary(predictions(spark, sf), HOURLY_PANEL, first_rows=48)
+    return evaluate.residual_summary(predictions(spark, sf), HOURLY_PANEL, first_rows=168)
 
 
 @query("a12_residual_histogram", f"""WITH {PREDICTIONS_SQL}, v AS (SELECT model, y_true - y_pred AS v FROM preds),
@@ -125,11 +125,11 @@ def single_fold(spark, sf):
 
 
 @query("o3_first_rows", f"""WITH {PREDICTIONS_SQL} SELECT series_id, fold, model, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds
-QUALIFY row_number() OVER (PARTITION BY series_id, fold, model ORDER BY ts) <= 24""")
+QUALIFY row_number() OVER (PARTITION BY series_id, fold, model ORDER BY ts) <= 168""")
 def first_rows(spark, sf):
     from chronopanel.panel import Panel
 
-    return evaluate.first_n(predictions(spark, sf), Panel(("series_id", "fold", "model"), unit_rows=16), 24)
+    return evaluate.first_n(predictions(spark, sf), Panel(("series_id", "fold", "model"), unit_rows=16), 168)
 
 
 @query("o4_rank", f"""WITH {SCORES_SQL} SELECT series_id, fold, model, {R('mae')} AS "MAE",

@@ -66,7 +66,7 @@ def seasonal_arima(spark, sf):
 def seasonal_arima_scores(spark, sf):
     h, folds = arima_inputs(spark, sf)
     run = forecast.backtest(h, HOURLY_PANEL, "value", folds, [arima.SeasonalArima()], features=[])
-    return evaluate.score(run.predictions, ["series_id", "fold", "model"]).drop("undefined")
+    return evaluate.score(run.predictions, ["series_id", "fold", "model"]).drop(*evaluate.CHECKS)
 
 
 @query("m10_recursive_forecast")

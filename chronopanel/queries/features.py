@@ -239,17 +239,17 @@ def custom_registration(spark, sf):
 @query("w15_sequence_windows", f"""WITH {HOURLY_SQL}, s AS (SELECT series_id, avg(value) AS m, stddev_pop(value) + 1e-8 AS sd FROM hourly GROUP BY 1),
 z AS (SELECT series_id, ts, CAST((value - m) / sd AS FLOAT) AS z FROM hourly JOIN s USING (series_id)),
 w AS (SELECT *, count(*) OVER f AS n, avg(z) OVER f AS history_mean, first_value(z) OVER f AS oldest, last_value(z) OVER f AS newest
-      FROM z WINDOW f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+      FROM z WINDOW f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))
 SELECT series_id, ts, {R('z', 4)} AS next_value, {R('history_mean', 4)} AS history_mean, {R('oldest', 4)} AS oldest, {R('newest', 4)} AS newest
-FROM w WHERE n = 24""")
+FROM w WHERE n = 168""")
 def sequence_windows(spark, sf):
-    out = features.sequence_samples(hourly(spark, sf), HOURLY_PANEL, "value", 24)
+    out = features.sequence_samples(hourly(spark, sf), HOURLY_PANEL, "value", 168)
     h = F.col("history")
     mean = F.aggregate(h, F.lit(0.0), lambda a, x: a + x) / F.size(h)
     r4 = lambda c: F.round(c.cast("double"), 4)
     return out.select(
         "series_id", "ts", r4(F.col("next_value")).alias("next_value"), r4(mean).alias("history_mean"),
-        r4(h[0]).alias("oldest"), r4(h[23]).alias("newest"),
+        r4(h[0]).alias("oldest"), r4(h[167]).alias("newest"),
     )
 
 

@@ -138,19 +138,44 @@ def missing_rate(spark, sf):
 
 @query("a7_monthly_rate_summary", f"""WITH {RATES_SQL}
 SELECT series_id, count(*) AS n_months, {R('avg(missing_pct)')} AS mean_pct, {R('min(missing_pct)')} AS min_pct,
-       {R('max(missing_pct)')} AS max_pct, arg_max(segment_value, (missing_pct, segment_value)) AS worst_month
+       {R('max(missing_pct)')} AS max_pct, {R('stddev_samp(missing_pct)')} AS std_pct, {R('quantile_cont(missing_pct, 0.25)')} AS p25_pct,
+       {R('quantile_cont(missing_pct, 0.5)')} AS p50_pct, {R('quantile_cont(missing_pct, 0.75)')} AS p75_pct, arg_max(segment_value, (missing_pct, segment_value)) AS worst_month
 FROM rates WHERE segment = 'month' GROUP BY 1""")
 def monthly_rate_summary(spark, sf):
     return quality.missing_rate_summary(quality.missing_rate(gappy(spark, sf), QUARTER_PANEL, BOTH), ["series_id"])
 
 
+@query("a7_worst_hours", f"""WITH {RATES_SQL}
+SELECT series_id, CAST(segment_value AS BIGINT) AS hour, {R('missing_pct')} AS missing_pct, n_rows,
+  row_number() OVER (PARTITION BY series_id ORDER BY missing_pct DESC, CAST(segment_value AS BIGINT)) AS rank
+FROM rates WHERE segment = 'hour' QUALIFY rank <= 5""")
+def worst_hours(spark, sf):
+    return quality.worst_hours(quality.missing_rate(gappy(spark, sf), QUARTER_PANEL, BOTH), ["series_id"])
+
+
+@query("a8_validation_summary", f"""WITH {GAPPY_SQL} SELECT series_id, count(*) AS n_rows,
+  count(*) FILTER (WHERE value IS NULL OR high IS NULL) AS rows_with_missing, min(ts) AS first_time, max(ts) AS last_time FROM gappy GROUP BY 1""")
+def validation_summary(spark, sf):
+    return quality.validation_summary(gappy(spark, sf), QUARTER_PANEL, BOTH)
+
+
+@query("a5_typed_audit", f"""WITH c AS (
+  SELECT 'event_type' AS column_name, CAST(event_type AS VARCHAR) AS t, CAST(NULL AS DOUBLE) AS v FROM events
+  UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), user_id FROM events
+  UNION ALL SELECT 'value', CAST(value AS VARCHAR), value FROM events)
+SELECT column_name, {R('count(*) FILTER (WHERE t IS NULL) * 100.0 / count(*)')} AS missing_pct, count(DISTINCT t) AS n_unique,
+  {R('min(v)')} AS min, {R('quantile_cont(v, 0.5)')} AS median, {R('max(v)')} AS max FROM c GROUP BY 1""")
+def typed_audit(spark, sf):
+    return quality.column_audit(table(spark, sf, "events"), ["event_type", "user_id", "value"]).drop("dtype")
+
+
 @query("a8_validation", f"""SELECT 'rows_present' AS check_name, CAST(count(*) = 0 AS BIGINT) AS failed_rows FROM events
 UNION ALL SELECT 'null_key_or_time', count(*) FILTER (WHERE event_type IS NULL OR ts IS NULL) FROM events
 UNION ALL SELECT 'missing_columns', CAST(1 AS BIGINT)
 UNION ALL SELECT 'non_numeric_columns', CAST(1 AS BIGINT)
 UNION ALL SELECT 'value_below_1', count(*) FILTER (WHERE value < 1) FROM events
 UNION ALL SELECT 'value_above_100', count(*) FILTER (WHERE value > 100) FROM events
-UNION ALL SELECT 'row_sufficiency', CAST(greatest(1000000 - count(*), 0) AS BIGINT) FROM events
+UNION ALL SELECT 'row_sufficiency', CAST(sum(greatest(1000000 - n, 0)) AS BIGINT) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)
 UNION ALL SELECT 'duplicate_timestamps', CAST(sum(n - 1) AS BIGINT) FROM (
   SELECT count(*) AS n FROM events GROUP BY event_type, date_trunc('minute', ts))""")
 def validation(spark, sf):
@@ -188,6 +213,14 @@ def fill_gaps(spark, sf):
     return impute.fill_gaps(gappy(spark, sf), QUARTER_PANEL, BOTH, k=3)
 
 
+# The same panel with NaN in place of null must be filled alike.
+@query("w4_fill_gaps_nan", f"""WITH {FILLED_SQL} SELECT series_id, ts, {R('value')} AS value, {R('high')} AS high,
+  is_originally_missing, is_outage_gap FROM filled""")
+def fill_gaps_nan(spark, sf):
+    nan = {c: F.coalesce(c, F.lit(float("nan"))) for c in BOTH}
+    return impute.fill_gaps(gappy(spark, sf).withColumns(nan), QUARTER_PANEL, BOTH, k=3)
+
+
 @query("w4_fill_gaps_no_remask", f"""WITH {FILLED_SQL} SELECT series_id, ts, {R('fill_high')} AS high,
   CAST(missing AS BIGINT) AS is_originally_missing, CAST(gap_length > 3 AS BIGINT) AS is_outage_gap FROM (
   SELECT series_id, ts, high, high IS NULL AS missing,

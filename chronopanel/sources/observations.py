@@ -14,12 +14,18 @@ DAY_FIRST = "d/M/yyyy H:mm:ss"
 
 
 def read_text(spark: SparkSession, path: str | Sequence[str], sep: str = ";", null_token: str = "?") -> DataFrame:
-    """All columns as trimmed strings; the header names the columns."""
-    return (
-        spark.read.option("header", True).option("sep", sep).option("nullValue", null_token)
+    """All columns as trimmed strings; the header names the columns.
+
+    Spark takes the names from one file. Files whose own header differs in names or order are an error: their values would
+    go to the wrong columns. Compare each with `match_columns` and union them by name instead.
+    """
+    reader = (
+        spark.read.option("sep", sep).option("nullValue", null_token)
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
     )
+    df = reader.option("header", True).csv(path)
+    # With a schema, `enforceSchema` makes each task hold its file's header against it, which costs no second read.
+    return reader.option("header", True).option("enforceSchema", False).schema(df.schema).csv(path)
 
 
 def match_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
