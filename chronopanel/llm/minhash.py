@@ -6,8 +6,8 @@ candidates, their similarity is estimated by counting equal bits, corrected for
 pairs that may reach the threshold are confirmed on full sets.
 
 Equal sets are one representative from the start. Within a band's group a star of candidates goes to its smallest
-member; pairs that the stars left in different components are then looked at too, so a group of n near copies costs
-about n candidates per band, and no link between components is lost.
+member; pairs that the stars left in different components are then looked at too, behind an exact bound on what they
+can share, so a group of n near copies costs about n candidates per band, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -126,13 +126,16 @@ def _likely(minima: int, percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("sa", "sb", minima) >= percent / 100 - SLACK)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("__w")).distinct())
+def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(id, set) of the documents in ``ids`` (__w), stored."""
+    wanted = materialize(ids.distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted
     texts = docs.join(wanted, F.col(f"`{id_col}`") == F.col("__w"), "left_semi")
-    # Rows that share an id have one set: that of the least text, as with signatures.
-    sets = materialize(shingle_sets(texts, id_col, text_col, shingle_words))
+    return materialize(shingle_sets(texts, id_col, text_col, shingle_words))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -141,6 +144,34 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(id, u): how many of a document's shingles no other document of ``sets`` has."""
+    once = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _across(labelled: DataFrame, sets: DataFrame, minima: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band and may reach the threshold, each once.
+
+    ``labelled`` has a row per document and band: id, n, sig, c (component), band, key, before (keys of the bands before).
+    What a document alone holds cannot be shared: at most the rest of the smaller side is, and that bound, exact, drops most
+    pairs of documents that are both like a third. All conditions hold within the join, and a pair leaves it in its
+    first shared band only.
+    """
+    rows = labelled.join(_alone(sets), "id", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).filter(100 * F.col("m") >= percent * F.col("n")).drop("u")
+    rows = materialize(rows)
+
+    def side(x: str) -> DataFrame:
+        return rows.select(F.col("band").alias(f"band{x}"), F.col("key").alias(f"key{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"),
+                           F.col("m").alias(f"m{x}"), F.col("sig").alias(f"s{x}"), F.col("c").alias(f"c{x}"), F.col("before").alias(f"f{x}"))
+
+    most = F.least("ma", "mb")
+    fits = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+    earlier = F.exists(F.zip_with("fa", "fb", lambda x, y: x == y), lambda same: same)
+    on = (F.col("banda") == F.col("bandb")) & (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    return side("a").join(side("b"), on & fits & _likely(minima, percent) & ~earlier).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per input row: id, n_shingles, component_id, kept.
@@ -178,20 +209,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
 
     first = materialize(likely(stars))
-    edges = materialize(_confirm(first, docs, id_col, text_col, shingle_words, percent))
+    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("__w"))
+    edges = materialize(_confirm(first, _sets_of(both(first), docs, id_col, text_col, shingle_words), percent))
     label = components(edges)
-    # Groups whose stars left more than one component: the pairs across them are compared as well, by size and
-    # signature within the join, so only those that may be links leave it.
-    labelled = reps.join(label, "id", "left").select("id", F.col("n_shingles").alias("n"), "sig", F.coalesce("component", "id").alias("c"), F.posexplode("bands").alias("band", "key"))
+    # Groups whose stars left more than one component: the pairs across components are looked at as well.
+    labelled = reps.join(label, "id", "left").select(
+        "id", F.col("n_shingles").alias("n"), "sig", F.coalesce("component", "id").alias("c"), "bands", F.posexplode("bands").alias("band", "key"))
     mixed = labelled.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "key")
-    open_rows = materialize(labelled.join(mixed, ["band", "key"], "left_semi"))
-    left = open_rows.select("band", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("c").alias("ca"))
-    right = open_rows.select("band", "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("c").alias("cb"))
-    across = left.join(right, (left["band"] == right["band"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _likely(minima, percent))
-    second = materialize(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    open_rows = materialize(
+        labelled.join(mixed, ["band", "key"], "left_semi")
+        .select("id", "n", "sig", "c", "band", "key", F.slice("bands", F.lit(1), F.col("band")).alias("before")))
+    sets = _sets_of(open_rows.select(F.col("id").alias("__w")), docs, id_col, text_col, shingle_words)
+    second = materialize(_across(open_rows, sets, minima, percent).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
-        more = _confirm(second, docs, id_col, text_col, shingle_words, percent)
-        label = components(edges.union(more))
+        label = components(edges.union(_confirm(second, sets, percent)))
     final = classes.join(label, F.col("rep") == F.col("id"), "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
     lone = F.col("id").isNull() | (F.col("n_shingles") == 0)
