@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chronopanel.operators.evaluate import first_n
 from chronopanel.panel import Panel, PanelError, need_columns
 from chronopanel.plans.folds import assign_folds
-from chronopanel.plans.units import attach, over_blocks, row_index
+from chronopanel.plans.units import ROW, attach, over_blocks, row_index
 from chronopanel.session import materialize
 
 RIDGE = 1e-8
@@ -110,9 +110,9 @@ class SeasonalArima:
         # Both stages and the forecasts walk the rows again: the narrow rows with their
         # positions are stored, the wide lag arrays never are.
         placed = materialize(row_index(slim, panel))
-        rows = over_blocks(placed, panel, lagged, back=self.reach, indexed=True)
+        rows = over_blocks(placed, panel, lagged, back=self.reach, keep_row=True, indexed=True)
         whole = ~F.exists("__w", lambda v: v.isNull()) & ~F.exists("__x", lambda v: v.isNull())
-        return rows.filter(whole).select(*panel.keys, panel.ts, target, "__base", "__w", "__x")
+        return rows.select(*panel.keys, panel.ts, target, "__base", "__w", "__x", whole.alias("__whole"), F.col(ROW).alias("__at"))
 
     def predictions(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame) -> DataFrame:
         """One-step-ahead forecasts over actual values, for every series and fold at once."""
@@ -134,58 +134,82 @@ class SeasonalArima:
         return theta.select(*panel.keys, "fold", F.explode(pairs).alias("p")).select(*panel.keys, "fold", "p.*")
 
     def _fit(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = assign_folds(self.history(matrix, panel, target), panel, folds).drop("fold_from")
+        rows = assign_folds(self.history(matrix, panel, target).filter("__whole"), panel, folds).drop("fold_from")
         by_fold = Panel((*panel.keys, "fold"), panel.ts, panel.freq, panel.unit_rows)
         train = F.col("role") == "train"
-        phi = least_squares(rows.filter(train), by_fold.keys, [self._w(i) for i in self.long_ar], self._w(0), "__phi")
+        phi = self._long_fit(matrix, panel, target, folds, rows)
         rows = attach(rows, by_fold, phi)
         theta = least_squares(rows.filter(train), by_fold.keys, self._regressors(), self._w(0), "__theta")
         return attach(rows, by_fold, theta), theta
 
+    def _long_fit(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """First stage: a long autoregression, whose residuals stand for the innovations."""
+        if rows is None:
+            rows = assign_folds(self.history(matrix, panel, target).filter("__whole"), panel, folds, roles=("train",))
+        return least_squares(rows.filter(F.col("role") == "train"), (*panel.keys, "fold"), [self._w(i) for i in self.long_ar], self._w(0), "__phi")
+
     def forecast_path(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame, horizon: int) -> DataFrame:
         """Multi-step forecasts from the end of each training window, fed by their own values.
 
-        Needs only the last rows of each window, so every (series, fold) is one small group.
+        Needs only the last rows of each window, so every (series, fold) is one small group. Every step comes out,
+        the first one a grid step after the window's end. Where that row is absent, where one of the rows that the path
+        starts from has a missing value or lag, or where there are too few training rows to fit, ``y_pred`` is null and
+        ``reason`` says so: a path never starts earlier and never steps over a hole.
         """
         if self.exog:
             raise PanelError("multi-step forecasts take no outside columns")
-        fitted, _ = self._fit(matrix, panel, target, folds)
+        _, theta = self._fit(matrix, panel, target, folds)
         by_fold = Panel((*panel.keys, "fold"), panel.ts, panel.freq, panel.unit_rows)
-        # Each row already carries the lags it needs; values of one more span suffice to step on.
-        tail = first_n(
-            fitted.filter("role = 'train'").select(
-                *panel.keys, "fold", panel.ts, F.col(target).alias("__y"), "__phi", "__theta", self._w(0).alias("__d"),
-                self._innovation(0).alias("__e"),
-            ),
-            by_fold, self.reach + 1, last=True,
+        # What a step looks back on: values to undo the differences, differenced values, innovations.
+        need, keys, ts = max(1, *self.diff, *self.ar, *self.ma), list(panel.keys), panel.ts
+        rows = assign_folds(self.history(matrix, panel, target), panel, folds, roles=("train",))
+        tail = first_n(rows.select(*keys, "fold", ts, F.col(target).alias("__y"), "__w", "__x", "__whole", "__at"), by_fold, need, last=True)
+        phi = self._long_fit(matrix, panel, target, folds)
+        tail = tail.join(phi, [*keys, "fold"], "left")
+        slim = tail.select(*keys, "fold", ts, "__y", "__at", "__whole", self._w(0).alias("__d"), self._innovation(0).alias("__e"))
+        groups = slim.groupBy(*keys, "fold").agg(F.collect_list(F.struct(ts, "__y", "__at", "__whole", "__d", "__e")).alias("__rows"))
+        ready = (
+            folds.select(*keys, "fold", "train_end").join(theta, [*keys, "fold"], "left").join(groups, [*keys, "fold"], "left")
         )
-        keys, ts = list(panel.keys), panel.ts
-        types = dict(tail.dtypes)
-        schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", model string, fold int, h int, ts {types[ts]}, y_pred double"
+        types = dict(ready.dtypes)
+        schema = (", ".join(f"`{k}` {types[k]}" for k in keys)
+                  + f", model string, fold int, h int, ts {types['train_end']}, y_pred double, reason string")
         ar, ma, diff, name, step = self.ar, self.ma, self.diff, self.name, panel.step
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(ts)
-            y, d, e = list(pdf["__y"]), list(pdf["__d"]), list(pdf["__e"])
-            theta = np.asarray(pdf["__theta"].iloc[0])
-            out = []
-            for h in range(1, horizon + 1):
+        def walk(end, theta, rows) -> tuple[list[float | None], str | None]:
+            none = [None] * horizon
+            rows = sorted(rows if rows is not None else [], key=lambda r: r["__at"])
+            if not rows or rows[-1][ts] != end:
+                return none, "no row at the end of the training window"
+            if len(rows) < need:
+                return none, "too few rows before the first step"
+            if any(b["__at"] - a["__at"] != 1 for a, b in zip(rows, rows[1:])) or not all(r["__whole"] for r in rows):
+                return none, "missing values before the first step"
+            if theta is None:
+                return none, "too few training rows to fit"
+            y, d, e = ([r[c] for r in rows] for c in ("__y", "__d", "__e"))
+            for _ in range(horizon):
                 x = [d[-i] for i in ar] + [e[-j] for j in ma] + [1.0]
                 d.append(float(np.dot(theta, x)))
                 e.append(0.0)
                 y.append(d[-1] - sum(c * y[-k] for k, c in diff.items() if k))
-                out.append((h, y[-1]))
-            last = pdf[ts].iloc[-1]
-            got = pd.DataFrame({
-                "h": [h for h, _ in out], "ts": [last + pd.Timedelta(seconds=h * step) for h, _ in out],
-                "y_pred": [v for _, v in out],
-            })
-            for k in keys:
-                got[k] = pdf[k].iloc[0]
-            got["model"], got["fold"] = name, pdf["fold"].iloc[0]
-            return got[[*keys, "model", "fold", "h", "ts", "y_pred"]]
+            return y[len(rows):], None
+
+        def run(batches):
+            for pdf in batches:
+                parts = []
+                for r in pdf.to_dict("records"):
+                    path, reason = walk(r["train_end"], r["__theta"], r["__rows"])
+                    got = pd.DataFrame({"h": range(1, horizon + 1), "y_pred": pd.Series(path, dtype="float64"), "reason": reason})
+                    got["ts"] = [r["train_end"] + pd.Timedelta(seconds=h * step) for h in got["h"]]
+                    for k in keys:
+                        got[k] = r[k]
+                    got["model"], got["fold"] = name, r["fold"]
+                    parts.append(got[[*keys, "model", "fold", "h", "ts", "y_pred", "reason"]])
+                if parts:
+                    yield pd.concat(parts)
 
-        return tail.groupBy(*keys, "fold").applyInPandas(run, schema)
+        return ready.mapInPandas(run, schema)
 
 
 def _grid(short: int, long: int, season: int) -> list[int]:
@@ -204,7 +228,8 @@ def least_squares(rows: DataFrame, keys: Sequence[str], x: Iterable[Column], y:
     """Least squares with a constant per group: ``(keys, name)`` with the coefficients as an array.
 
     The cross products are one aggregation; each result row holds one group's
-    normal equations and is solved on its own.
+    normal equations and is solved on its own. A group with no more rows than coefficients has no result row:
+    its weights would be arbitrary.
     """
     cols = [*x, F.lit(1.0), y]
     size = len(cols)
@@ -214,10 +239,12 @@ def least_squares(rows: DataFrame, keys: Sequence[str], x: Iterable[Column], y:
     packed = sums.select(*keys, F.array(*[F.col(f"s{i}_{j}") for i, j in pairs]).alias("__s"))
     types = dict(packed.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {name} array<double>"
+    constant = pairs.index((size - 2, size - 2))  # the sum of ones: the rows
 
     def solve(batches):
         for pdf in batches:
             coefs = []
+            pdf = pdf[np.fromiter((s[constant] >= size for s in pdf["__s"]), bool, len(pdf))]
             for s in pdf["__s"]:
                 g = np.zeros((size, size))
                 for (i, j), v in zip(pairs, s):

@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from chronopanel.panel import Panel, PanelError
+from chronopanel.session import keep
 
 CHUNK, ROW, BLOCK, HALO = "__chunk", "__row", "__block", "__halo"
 
-# A per-series table is broadcast only when a count shows it has no more rows than this.
+# A per-series table is broadcast only when a count shows it has no more rows and bytes than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def chunk_of(panel: Panel) -> Column:
@@ -41,16 +43,24 @@ def chunk_window(panel: Panel) -> WindowSpec:
     return Window.partitionBy(*panel.keys, CHUNK).orderBy(panel.ts)
 
 
-def row_index(df: DataFrame, panel: Panel, name: str = ROW) -> DataFrame:
+def is_stored(df: DataFrame) -> bool:
+    """Whether the plan only reads, selects and filters: reading it twice then costs less than keeping branches alike."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return not any(word in plan for word in ("Aggregate", "Join", "Window", "Generate", "Repartition", "Sort", "Distinct", "Deduplicate"))
+
+
+def row_index(df: DataFrame, panel: Panel, name: str = ROW, spread: bool | None = None) -> DataFrame:
     """Add the 0-based position of each row in its series.
 
     Position = rows in earlier chunks + position in the own chunk. The chunk
     sizes are a partial aggregate and the running total over them touches one
-    row per chunk. The sizes look at every column, so that both branches ask
-    for the same upstream rows and Spark computes (and shuffles) those once.
+    row per chunk. On a stored table they read keys and time only. Where a shuffle
+    lies upstream (`spread`), they look at every column instead, so that both
+    branches ask for the same rows and Spark computes those once.
     """
+    spread = not is_stored(df) if spread is None else spread
     src = add_chunk(df, panel)
-    columns = [F.col(c) for c, t in df.dtypes if not t.startswith("map")]
+    columns = [F.col(c) for c, t in df.dtypes if not t.startswith("map")] if spread else [F.col(panel.ts)]
     before = Window.partitionBy(*panel.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         src.groupBy(*panel.keys, CHUNK)
@@ -139,12 +149,14 @@ def over_spans(
 
 
 def broadcast_if_small(table: DataFrame) -> DataFrame | None:
-    """The table marked for broadcast when a count shows it is small, else None.
+    """The table marked for broadcast when a count of rows and bytes shows it is small, else None.
 
     It is computed once and kept, so the check costs no second run.
     """
-    table = table.persist()
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else None
+    table = keep(table)
+    # As text a row takes no fewer bytes than in memory, give or take short numbers.
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(table) if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES else None
 
 
 def small_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner",

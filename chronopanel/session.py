@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -36,8 +39,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+# What was stored or cached since each open `stored` block began.
+_open: list[tuple[list[str], list[DataFrame]]] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    for folders, _ in _open:
+        folders.append(path)
+    return path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a small table; an enclosing `stored` block gives the memory back."""
+    for _, tables in _open:
+        tables.append(df)
+    return df.persist()
+
+
+@contextmanager
+def stored(spark: SparkSession) -> Iterator[None]:
+    """On leaving the block, remove the folders and cached tables that were made within it.
+
+    Results must be written or collected inside. Without a block they stay as long as the shared folder does.
+    """
+    scope: tuple[list[str], list[DataFrame]] = ([], [])
+    _open.append(scope)
+    try:
+        yield
+    finally:
+        _open.remove(scope)
+        for table in scope[1]:
+            table.unpersist()
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in scope[0]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
