@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.llm.registry import query, table
 from chronopanel.llm.text import SPACES, ascii_lower, id_and_text, same, text_key
+from chronopanel.session import materialize
 
 
 def line_key(line: Column) -> Column:
@@ -64,7 +65,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result. Other columns are not read.
     """
     base = id_and_text(docs, id_col, text_col).withColumn("__text", F.coalesce(F.col("__text"), F.lit("")))
-    frequent = frequent_lines(base, min_chars, min_docs).select("h", "keeper")
+    # Stored, so that the join below is one of two plain tables: Spark then splits the rows of a very common line.
+    frequent = materialize(frequent_lines(base, min_chars, min_docs).select("h", "keeper"))
     dropped = (
         _long_lines(base, min_chars)
         .join(frequent, "h")

@@ -36,7 +36,7 @@ LENGTH, GRAM = 400, 128
 # Windows to a block. Less than the bytes that a window has besides its anchor.
 BLOCK = 16
 # A text is read in pieces of so many windows, with the bytes that the last ones need.
-PIECE = 1 << 20
+PIECE = 1 << 18
 PLACE_BITS = 22
 # Keys of documents, 16 bytes each, that may be broadcast.
 MAX_BROADCAST_ROWS = 100_000
@@ -142,14 +142,15 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
     src = docs.filter(F.octet_length(F.col(f"`{text_col}`")) >= length).select(*key, F.col(f"`{text_col}`").cast("binary").alias("text"))
     found = materialize(src.mapInArrow(cut, "__k1 bigint, __k2 bigint, g bigint, c1 bigint, c2 bigint, first bigint, last bigint, anchor bigint"))
     # Pass 1: anchors that stand in one place only hold no repeated window.
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    # What is joined on is stored first: Spark splits a large group of a join, but not below an aggregation by the same key.
+    often = materialize(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"))
     live = materialize(found.join(often, "g"))
     # Pass 2: equal segments. One of each stands for all.
     place = ("__k1", "__k2", "first", "last", "anchor")
     groups = materialize(live.groupBy("g", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in place]))
     whole = live.join(groups.filter("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"], "left_semi").select("__k1", "__k2", "first", "last")
     # Anchors with segments that differ, of which one at least is not yet known to be repeated, go on with their bytes.
-    unlike = groups.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("g")
+    unlike = materialize(groups.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("g"))
     mixed = materialize(groups.join(unlike, "g", "left_semi").select("n", *place))
     per_doc = mixed.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("n", "first", "last", "anchor")).alias("parts"))
     texts = _with_text(docs, key, text_col, mixed).dropDuplicates(["__k1", "__k2"])
@@ -160,13 +161,13 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
     # Pass 3: blocks of windows.
     ids = ["__k1", "__k2", "n", "first"]
     in_blocks = materialize(_expand(open_segments, [*ids, "anchor"], ids, lambda text, row: blocks(text, row["anchor"], length), ("core", "u1", "u2", "lo", "hi")))
-    shared = in_blocks.groupBy("core").agg(F.sum("n").alias("m")).filter("m > 1").select("core")
+    shared = materialize(in_blocks.groupBy("core").agg(F.sum("n").alias("m")).filter("m > 1").select("core"))
     kinds = in_blocks.join(shared, "core", "left_semi").groupBy("core", "u1", "u2").agg(F.sum("n").alias("m"), *[F.first(c).alias(c) for c in (*ids, "lo", "hi")])
     kinds = materialize(kinds)
     run = lambda t: t.select("__k1", "__k2", (F.col("first") + F.col("lo")).alias("first"), (F.col("first") + F.col("hi")).alias("last"))
     # A block that is alone stands for itself; equal ones are looked up again.
     equal = run(in_blocks.filter("n = 1").join(kinds.filter("m > 1").select("core", "u1", "u2"), ["core", "u1", "u2"], "left_semi"))
-    unsure = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("core")
+    unsure = materialize(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least")).filter("kinds > 1 AND least = 1").select("core"))
     # Pass 4: single windows of one block of each kind.
     asked = kinds.join(unsure, "core", "left_semi").groupBy("__k1", "__k2", "n", "first").agg(F.collect_list(F.struct("lo", "hi", "m")).alias("wanted"))
     single = materialize(_expand(open_segments.join(asked, ids), [*ids, "wanted"], ["__k1", "__k2", "first"], lambda text, row: _windows(text, row["wanted"], length), ("w1", "w2", "at", "m")))
