@@ -25,7 +25,7 @@ from chronopanel.plans.folds import assign_folds
 from chronopanel.plans.units import ROW, attach, over_blocks, row_index
 from chronopanel.session import materialize
 
-RIDGE = 1e-8
+RIDGE = 1e-10
 
 
 @dataclass(frozen=True)

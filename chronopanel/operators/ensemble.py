@@ -35,20 +35,22 @@ class Stack:
 def ridge(train: DataFrame, models: Sequence[str], alpha: float = ALPHA, y: str = "y_true") -> Stack:
     """Closed-form ridge with a free intercept.
 
-    Two aggregations over the rows (means, then centred cross products); only
-    the products, one number per pair of models, come to the driver.
+    One aggregation over the rows: means and covariances, which Spark merges without cancellation. Only
+    those, one number per pair of models, come to the driver.
     """
     names = [*models, y]
-    means = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(names)]).first()
-    if not means.n:
-        raise PanelError("no rows to train the stack on")
-    mu = [means[f"m{i}"] for i in range(len(names))]
-    centred = [F.col(f"`{c}`") - F.lit(m) for c, m in zip(names, mu)]
+    col = lambda i: F.col(f"`{names[i]}`")
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = train.agg(*[F.sum(centred[i] * centred[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    sums = train.agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(col(i)).alias(f"m{i}") for i in range(len(names))],
+        *[F.covar_pop(col(i), col(j)).alias(f"s{i}_{j}") for i, j in pairs],
+    ).first()
+    if not sums.n:
+        raise PanelError("no rows to train the stack on")
+    mu = [sums[f"m{i}"] for i in range(len(names))]
     g = np.zeros((len(names), len(names)))
     for i, j in pairs:
-        g[i, j] = g[j, i] = sums[f"s{i}_{j}"]
+        g[i, j] = g[j, i] = sums[f"s{i}_{j}"] * sums.n
     p = len(models)
     w = np.linalg.solve(g[:p, :p] + alpha * np.eye(p), g[:p, p])
     return Stack(tuple(models), tuple(float(v) for v in w), float(mu[p] - w @ np.array(mu[:p])))

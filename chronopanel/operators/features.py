@@ -6,7 +6,7 @@ matrix costs one exchange for positions and one for blocks, whatever its width.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,23 +114,31 @@ def past_features(
     stats: Sequence[str] = tuple(STATS),
     mode: str = "rows",
     extra: Sequence[Column] = (),
+    outside_lags: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """Append lag and rolling columns (and any further expressions).
 
+    ``outside_lags`` names other columns and their lags, as ``<column>_lag_<n>h`` over the same window.
     ``mode="rows"`` counts rows of the frame, ``mode="time"`` counts grid steps.
     """
     if mode not in ("rows", "time"):
         raise PanelError(f"unknown mode {mode!r}")
     if any(n < 2 for n in windows):
         raise PanelError("rolling windows must be at least 2")
-    reach = max([*lags, *windows], default=0)
+    outside = {c: tuple(n) for c, n in (outside_lags or {}).items()}
+    need_columns(df, outside)
+    reach = max([*lags, *windows, *(n for some in outside.values() for n in some)], default=0)
+
+    def lagged(w: WindowSpec, step: int | None = None) -> list[Column]:
+        more = [c for name, some in outside.items() for c in lag_columns(name, some, w, step)]
+        return [*lag_columns(target, lags, w, step), *more]
 
     def by_rows(blocks: DataFrame, w: WindowSpec) -> DataFrame:
-        return add_rolling(blocks.select("*", *extra, *lag_columns(target, lags, w)), target, windows, w, stats)
+        return add_rolling(blocks.select("*", *extra, *lagged(w)), target, windows, w, stats)
 
     def by_time(blocks: DataFrame, w: WindowSpec) -> DataFrame:
         return blocks.select(
-            "*", *extra, *lag_columns(target, lags, w, panel.step), *rolling_columns(target, windows, w, stats, panel.step)
+            "*", *extra, *lagged(w, panel.step), *rolling_columns(target, windows, w, stats, panel.step)
         )
 
     if mode == "rows":
@@ -152,6 +160,7 @@ def build_features(
     strict: bool = True,
     mode: str = "rows",
     drop_incomplete: bool = True,
+    outside_lags: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """The model-ready matrix: keys, time, target, then features.
 
@@ -169,7 +178,7 @@ def build_features(
         *([holiday_flag(panel.ts)] if holidays else []),
     ]
     base = missing_as_null(df.select(*panel.keys, panel.ts, target, *carried), [target, *carried])
-    out = past_features(base, panel, target, lags, windows, stats, mode, extra)
+    out = past_features(base, panel, target, lags, windows, stats, mode, extra, outside_lags)
     features = [c for c in out.columns if c not in {*panel.keys, panel.ts, target}]
     registry.check(features, strict)
     return out.dropna("any", subset=[target, *features]) if drop_incomplete else out

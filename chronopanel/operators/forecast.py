@@ -5,20 +5,21 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.features import feature_names
 from chronopanel.panel import Panel, PanelError, missing_as_null, need_columns
 from chronopanel.plans.folds import assign_folds
 from chronopanel.plans.units import small_join
-from chronopanel.session import ensure_checkpoint_dir, materialize
+from chronopanel.session import ensure_checkpoint_dir, new_folder
 
 # Columns of every prediction table, after the series keys.
 PREDICTION = ("model", "fold", "ts", "y_true", "y_pred")
@@ -212,6 +213,16 @@ class PerSeries:
         return dict(self.hyperparameters)
 
 
+SERIES = "series_number"
+
+
+def with_series_number(df: DataFrame, panel: Panel) -> DataFrame:
+    """Number the series 0, 1, .. in key order; one row per series is ordered."""
+    keys = list(panel.keys)
+    numbers = df.select(*keys).distinct().withColumn(SERIES, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("double"))
+    return small_join(df, numbers, keys)
+
+
 # --- backtest ---------------------------------------------------------------------------
 
 @dataclass
@@ -222,6 +233,10 @@ class Backtest:
     importances: DataFrame | None
     fits: DataFrame
 
+    def fold_results(self, scores: DataFrame) -> DataFrame:
+        """Scores (by fold and model at least) with each fit's seconds; null for models that are not fitted."""
+        return scores.join(F.broadcast(self.fits), ["fold", "model"], "left")
+
 
 def backtest(
     matrix: DataFrame,
@@ -231,13 +246,16 @@ def backtest(
     models: Sequence[Any],
     features: Sequence[str] | None = None,
     store: bool = True,
+    series_feature: bool = True,
+    at_once: int = 3,
 ) -> Backtest:
     """Fit and predict every model on every fold.
 
     Lag models, and models with a ``predictions`` method of their own, run all
     folds in one job. Tree models are fitted
-    once per fold over all series, so only the few folds loop on the driver.
-    The fold-expanded rows are written once and read by every fit.
+    once per fold over all series, so only the few folds loop on the driver, some at a time.
+    The fold-expanded rows are written once, in a folder per fold and role, so each fit reads its own rows only.
+    ``series_feature`` adds the number of the series to the features of tree models, as series may differ in scale.
     """
     features = list(features or feature_names(matrix, panel, target))
     spark = matrix.sparkSession
@@ -252,24 +270,37 @@ def backtest(
         parts.append(m.predictions(matrix, panel, target, folds))
     fitted = [m for m in models if m not in naive and m not in panel_wide]
     if fitted:
-        expanded = assign_folds(matrix, panel, folds)
-        expanded = materialize(expanded) if store else expanded
+        source = with_series_number(matrix, panel) if series_feature else matrix
+        inputs = [*features, SERIES] if series_feature else features
+        expanded = assign_folds(source, panel, folds).drop("fold_from")
+        if store:
+            path = new_folder(spark, "folds")
+            expanded.write.partitionBy("fold", "role").parquet(path)
+            expanded = spark.read.schema(expanded.schema).parquet(path)
         ids = sorted(r.fold for r in folds.select("fold").distinct().collect())
-        for m in fitted:
-            for k in ids:
-                of_fold = expanded.filter(F.col("fold") == k)
-                started = time.perf_counter()
-                fit = m.fit(of_fold.filter("role = 'train'"), target, features)
-                fits.append((m.name, int(k), time.perf_counter() - started))
-                preds = fit.predict(of_fold.filter("role = 'valid'"))
-                parts.append(preds.select(
-                    *panel.keys, F.lit(m.name).alias("model"), F.lit(k).cast("int").alias("fold"),
-                    F.col(panel.ts).alias("ts"), F.col(target).cast("double").alias("y_true"), "y_pred",
-                ))
-                if hasattr(fit, "importances"):
-                    gains.append(fit.importances(matrix).withColumns(
-                        {"model": F.lit(m.name), "fold": F.lit(k).cast("int")}
-                    ))
+
+        def one(job: tuple[Any, int]) -> tuple[DataFrame, DataFrame | None, tuple[str, int, float]]:
+            m, k = job
+            of_fold = expanded.filter(F.col("fold") == k)
+            started = time.perf_counter()
+            fit = m.fit(of_fold.filter("role = 'train'"), target, inputs)
+            took = (m.name, int(k), time.perf_counter() - started)
+            preds = fit.predict(of_fold.filter("role = 'valid'")).select(
+                *panel.keys, F.lit(m.name).alias("model"), F.lit(k).cast("int").alias("fold"),
+                F.col(panel.ts).alias("ts"), F.col(target).cast("double").alias("y_true"), "y_pred",
+            )
+            gain = None
+            if hasattr(fit, "importances"):
+                gain = fit.importances(matrix).withColumns({"model": F.lit(m.name), "fold": F.lit(k).cast("int")})
+            return preds, gain, took
+
+        # A fit on one fold is many short jobs; other folds' jobs fill the gaps between them.
+        with ThreadPool(max(1, min(at_once, len(ids)))) as pool:
+            for preds, gain, took in pool.imap(one, [(m, k) for m in fitted for k in ids]):
+                parts.append(preds)
+                fits.append(took)
+                if gain is not None:
+                    gains.append(gain)
     if not parts:
         raise PanelError("no models to run")
     out = parts[0]

@@ -182,7 +182,7 @@ def trees_with_exogenous(spark, sf):
 
     registry = default_registry("quantity").register("external_*", "external", True, "known outside the series")
     joined = small_join(daily(spark, sf).drop("value"), daily_exogenous(spark, sf), ["ts"])
-    matrix = materialize(features.build_features(joined, DAILY_PANEL, "quantity", (1, 7), (3, 7), registry=registry))
+    matrix = materialize(features.build_features(joined, DAILY_PANEL, "quantity", (1, 7), (3, 7), registry=registry, outside_lags={"external_order_price": (1,)}))
     folds = fold_plan(matrix, DAILY_PANEL, 2, 365, 60)
     run = forecast.backtest(matrix, DAILY_PANEL, "quantity", folds, [forecast.BoostedTrees(trees=10, depth=4, bins=64, name="trees_exogenous")])
     return evaluate.score(run.predictions, ["model", "fold"]).drop(*evaluate.CHECKS)
@@ -258,3 +258,29 @@ SELECT series_id, n_rows, {R('span / 86400')} AS span_days, {R('29.0')} AS neede
   CASE WHEN span >= 29 * 86400 THEN 4 ELSE 0 END::BIGINT AS n_folds, CASE WHEN span < 29 * 86400 THEN 'series too short' END AS reason FROM s""")
 def short_series(spark, sf):
     return fold_status(by_user(spark, sf), HOURLY_PANEL, 4, 20, 2, 1)
+
+
+@query("m9_fold_results", f"""WITH {SCORES_SQL} SELECT {SCORE_COLUMNS}, {R('mase')} AS "MASE", TRUE AS no_fit FROM scores""")
+def fold_results(spark, sf):
+    """One frame per run: fold, model, rows, seconds of the fit (none for lag models), five metrics."""
+    matrix, folds = stored_plan(spark, sf)
+    run = forecast.backtest(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value"))
+    scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
+    scores = evaluate.score(run.predictions, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
+    out = run.fold_results(scores)
+    return out.withColumn("no_fit", F.col("fit_seconds").isNull()).drop("fit_seconds", *evaluate.CHECKS)
+
+
+@query("w1_exogenous_lag", f"""WITH {DAILY_SQL}, o AS (SELECT o_orderdate AS ts, avg(o_totalprice) AS p FROM orders GROUP BY 1),
+j AS (SELECT series_id, ts, quantity, p FROM daily JOIN o USING (ts)),
+l AS (SELECT *, lag(quantity, 1) OVER w AS q1, lag(p, 1) OVER w AS p1, lag(p, 7) OVER w AS p7 FROM j WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+SELECT series_id, ts, {R('quantity')} AS quantity, {R('p')} AS external_order_price, {R('q1')} AS quantity_lag_1h,
+  {R('p1')} AS external_order_price_lag_1h, {R('p7')} AS external_order_price_lag_7h FROM l WHERE p7 IS NOT NULL AND q1 IS NOT NULL""")
+def exogenous_lag(spark, sf):
+    from chronopanel.operators.registry import default_registry
+    from chronopanel.plans.units import small_join
+
+    registry = default_registry("quantity").register("external_*", "external", True, "known outside the series")
+    joined = small_join(daily(spark, sf).drop("value"), daily_exogenous(spark, sf).drop("external_orders"), ["ts"])
+    return features.build_features(joined, DAILY_PANEL, "quantity", (1,), (), calendar=False, cyclical=False, holidays=False,
+                                   registry=registry, outside_lags={"external_order_price": (1, 7)})

@@ -1,8 +1,10 @@
 """Autocorrelation, stationarity and seasonal ARIMA."""
 
+from pyspark.sql import functions as F
+
 from chronopanel.operators import arima, dependence, evaluate, forecast
 from chronopanel.plans.folds import fold_plan
-from chronopanel.queries.base import HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, R, hourly, query
+from chronopanel.queries.base import HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, R, folds_sql, hourly, query
 from chronopanel.session import materialize
 
 DIFF_SQL = HOURLY_SQL + """,
@@ -25,6 +27,31 @@ def pacf(spark, sf):
     return dependence.pacf(hourly(spark, sf), HOURLY_PANEL, "value", 168)
 
 
+# The recursion in closed form: lags 1 to 3 from the first three autocorrelations.
+@query("w9_pacf_first_lags", f"""WITH {DIFF_SQL},
+r AS (SELECT x.series_id, sum(x * p1) / any_value(v) AS r1, sum(x * p2) / any_value(v) AS r2, sum(x * p3) / any_value(v) AS r3
+      FROM (SELECT series_id, x, lag(x, 1) OVER w AS p1, lag(x, 2) OVER w AS p2, lag(x, 3) OVER w AS p3 FROM x WINDOW w AS (PARTITION BY series_id ORDER BY i)) x
+      JOIN c0 USING (series_id) GROUP BY 1)
+SELECT series_id, 1::BIGINT AS lag, {R('r1')} AS pacf FROM r
+UNION ALL SELECT series_id, 2, {R('(r2 - r1 * r1) / (1 - r1 * r1)')} FROM r
+UNION ALL SELECT series_id, 3, {R('(r3 - 2 * r1 * r2 + r1 ** 3 + r1 * r2 ** 2 - r1 ** 2 * r3) / (1 - 2 * r1 ** 2 - r2 ** 2 + 2 * r1 ** 2 * r2)')} FROM r""")
+def pacf_first(spark, sf):
+    return dependence.pacf(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 3)
+
+
+# Normal equations of d = a + b * level before + c * difference before, centred, so two by two.
+@query("w13_adf_one_lag", f"""WITH {HOURLY_SQL},
+d AS (SELECT series_id, value - lag(value) OVER w AS y, lag(value) OVER w AS l, lag(value) OVER w - lag(value, 2) OVER w AS p
+      FROM hourly WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+s AS (SELECT series_id, count(*) AS n, var_pop(l) * count(*) AS ll, var_pop(p) * count(*) AS pp, covar_pop(l, p) * count(*) AS lp,
+             covar_pop(l, y) * count(*) AS ly, covar_pop(p, y) * count(*) AS py, var_pop(y) * count(*) AS yy FROM d WHERE p IS NOT NULL GROUP BY 1),
+b AS (SELECT *, ll * pp - lp * lp AS det, (pp * ly - lp * py) / (ll * pp - lp * lp) AS b, (ll * py - lp * ly) / (ll * pp - lp * lp) AS c FROM s)
+SELECT series_id, {R('b / sqrt((yy - b * ly - c * py) / (n - 3) * pp / det)', 5)} AS adf_stat, n AS n_obs FROM b""")
+def adf_one_lag(spark, sf):
+    out = dependence.adf(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 1, select=None)
+    return out.select("series_id", F.round(F.col("adf_stat") + 2.3e-9, 5).alias("adf_stat"), "n_obs")
+
+
 @query("w13_adf")
 def adf(spark, sf):
     return dependence.adf(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 40)
@@ -73,3 +100,37 @@ def seasonal_arima_scores(spark, sf):
 def recursive_forecast(spark, sf):
     h, folds = arima_inputs(spark, sf)
     return arima.SeasonalArima().forecast_path(h, HOURLY_PANEL, "value", folds, horizon=72)
+
+
+# An autoregression of order one on differences: its two least-squares stages come down to one line per series and fold.
+AR_SQL = HOURLY_SQL + """,
+d AS (SELECT series_id, ts, value, lag(value) OVER w AS y1, value - lag(value) OVER w AS d, lag(value) OVER w - lag(value, 2) OVER w AS d1,
+             row_number() OVER w AS rn FROM hourly WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+""" + folds_sql("hourly", 3, 14, 3) + """,
+fit AS (SELECT d.series_id, f.fold, regr_slope(d, d1) AS b, regr_intercept(d, d1) AS a FROM d JOIN folds f
+        ON d.series_id = f.series_id AND d.ts BETWEEN f.train_start AND f.train_end WHERE rn > 50 GROUP BY 1, 2)"""
+AR_MODEL = arima.SeasonalArima((1, 1, 0), (0, 0, 0, 24), name="ar_1")
+
+
+@query("m7_autoregression", f"""WITH {AR_SQL}
+SELECT d.series_id, 'ar_1' AS model, f.fold, d.ts, {R('d.value')} AS y_true, {R('y1 + a + b * d1', 3)} AS y_pred
+FROM d JOIN folds f ON d.series_id = f.series_id AND d.ts BETWEEN f.valid_start AND f.valid_end JOIN fit ON fit.series_id = f.series_id AND fit.fold = f.fold
+WHERE rn > 50""")
+def autoregression(spark, sf):
+    h, folds = arima_inputs(spark, sf)
+    out = AR_MODEL.predictions(h, HOURLY_PANEL, "value", folds)
+    return out.withColumn("y_pred", F.round(F.col("y_pred") + 2.3e-9, 3))
+
+
+@query("m10_autoregressive_path", f"""WITH {AR_SQL},
+o AS (SELECT f.series_id, f.fold, f.train_end, e.value, e.d, e.rn FROM folds f LEFT JOIN d e ON e.series_id = f.series_id AND e.ts = f.train_end),
+s AS (SELECT o.*, a, b FROM o JOIN fit USING (series_id, fold)),
+w AS (SELECT series_id, fold, train_end, CASE WHEN rn > 50 THEN value END AS y0, a + b * d AS d1, a + b * (a + b * d) AS d2, a + b * (a + b * (a + b * d)) AS d3 FROM s)
+SELECT series_id, 'ar_1' AS model, fold, 1::BIGINT AS h, train_end + INTERVAL 1 HOUR AS ts, {R('y0 + d1', 3)} AS y_pred,
+  CASE WHEN y0 IS NULL THEN 'no row at the end of the training window' END AS reason FROM w
+UNION ALL SELECT series_id, 'ar_1', fold, 2, train_end + INTERVAL 2 HOUR, {R('y0 + d1 + d2', 3)}, CASE WHEN y0 IS NULL THEN 'no row at the end of the training window' END FROM w
+UNION ALL SELECT series_id, 'ar_1', fold, 3, train_end + INTERVAL 3 HOUR, {R('y0 + d1 + d2 + d3', 3)}, CASE WHEN y0 IS NULL THEN 'no row at the end of the training window' END FROM w""")
+def autoregressive_path(spark, sf):
+    h, folds = arima_inputs(spark, sf)
+    out = AR_MODEL.forecast_path(h, HOURLY_PANEL, "value", folds, 3)
+    return out.withColumn("y_pred", F.round(F.col("y_pred") + 2.3e-9, 3))
