@@ -150,16 +150,28 @@ def _alone(sets: DataFrame) -> DataFrame:
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
 
 
-def _across(labelled: DataFrame, sets: DataFrame, minima: int, percent: int) -> DataFrame:
+def _mixed(keys: DataFrame) -> DataFrame:
+    """Those of the rows (id, c, band, key) whose band group holds more than one component c."""
+    groups = keys.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "key")
+    return materialize(keys.join(materialize(groups), ["band", "key"], "left_semi"))
+
+
+def _across(keys: DataFrame, reps: DataFrame, sets: DataFrame, minima: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a band and may reach the threshold, each once.
 
-    ``labelled`` has a row per document and band: id, n, sig, c (component), band, key, before (keys of the bands before).
-    What a document alone holds cannot be shared: at most the rest of the smaller side is, and that bound, exact, drops most
+    ``keys`` are the rows (id, c, band, key) of mixed band groups, ``reps`` has id, n_shingles, sig and all bands. What a document alone holds cannot be shared: at most the rest of the smaller side is, and that bound, exact, drops most
     pairs of documents that are both like a third. All conditions hold within the join, and a pair leaves it in its
     first shared band only.
     """
-    rows = labelled.join(_alone(sets), "id", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).filter(100 * F.col("m") >= percent * F.col("n")).drop("u")
-    rows = materialize(rows)
+    # First the bound of a document by itself: at most what it does not hold alone is shared. Wide columns come last.
+    size = F.col("n_shingles")
+    able = (
+        reps.join(keys.select("id").distinct(), "id", "left_semi").join(_alone(sets), "id", "left")
+        .select("id", size.alias("n"), (size - F.coalesce("u", F.lit(0))).alias("m"), "sig", "bands").filter(100 * F.col("m") >= percent * F.col("n"))
+    )
+    able = materialize(able)
+    rows = _mixed(keys.join(able.select("id"), "id", "left_semi")).join(able, "id")
+    rows = materialize(rows.select("id", "c", "band", "key", "n", "m", "sig", F.slice("bands", F.lit(1), F.col("band")).alias("before")))
 
     def side(x: str) -> DataFrame:
         return rows.select(F.col("band").alias(f"band{x}"), F.col("key").alias(f"key{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"),
@@ -213,14 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = materialize(_confirm(first, _sets_of(both(first), docs, id_col, text_col, shingle_words), percent))
     label = components(edges)
     # Groups whose stars left more than one component: the pairs across components are looked at as well.
-    labelled = reps.join(label, "id", "left").select(
-        "id", F.col("n_shingles").alias("n"), "sig", F.coalesce("component", "id").alias("c"), "bands", F.posexplode("bands").alias("band", "key"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band", "key")
-    open_rows = materialize(
-        labelled.join(mixed, ["band", "key"], "left_semi")
-        .select("id", "n", "sig", "c", "band", "key", F.slice("bands", F.lit(1), F.col("band")).alias("before")))
-    sets = _sets_of(open_rows.select(F.col("id").alias("__w")), docs, id_col, text_col, shingle_words)
-    second = materialize(_across(open_rows, sets, minima, percent).join(first, ["a", "b"], "left_anti"))
+    keys = _mixed(in_bands.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "band", "key"))
+    sets = _sets_of(keys.select(F.col("id").alias("__w")), docs, id_col, text_col, shingle_words)
+    second = materialize(_across(keys, reps, sets, minima, percent).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         label = components(edges.union(_confirm(second, sets, percent)))
     final = classes.join(label, F.col("rep") == F.col("id"), "left").select(
