@@ -307,8 +307,16 @@ def kpss_p(stat):
 
 
 def stationarity(df: DataFrame, panel: Panel, value: str, max_lag: int = 40, diff: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Both tests and the joint verdict."""
-    both = adf(df, panel, value, max_lag, diff).join(kpss(df, panel, value, diff), list(panel.keys))
+    """Both tests and the joint verdict; null with a ``reason`` where a test has no statistic.
+
+    "mixed" means that both tests spoke and disagree. A series without values is in the result as well.
+    """
+    keys = list(panel.keys)
+    tests = adf(df, panel, value, max_lag, diff).join(kpss(df, panel, value, diff), keys, "full")
+    both = df.select(*keys).distinct().join(tests, keys, "left")
     by_adf, by_kpss = F.col("adf_p") < alpha, F.col("kpss_p") > alpha
+    flat = F.col("kpss_stat").isNull() | F.isnan("kpss_stat")
+    short = F.col("adf_stat").isNull() | F.isnan("adf_stat")
+    reason = F.when(flat, "constant or without values").when(short, f"too few rows for {max_lag} lags")
     verdict = F.when(by_adf & by_kpss, "stationary").when(~by_adf & ~by_kpss, "non-stationary").otherwise("mixed")
-    return both.withColumn("verdict", verdict)
+    return both.withColumn("verdict", F.when(~flat & ~short, verdict)).withColumn("reason", reason)

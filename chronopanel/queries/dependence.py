@@ -75,7 +75,7 @@ def kpss(spark, sf):
 
 @query("w14_stationarity_verdict")
 def stationarity(spark, sf):
-    return dependence.stationarity(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 24)
+    return dependence.stationarity(materialize(hourly(spark, sf)), HOURLY_PANEL, "value", 40)
 
 
 def arima_inputs(spark, sf):

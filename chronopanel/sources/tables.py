@@ -64,9 +64,12 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.write.mode(mode).option("header", True).partitionBy("model", "fold").csv(path)
 
 
-def read_predictions(spark: SparkSession, path: str, n_folds: int | None = None) -> DataFrame:
-    """All models' predictions as one long table; with ``n_folds``, only models that have every fold."""
-    schema = f"{PREDICTION_SCHEMA}, model string, fold int"
+def read_predictions(spark: SparkSession, path: str, n_folds: int | None = None, columns: str = PREDICTION_SCHEMA) -> DataFrame:
+    """All models' predictions as one long table; with ``n_folds``, only models that have every fold.
+
+    ``columns`` is the schema of the files, for panels with other keys.
+    """
+    schema = f"{columns}, model string, fold int"
     df = spark.read.schema(schema).option("header", True).csv(path)
     return df if n_folds is None else complete_models(df, n_folds)
 

@@ -177,3 +177,15 @@ def test_series_number_and_fold_results(spark):
     rows = run.fold_results(scores).collect()
     assert len(rows) == 4 and all((r.fit_seconds is None) == (r.model == "naive_lag_1h") for r in rows)
     assert {r.feature for r in run.importances.collect()} == {"y_lag_1h", "y_lag_24h", forecast.SERIES}
+
+
+def test_verdict_needs_both_tests(spark):
+    from chronopanel.operators.dependence import stationarity
+
+    rng = np.random.default_rng(3)
+    df = series(spark, [5.0] * 200).union(series(spark, [float(v) for v in rng.normal(size=20)], "short")).union(
+        series(spark, [float(v) for v in rng.normal(size=400)], "noise")).union(series(spark, [None] * 5, "none"))
+    out = {r.series_id: (r.verdict, r.reason) for r in stationarity(df, P, "y", 10).collect()}
+    assert out["noise"] == ("stationary", None)
+    assert out["short"] == (None, "too few rows for 10 lags")
+    assert out["a"] == out["none"] == (None, "constant or without values")
