@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronopanel.session import prepare
+from chronopanel import session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of the text operators; safe to call repeatedly.
+
+    Rows go to Python in batches. Texts may be long, so a batch is bounded in rows and, where Spark knows the setting, in bytes.
+    """
+    session.prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return spark
+
+
 def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(cut, schema)
 
 
-@query("op4_suffix_repeats")
+@query(
+    "op4_suffix_repeats",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    cut AS (SELECT doc_id, b, h[2 * b + 1:2 * b + 2 * 699] AS p
+            FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399, 300)) AS b FROM d WHERE len(h) >= 800)),
+    w AS (SELECT doc_id, b + j AS i, hash(p[2 * j + 1:2 * j + 800]) AS k
+          FROM (SELECT doc_id, b, p, unnest(range(0, len(p) // 2 - 399)) AS j FROM cut)),
+    hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 AS joined
+             FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+    runs AS (SELECT doc_id, i, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+    spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM runs GROUP BY doc_id, run),
+    gone AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans FROM spans GROUP BY doc_id),
+    parts AS (
+      SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM spans
+      UNION ALL SELECT d.doc_id, 0, min(lo) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id),
+    kept AS (
+      SELECT doc_id, string_agg(h[2 * lo + 1:coalesce(2 * hi, len(h))], '' ORDER BY lo) AS rest
+      FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+    FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+    """,
+)
 def op4_suffix_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -14,8 +14,8 @@ from chronopanel.llm.kd_shards import kd_shards
 from chronopanel.llm.minhash import drop_near_duplicates
 from chronopanel.llm.mixing import mixed_copies
 from chronopanel.llm.quality_classifier import fit_on_labels, score_documents
-from chronopanel.llm.registry import table
-from chronopanel.session import materialize, prepare
+from chronopanel.llm.registry import prepare, table
+from chronopanel.session import materialize
 
 N_SHARDS = 40
 
