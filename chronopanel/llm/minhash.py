@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.llm.components import components
+from chronopanel.llm.decontamination import row_key
 from chronopanel.llm.hashing import SPACED, gram_hashes, in_pieces, mix, numbers, word_hashes
 from chronopanel.llm.registry import query, table
 from chronopanel.session import materialize
@@ -31,7 +32,7 @@ BITS = 2
 PER_LONG = 64 // BITS
 # Estimates stray from the truth by 0.033 (standard deviation at 0.85); pairs this far below are not confirmed.
 SLACK = 0.17
-# Rows of a side that may be broadcast: an id of at most 16 bytes each.
+# Rows of a side that may be broadcast: a row key and a number of a set, 24 bytes each.
 MAX_BROADCAST_ROWS = 100_000
 
 _SET = "array<bigint>"
@@ -70,11 +71,11 @@ class Signer:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, bands: int, rows: int) -> DataFrame:
-    """Per row: id, n_shingles, s1 and s2 (128 bits that stand for the set), sig (packed bits), bands."""
+    """Per row: id, __k1 and __k2 (`row_key`), n_shingles, s1 and s2 (128 bits that stand for the set), sig (packed bits), bands."""
     signer = Signer(bands, rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in in_pieces(batches, ["id"], "text"):
+        for ids, texts in in_pieces(batches, ["id", "__k1", "__k2"], "text"):
             n, s1, s2, sig, keys = [], [], [], [], []
             for words in word_hashes(texts, SPACED):
                 shingles = shingle_set(words, shingle_words)
@@ -88,13 +89,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
                 sig.append(signer.packed(low).astype(np.int64))
                 keys.append(signer.band_keys(low).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids["id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
+                [ids["id"], ids["__k1"], ids["__k2"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
                  pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "s1", "s2", "sig", "bands"])
+                names=["id", "__k1", "__k2", "n_shingles", "s1", "s2", "sig", "bands"])
 
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), *row_key(id_col, text_col), F.col(f"`{text_col}`").cast("binary").alias("text"))
     kind = dict(src.dtypes)["id"]
-    return src.mapInArrow(sign, f"id {kind}, n_shingles bigint, s1 bigint, s2 bigint, sig {_SET}, bands {_SET}")
+    return src.mapInArrow(sign, f"id {kind}, __k1 bigint, __k2 bigint, n_shingles bigint, s1 bigint, s2 bigint, sig {_SET}, bands {_SET}")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
@@ -126,12 +127,15 @@ def _likely(minima: int, percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("sa", "sb", minima) >= percent / 100 - SLACK)
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(id, set) of the documents in ``ids`` (__w), stored."""
-    wanted = materialize(ids.distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted
-    texts = docs.join(wanted, F.col(f"`{id_col}`") == F.col("__w"), "left_semi")
-    return materialize(shingle_sets(texts, id_col, text_col, shingle_words))
+def _sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(id, set) of the nodes in ``nodes`` (__w), stored. ``reps`` has the key of a row that holds the set."""
+    wanted = materialize(reps.join(nodes.distinct(), F.col("id") == F.col("__w"), "left_semi").select("id", "__k1", "__k2"))
+    n = wanted.count()
+    wanted = F.broadcast(wanted) if n <= MAX_BROADCAST_ROWS else wanted
+    texts = docs.select(F.col(f"`{text_col}`").alias("__t"), *row_key(id_col, text_col)).join(wanted, ["__k1", "__k2"])
+    found = materialize(shingle_sets(texts, "id", "__t", shingle_words))
+    # Equal rows share a key; one of them is enough.
+    return found if found.count() == n else materialize(found.dropDuplicates(["id"]))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,29 +188,19 @@ def _across(keys: DataFrame, reps: DataFrame, sets: DataFrame, minima: int, perc
     return side("a").join(side("b"), on & fits & _likely(minima, percent) & ~earlier).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
-                    percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row per input row: id, n_shingles, component_id, kept.
-
-    Words stand between ASCII white space, A-Z lower-cased; a document's set is its distinct shingles of
-    ``shingle_words`` words (with fewer words, the whole as one). Documents with 100 * shared >= ``percent`` * united
-    are linked, component_id is the smallest id reachable, and kept marks it.
-
-    Null, empty and blank texts have no shingles, are linked with nothing and kept. A null id is its own document:
-    linked with nothing, component_id null, kept. Rows that share an id are a document each as far as equal sets go; for
-    links between different sets, all the sets of an id count. An empty table gives an empty result.
-    Columns other than id and text are not read.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """A row per input row: id, __k1 and __k2 (`row_key`), n_shingles, component_id, kept. Settled as in `near_duplicates`."""
     docs = docs.select(id_col, text_col)
     signed = materialize(signatures(docs, id_col, text_col, shingle_words, bands, rows))
     usable = signed.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    # One representative for each distinct set. Copies are added up before anything is dealt out.
-    classes = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes)
+    row = F.struct("id", "__k1", "__k2")
+    # One node for each distinct set, with its least row. Copies are added up before anything is dealt out; a node's
+    # number holds because it is stored. From here to the labels, id is that number.
+    classes = usable.groupBy("s1", "s2", "n_shingles").agg(F.min(row).alias("rep"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     reps = materialize(
-        usable.join(classes.select(F.col("rep").alias("id"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), "id")
-        .filter((F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
-        .dropDuplicates(["s1", "s2"]).select("id", "n_shingles", "sig", "bands"))
+        usable.drop("id").join(classes.select("node", F.col("rep.__k1").alias("__k1"), F.col("rep.__k2").alias("__k2")), ["__k1", "__k2"])
+        .dropDuplicates(["node"]).select(F.col("node").alias("id"), "__k1", "__k2", "n_shingles", "sig", "bands"))
     minima = bands * rows
     side = reps.select("id", F.col("n_shingles").alias("n"), "sig")
     in_bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
@@ -222,44 +216,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = materialize(likely(stars))
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("__w"))
-    edges = materialize(_confirm(first, _sets_of(both(first), docs, id_col, text_col, shingle_words), percent))
+    edges = materialize(_confirm(first, _sets_of(both(first), reps, docs, id_col, text_col, shingle_words), percent))
     label = components(edges)
     # Groups whose stars left more than one component: the pairs across components are looked at as well.
     keys = _mixed(in_bands.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "band", "key"))
-    sets = _sets_of(keys.select(F.col("id").alias("__w")), docs, id_col, text_col, shingle_words)
+    sets = _sets_of(keys.select(F.col("id").alias("__w")), reps, docs, id_col, text_col, shingle_words)
     second = materialize(_across(keys, reps, sets, minima, percent).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         label = components(edges.union(_confirm(second, sets, percent)))
-    final = classes.join(label, F.col("rep") == F.col("id"), "left").select(
-        F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
+    # The least row of each component; a set that is linked with no other has its own.
+    members = materialize(classes.join(label, F.col("node") == F.col("id"), "left").select(
+        F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("c3"), "rep", "component"))
+    linked = members.filter(F.col("component").isNotNull())
+    least = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")))
+    final = linked.join(least, "component").select("c1", "c2", "c3", "least").union(
+        members.filter(F.col("component").isNull()).select("c1", "c2", "c3", "rep"))
     lone = F.col("id").isNull() | (F.col("n_shingles") == 0)
+    same_set = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") == F.col("c3"))
     return (
-        signed.select("id", "n_shingles", "s1", "s2").join(final, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & ~lone, "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-                F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
+        signed.select("id", "__k1", "__k2", "n_shingles", "s1", "s2").join(final, same_set & ~lone, "left")
+        .select("id", "__k1", "__k2", "n_shingles", F.coalesce("least.id", "id").alias("component_id"),
+                F.coalesce(row == F.col("least"), F.lit(True)).alias("kept"))
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest id; all columns are kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+                    percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row per input row: id, n_shingles, component_id, kept.
+
+    Words stand between ASCII white space, A-Z lower-cased; a document's set is its distinct shingles of
+    ``shingle_words`` words (with fewer words, the whole as one). Documents with 100 * shared >= ``percent`` * united
+    are linked, component_id is the smallest id reachable, and kept marks the row that has it.
+
+    Null, empty and blank texts have no shingles, are linked with nothing and kept. A null id is its own document:
+    linked with nothing, component_id null, kept. Rows that share an id are a document each, linked by their own sets:
+    of those in one component with its smallest id, kept marks the one of the least row key (and rows equal to it), and
+    components that are not linked may have the same component_id. An empty table gives an empty result.
+    Columns other than id and text are not read.
+    """
+    found = _decided(docs, id_col, text_col, shingle_words, percent, bands, rows)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+                         percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one that `near_duplicates` keeps; all columns are kept.
 
-    Rows that share a kept id are one document: of them the least text stays, and of equal texts one. Null ids and
-    texts without words are groups of their own, and all their rows stay, whatever id they share.
+    What goes is decided row by row, so texts that are not alike all stay, also under one id. Of equal rows (id and text)
+    one stays. Null ids and texts without words are groups of their own, and all their rows stay, whatever id they share.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, percent=percent, **options))
-    lone = F.col("__n") == 0
-    narrow = found.select(F.col(f"`{id_col}`").alias("__i"), F.col("n_shingles").alias("__n"), F.col("kept").alias("__kept"))
-    narrow = narrow.filter(F.col("__i").isNotNull() & ~lone)
-    gone = materialize(narrow.filter(~F.col("__kept")).select("__i").distinct())
-    twice = materialize(narrow.filter("__kept").groupBy("__i").count().filter("count > 1").select("__i"))
+    keys = ["__k1", "__k2"]
+    found = materialize(_decided(docs, id_col, text_col, shingle_words, percent, bands, rows))
+    narrow = found.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).select(*keys, "kept")
+    gone = materialize(narrow.filter(~F.col("kept")).select(*keys).distinct())
+    twice = materialize(narrow.filter("kept").groupBy(*keys).count().filter("count > 1").select(*keys))
     small = lambda t: F.broadcast(t) if t.count() <= MAX_BROADCAST_ROWS else t
     # The caller's columns travel in a struct, so that none clashes with those in use here.
-    rows = docs.select(F.struct("*").alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"))
-    left = rows.join(small(gone), F.col("__id") == F.col("__i"), "left_anti")
+    left = docs.select(F.struct("*").alias("__row"), *row_key(id_col, text_col)).join(small(gone), keys, "left_anti")
     if twice.limit(1).count():
         few = small(twice)
-        again = left.join(few, F.col("__id") == F.col("__i"), "left_semi").groupBy("__id").agg(F.min(F.struct("__t", "__row")).alias("__x"))
-        left = left.join(few, F.col("__id") == F.col("__i"), "left_anti").select("__row").unionByName(again.select("__x.__row"))
+        again = left.join(few, keys, "left_semi").groupBy(*keys).agg(F.min("__row").alias("__row"))
+        left = left.join(few, keys, "left_anti").select("__row").unionByName(again.select("__row"))
     return left.select("__row.*")
 
 

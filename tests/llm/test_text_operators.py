@@ -129,6 +129,21 @@ def test_near_duplicates_repeated_rows(repeated):
     assert ids.count(4) == 1 and ids.count(7) == 1 and 5 not in ids and {1, 2, 3} <= set(ids)
 
 
+def test_near_duplicates_decide_by_row(spark):
+    """Texts that are not alike stay, also where another row of their id goes or is kept."""
+    other, third = (" ".join(f"{x}{i}" for i in range(300)) for x in "pq")
+    rows = [(3, PROSE, "a"), (5, PROSE + " and one more", "b"), (5, other, "c"), (6, other + " more", "a"), (3, third, "b"), (3, PROSE + " tail", "b"),
+            (3, PROSE, "d"), (5, " ", "a"), (5, None, "a"), (5, " ", "a"), (None, PROSE, "a"), (None, PROSE, "a")]
+    df = frame(spark, rows)
+    got = {(r["n_shingles"], r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect() if r["n_shingles"] and r["doc_id"] is not None}
+    assert {(i, c) for n, i, c in got if n < 400} == {(5, 5), (6, 5), (3, 3)} and {(i, c) for n, i, c in got if n > 400} == {(3, 3), (5, 3)}
+    left = rows_of(drop_near_duplicates(df), "doc_id", "text")
+    one = [r for r in left if r[0] == 3 and r[1].startswith(PROSE)]
+    assert len(one) == 1
+    assert sort(r for r in left if r not in one) == sort(
+        [(5, other), (3, third), (5, " "), (5, None), (5, " "), (None, PROSE), (None, PROSE)])
+
+
 def test_near_duplicate_chain_through_missing_hub(spark):
     """b and c are alike, the smallest document a is like neither but shares bands with both."""
     base = [f"t{i}" for i in range(400)]
