@@ -212,6 +212,28 @@ def test_trees_beat_the_naive_forecast(seasonal):
         models[1].fit(matrix, "y", ["hour"]).predict(matrix.drop("hour"))
 
 
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name,size", [("m4_boosted_trees", (500, 6)), ("m5_trees_with_exogenous", (500, 6)), ("m6_random_forest", (250, 16)), ("a23_feature_importance", (500, 6))])
+def test_tree_queries_run_at_full_size(spark, monkeypatch, name, size):
+    from chronopanel.queries import backtests
+    from chronopanel.queries.base import QUERIES
+
+    def asked(matrix, panel, target, folds, models):
+        raise Asked(matrix.columns, folds.groupBy("series_id").count().collect(), models)
+
+    monkeypatch.setattr(backtests.forecast, "backtest", asked)
+    with pytest.raises(Asked) as seen:
+        QUERIES[name](spark, "/root/testdata/sf0.01")
+    columns, folds, (model,) = seen.value.args
+    default = forecast.Forest() if name == "m6_random_forest" else forecast.BoostedTrees()
+    assert model.get_hyperparameters() == default.get_hyperparameters() and (model.trees, model.depth) == size
+    assert folds and all(r["count"] == 6 for r in folds)
+    assert name == "m5_trees_with_exogenous" or {"value_lag_1h", "value_lag_24h", "value_lag_168h"} <= set(columns)
+
+
 def test_arima_against_numpy(spark):
     rng = np.random.default_rng(1)
     e = rng.normal(size=1500)
