@@ -123,6 +123,24 @@ def leaderboard(
     )
 
 
+def with_unscored(results: DataFrame, status: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """A leaderboard or fold results with ``reason``, and a row for each series and model that has none there.
+
+    ``status`` is `fold_status` of the same matrix and plan. Such a row has zero counts (folds, rows) and null metrics;
+    its reason is that of the status, or that the folds hold no rows.
+    """
+    every = status.select(*keys, F.col("reason").alias("__why"), F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    found = every.join(results.withColumn("__scored", F.lit(True)), [*keys, "model"], "left")
+    counts = [c for c in results.columns if c in ("n_folds", "n_undefined", "valid_rows", "paired_rows", "missing_predictions")]
+    reason = F.when(F.col("__scored").isNull(), F.coalesce("__why", F.lit("no rows to score")))
+    out = found.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in results.columns], reason.alias("reason"))
+    if "n_undefined" not in results.columns:
+        return out
+    # The join loses a leaderboard's order.
+    best = next(c for c in results.columns if c.endswith("_mean"))
+    return out.orderBy(*keys, F.col("n_undefined") > 0, F.col(best).asc_nulls_last(), "model")
+
+
 def fold_leaderboard(results: DataFrame, fold: int, order: str = "MAE") -> DataFrame:
     """Every model's results on one fold, best first."""
     return results.filter(F.col("fold") == fold).orderBy(order, "model")

@@ -62,16 +62,21 @@ def fold_status(
     train_days: int = TRAIN_DAYS,
     valid_days: int = VALID_DAYS,
     gap_days: int = GAP_DAYS,
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """Per series, whether the plan has folds for it: span, days needed, folds, and the reason where there are none.
 
-    With ``strict=False`` `fold_plan` leaves the short series out; this table names every one of them.
+    With ``strict=False`` `fold_plan` leaves the short series out; this table names every one of them. A matrix may have
+    no row of a series; with ``series`` (any table with the keys) those come out as well, with no rows.
     """
     need = (train_days + n_folds * valid_days + gap_days) * 86400
     secs = lambda c: F.unix_seconds(c.cast("timestamp"))
     span = secs(F.max(panel.ts)) - secs(F.min(panel.ts))
     enough = F.col("span_seconds") >= need
-    return df.groupBy(*panel.keys).agg(F.count(F.lit(1)).alias("n_rows"), span.alias("span_seconds")).select(
+    spans = df.groupBy(*panel.keys).agg(F.count(F.lit(1)).alias("n_rows"), span.alias("span_seconds"))
+    if series is not None:
+        spans = series.select(*panel.keys).distinct().join(spans, list(panel.keys), "left").fillna(0, ["n_rows", "span_seconds"])
+    return spans.select(
         *panel.keys, "n_rows", (F.col("span_seconds") / 86400).alias("span_days"), F.lit(need / 86400).alias("needed_days"),
         F.when(enough, n_folds).otherwise(0).alias("n_folds"), F.when(~enough, F.lit("series too short")).alias("reason"),
     )

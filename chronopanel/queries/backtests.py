@@ -11,7 +11,7 @@ from chronopanel.queries.base import (
     DAILY_PANEL, DAILY_SQL, HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, PREDICTIONS_SQL, R, SCALE_SQL, SCORES_SQL,
     by_user, daily, folds_sql, hourly, query, table,
 )
-from chronopanel.queries.tables import predictions, stored_plan
+from chronopanel.queries.tables import lag_matrix, predictions, stored_plan
 from chronopanel.session import materialize
 
 MODELS = ["naive_lag_1h", "naive_lag_24h_daily", "naive_lag_168h_weekly"]
@@ -42,7 +42,10 @@ def flagship(spark, sf):
     preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, [forecast.NaiveLag("value_lag_1h", "naive_lag_1h")])
     scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
     scores = evaluate.score(preds, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
-    return evaluate.leaderboard(scores, ["series_id"], decimals=5)
+    board = evaluate.leaderboard(scores, ["series_id"], decimals=5)
+    status = fold_status(matrix, HOURLY_PANEL, **FLAGSHIP_FOLDS, series=table(spark, sf, "events").select(F.col("event_type").alias("series_id")))
+    # The SQL has no reason; a19_leaderboard_short_series has.
+    return evaluate.with_unscored(board, status, ["series_id"], ["naive_lag_1h"]).drop("reason")
 
 
 @query("m1_fold_plan", f"WITH {LAGGED_SQL}, {folds_sql('matrix', 4, 8, 3)} SELECT * FROM folds")
@@ -131,7 +134,55 @@ BOARD_SQL = ", ".join(
 @query("a19_leaderboard", f"WITH {SCORES_SQL} SELECT series_id, model, count(*) AS n_folds, "
        f"count(*) FILTER (WHERE mae IS NULL OR rmse IS NULL OR wape IS NULL OR smape IS NULL OR mase IS NULL) AS n_undefined, {BOARD_SQL} FROM scores GROUP BY 1, 2")
 def leaderboard(spark, sf):
-    return evaluate.leaderboard(fold_scores(spark, sf), ["series_id"], decimals=5)
+    board = evaluate.leaderboard(fold_scores(spark, sf), ["series_id"], decimals=5)
+    return evaluate.with_unscored(board, plan_status(spark, sf), ["series_id"], MODELS).drop("reason")
+
+
+def plan_status(spark, sf):
+    """`fold_status` of the stored plan, over all series of the events."""
+    series = table(spark, sf, "events").select(F.col("event_type").alias("series_id"))
+    return fold_status(lag_matrix(spark, sf), HOURLY_PANEL, **HOURLY_FOLDS, series=series)
+
+
+# Per user few series span the plan. Every user comes out, whatever the plan says, written from the spans of all users.
+USER_FOLDS = {"n_folds": 4, "train_days": 20, "valid_days": 2, "gap_days": 1}
+USER_SCORES_SQL = f"""u AS (SELECT user_id AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY 1, 2),
+lagged AS (SELECT series_id, ts, value, lag(value, 1) OVER (PARTITION BY series_id ORDER BY ts) AS l1 FROM u),
+matrix AS (SELECT * FROM lagged WHERE l1 IS NOT NULL),
+{folds_sql('matrix', 4, 20, 2, 1)},
+preds AS (SELECT m.series_id, f.fold, m.value AS y, m.l1 AS p FROM matrix m JOIN folds f
+          ON m.series_id = f.series_id AND m.ts BETWEEN f.valid_start AND f.valid_end),
+sc AS (SELECT series_id, fold, count(*) AS n, avg(abs(y - p)) AS mae FROM preds GROUP BY 1, 2),
+status AS (SELECT s.series_id, coalesce(epoch(max(m.ts)) - epoch(min(m.ts)), 0) >= 29 * 86400 AS enough
+           FROM (SELECT DISTINCT user_id AS series_id FROM events) s LEFT JOIN matrix m USING (series_id) GROUP BY 1),
+reasons AS (SELECT series_id, CASE WHEN enough THEN 'no rows to score' ELSE 'series too short' END AS why FROM status)"""
+
+
+def user_scores(spark, sf):
+    users = by_user(spark, sf)
+    matrix = materialize(features.build_features(users, HOURLY_PANEL, "value", (1,), (), calendar=False, cyclical=False, holidays=False))
+    folds = fold_plan(matrix, HOURLY_PANEL, **USER_FOLDS, strict=False).persist()
+    preds = forecast.naive_predictions(matrix, HOURLY_PANEL, "value", folds, [forecast.NaiveLag("value_lag_1h", "naive_lag_1h")])
+    scores = evaluate.score(preds, ["series_id", "fold", "model"], {"MAE": metric("MAE")})
+    series = table(spark, sf, "events").select(F.col("user_id").alias("series_id"))
+    return scores, fold_status(matrix, HOURLY_PANEL, **USER_FOLDS, series=series)
+
+
+@query("a19_leaderboard_short_series", f"""WITH {USER_SCORES_SQL}
+SELECT series_id, 'naive_lag_1h' AS model, count(sc.fold) AS n_folds, count(*) FILTER (WHERE sc.fold IS NOT NULL AND mae IS NULL) AS n_undefined,
+  {R('avg(mae)')} AS "MAE_mean", {R('stddev_samp(mae)')} AS "MAE_std", CASE WHEN count(sc.fold) = 0 THEN min(why) END AS reason
+FROM reasons LEFT JOIN sc USING (series_id) GROUP BY 1""")
+def leaderboard_short_series(spark, sf):
+    scores, status = user_scores(spark, sf)
+    return evaluate.with_unscored(evaluate.leaderboard(scores, ["series_id"], ["MAE"], decimals=9), status, ["series_id"], ["naive_lag_1h"])
+
+
+@query("m9_fold_results_short_series", f"""WITH {USER_SCORES_SQL}
+SELECT series_id, sc.fold, 'naive_lag_1h' AS model, coalesce(n, 0) AS valid_rows, {R('mae')} AS "MAE", CASE WHEN sc.fold IS NULL THEN why END AS reason
+FROM reasons LEFT JOIN sc USING (series_id)""")
+def fold_results_short_series(spark, sf):
+    scores, status = user_scores(spark, sf)
+    return evaluate.with_unscored(scores.drop(*evaluate.CHECKS), status, ["series_id"], ["naive_lag_1h"])
 
 
 @query("m9_backtest_naive", f"""WITH {PREDICTIONS_SQL} SELECT series_id, model, fold, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds""")
@@ -272,7 +323,7 @@ def fold_results(spark, sf):
     run = forecast.backtest(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value"))
     scale = evaluate.mase_scale(matrix, HOURLY_PANEL, "value", folds)
     scores = evaluate.score(run.predictions, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
-    out = run.fold_results(scores)
+    out = evaluate.with_unscored(run.fold_results(scores), plan_status(spark, sf), ["series_id"], MODELS).drop("reason")
     return out.withColumn("no_fit", F.col("fit_seconds").isNull()).drop("fit_seconds", *evaluate.CHECKS)
 
 

@@ -108,6 +108,23 @@ def test_short_series(spark):
         fp.fold_plan(short, P, n_folds=0)
 
 
+def test_short_series_come_out_of_leaderboard_and_fold_results(spark):
+    df = union(series(spark, seasonal_values(24 * 20)), series(spark, seasonal_values(24 * 5, 1), name="short"))
+    matrix = df.withColumn("p", F.col("y") + 1)
+    plan = {"n_folds": 3, "train_days": 6, "valid_days": 2}
+    preds = forecast.naive_predictions(matrix, P, "y", fp.fold_plan(matrix, P, **plan, strict=False), [forecast.NaiveLag("p", "m")])
+    scores = evaluate.score(preds, ["series_id", "fold", "model"])
+    gone = series(spark, [1.0], name="no rows")
+    status = fp.fold_status(matrix, P, **plan, series=union(df, gone))
+    board = {r.series_id: r for r in evaluate.with_unscored(evaluate.leaderboard(scores, ["series_id"], ["MAE"]), status, ["series_id"], ["m"]).collect()}
+    assert len(board) == 3 and board["no rows"].reason == board["short"].reason == "series too short"
+    assert all(board[s].n_folds == 0 and board[s].model == "m" and board[s].MAE_mean is None for s in ("short", "no rows"))
+    (whole,) = [r for s, r in board.items() if s not in ("short", "no rows")]
+    assert whole.n_folds == 3 and whole.reason is None and abs(whole.MAE_mean - 1) < 1e-6
+    out = evaluate.with_unscored(scores, status, ["series_id"], ["m"]).collect()
+    assert len(out) == 5 and {r.series_id for r in out if r.valid_rows == 0 and r.reason} == {"short", "no rows"}
+
+
 def test_fold_assignment_beyond_the_broadcast_bound(spark, monkeypatch):
     df = union(series(spark, seasonal_values(24 * 20)), series(spark, seasonal_values(24 * 16, 1), name="b"))
     plan = fp.fold_plan(df, P, 3, 6, 2)
