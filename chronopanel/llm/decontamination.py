@@ -31,9 +31,10 @@ MAX_BROADCAST_ROWS = 100_000
 
 
 def row_key(id_col, text_col) -> list:
-    """128 bits that stand for a row; equal rows share them."""
+    """128 bits that stand for a row; equal rows share them. A hash passes nulls over, so where they are is hashed as well."""
     i, t = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")
-    return [F.xxhash64(i, t).alias("__k1"), F.xxhash64(F.lit(7), t, i).alias("__k2")]
+    nulls = F.when(i.isNull(), 2).otherwise(0) + F.when(t.isNull(), 1).otherwise(0)
+    return [F.xxhash64(nulls, i, t).alias("__k1"), F.xxhash64(nulls, t, i).alias("__k2")]
 
 
 def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:

@@ -77,7 +77,7 @@ def _gram(w: Column, i: Column, k: int) -> Column:
 def _template_grams(spark, templates: Sequence[Template], ks: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """(gram positions, templates): __k, __h, __t (template number), __tp; and __t, __label, __words, __need, __grams, __base."""
     rows = ", ".join("({}, '{}', '{}', {}, {}D, {})".format(
-        i, t.label.replace("'", "''"), t.text.replace("\\", "").replace("'", "''"), t.k, t.coverage, str(t.base).lower()) for i, t in enumerate(templates))
+        i, t.label.replace("'", "''"), t.text.replace("\\", " ").replace("'", "''"), t.k, t.coverage, str(t.base).lower()) for i, t in enumerate(templates))
     src = spark.sql(f"SELECT * FROM VALUES {rows} AS t(__t, __label, __text, __tk, __coverage, __base)")
     src = src.withColumn("__words", words(F.col("__text"))).withColumn("__grams", F.size("__words") - F.col("__tk") + 1)
     placed = src.select("__t", "__tk", F.col("__words").alias("__w"), F.posexplode("__words").alias("__tp", "__x"))

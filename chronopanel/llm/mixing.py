@@ -171,7 +171,11 @@ def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     taken = mix_documents(docs, id_col, text_col, source_col, **options)
     # Rows are told apart by id, source and size; those alike in all three share alike.
-    at = lambda cols: [F.xxhash64(*cols).alias("__k1"), F.xxhash64(F.lit(7), *cols[::-1]).alias("__k2")]
+    # A hash passes nulls over, so where they are is hashed as well.
+    def at(cols: list) -> list:
+        nulls = [c.isNull() for c in cols]
+        return [F.xxhash64(*nulls, *cols).alias("__k1"), F.xxhash64(F.lit(7), *nulls, *cols[::-1]).alias("__k2")]
+
     key = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), F.col("size")]
     share = materialize(taken.select(*at(key), "size", "taken").groupBy("__k1", "__k2").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__share")))
     lot = F.pmod(F.xxhash64("__k1", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)

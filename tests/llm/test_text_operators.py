@@ -126,7 +126,27 @@ def test_near_duplicates_repeated_rows(repeated):
     left = drop_near_duplicates(repeated)
     assert left.columns == repeated.columns
     ids = sorted(r["doc_id"] for r in left.select("doc_id").collect() if r["doc_id"] is not None)
-    assert ids.count(4) == 1 and ids.count(7) == 1 and 5 not in ids and {1, 2, 3} <= set(ids)
+    assert ids.count(4) == 1 and 5 not in ids and {1, 2, 3} <= set(ids)
+    # Two different texts under id 7: both stay.
+    assert rows_of(left.filter("doc_id = 7"), "text") == [("MIT License",), ("another text under id seven",)]
+
+
+NULLS = [(None, "5"), (5, None), (None, None), (5, "5"), (None, "5 and four more words follow it"), (5, None)]
+
+
+def test_rows_that_differ_in_where_they_are_null(spark):
+    df = frame(spark, [(i, t, "a") for i, t in NULLS])
+    items = spark.createDataFrame([(1, "5")], "item_id bigint, text string")
+    got = rows_of(contamination(df, items), "doc_id", "n_words", "n_hit")
+    assert got == sort((i, len((t or "").split()), int("5" in (t or ""))) for i, t in NULLS)
+    assert rows_of(drop_contaminated(df, items), "doc_id", "text") == sort([(5, None), (5, None), (None, None)])
+    assert rows_of(drop_near_duplicates(df), "doc_id", "text") == sort(NULLS)
+    assert remove_repeats(df).count() == len(NULLS)
+
+
+def test_template_with_a_backslash(spark):
+    found = license_scan(frame(spark, [(1, "alpha\\beta gamma delta", "a"), (2, "alpha beta gamma delta", "a")]), [Template("x", "alpha\\beta gamma delta", 2, 1.0)])
+    assert rows_of(found, "doc_id", "labels") == [(1, "x"), (2, "x")]
 
 
 def test_near_duplicates_decide_by_row(spark):
