@@ -14,6 +14,7 @@ from chronopanel.llm import (  # noqa: F401  (registration)
     quality_classifier,
     quality_rules,
     repeats,
+    spelling,
     warc,
 )
 from chronopanel.llm.registry import QUERIES, SQL
