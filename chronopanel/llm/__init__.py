@@ -5,12 +5,14 @@ its id and text columns, uses no other column unless it says so, and returns a D
 """
 
 from chronopanel.llm import (  # noqa: F401  (registration)
+    alignment,
     decontamination,
     kd_shards,
     license_scan,
     line_dedup,
     minhash,
     mixing,
+    ngram_join,
     quality_classifier,
     quality_rules,
     repeats,

@@ -21,9 +21,9 @@ def shingles(text: str | None, n: int = 5) -> set:
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
-def near_duplicates(rows: list[tuple], percent: int) -> list[tuple]:
+def near_duplicates(rows: list[tuple], percent: int, n: int = 5) -> list[tuple]:
     """(id, n_shingles, component, kept) of (id, text) with distinct ids; null ids alone."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
