@@ -148,16 +148,18 @@ class SeasonalArima:
             rows = assign_folds(self.history(matrix, panel, target).filter("__whole"), panel, folds, roles=("train",))
         return least_squares(rows.filter(F.col("role") == "train"), (*panel.keys, "fold"), [self._w(i) for i in self.long_ar], self._w(0), "__phi")
 
-    def forecast_path(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame, horizon: int) -> DataFrame:
+    def forecast_path(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame, horizon: int,
+                      future: DataFrame | None = None) -> DataFrame:
         """Multi-step forecasts from the end of each training window, fed by their own values.
 
         Needs only the last rows of each window, so every (series, fold) is one small group. Every step comes out,
         the first one a grid step after the window's end. Where that row is absent, where one of the rows that the path
         starts from has a missing value or lag, or where there are too few training rows to fit, ``y_pred`` is null and
         ``reason`` says so: a path never starts earlier and never steps over a hole.
+
+        Outside columns are looked up by the time of each step: in the matrix, as in a backtest, and in ``future`` (keys, time and
+        outside columns), whose rows come after it. From the first step that lacks one on, ``y_pred`` is null with a reason.
         """
-        if self.exog:
-            raise PanelError("multi-step forecasts take no outside columns")
         _, theta = self._fit(matrix, panel, target, folds)
         by_fold = Panel((*panel.keys, "fold"), panel.ts, panel.freq, panel.unit_rows)
         # What a step looks back on: values to undo the differences, differenced values, innovations.
@@ -166,17 +168,20 @@ class SeasonalArima:
         tail = first_n(rows.select(*keys, "fold", ts, F.col(target).alias("__y"), "__w", "__x", "__whole", "__at"), by_fold, need, last=True)
         phi = self._long_fit(matrix, panel, target, folds)
         tail = tail.join(phi, [*keys, "fold"], "left")
+        ahead = self._steps_ahead(matrix, panel, target, folds, horizon, future)
         slim = tail.select(*keys, "fold", ts, "__y", "__at", "__whole", self._w(0).alias("__d"), self._innovation(0).alias("__e"))
         groups = slim.groupBy(*keys, "fold").agg(F.collect_list(F.struct(ts, "__y", "__at", "__whole", "__d", "__e")).alias("__rows"))
         ready = (
             folds.select(*keys, "fold", "train_end").join(theta, [*keys, "fold"], "left").join(groups, [*keys, "fold"], "left")
+            .join(ahead, [*keys, "fold"], "left")
         )
         types = dict(ready.dtypes)
         schema = (", ".join(f"`{k}` {types[k]}" for k in keys)
                   + f", model string, fold int, h int, ts {types['train_end']}, y_pred double, reason string")
         ar, ma, diff, name, step = self.ar, self.ma, self.diff, self.name, panel.step
+        n_outside = len(self.exog)
 
-        def walk(end, theta, rows) -> tuple[list[float | None], str | None]:
+        def walk(end, theta, rows, ahead) -> tuple[list[float | None], str | None | list[str | None]]:
             none = [None] * horizon
             rows = sorted(rows if rows is not None else [], key=lambda r: r["__at"])
             if not rows or rows[-1][ts] != end:
@@ -188,8 +193,13 @@ class SeasonalArima:
             if theta is None:
                 return none, "too few training rows to fit"
             y, d, e = ([r[c] for r in rows] for c in ("__y", "__d", "__e"))
-            for _ in range(horizon):
-                x = [d[-i] for i in ar] + [e[-j] for j in ma] + [1.0]
+            outside = {r["h"]: list(r["__x"]) for r in ahead} if ahead is not None else {}
+            for h in range(1, horizon + 1):
+                now = outside.get(h, []) if n_outside else []
+                if len(now) < n_outside or any(v is None or v != v for v in now):
+                    done = y[len(rows):]
+                    return done + [None] * (horizon - len(done)), [None] * len(done) + ["no outside value at a step"] * (horizon - len(done))
+                x = [d[-i] for i in ar] + [e[-j] for j in ma] + now + [1.0]
                 d.append(float(np.dot(theta, x)))
                 e.append(0.0)
                 y.append(d[-1] - sum(c * y[-k] for k, c in diff.items() if k))
@@ -199,7 +209,7 @@ class SeasonalArima:
             for pdf in batches:
                 parts = []
                 for r in pdf.to_dict("records"):
-                    path, reason = walk(r["train_end"], r["__theta"], r["__rows"])
+                    path, reason = walk(r["train_end"], r["__theta"], r["__rows"], r["__ahead"])
                     got = pd.DataFrame({"h": range(1, horizon + 1), "y_pred": pd.Series(path, dtype="float64"), "reason": reason})
                     got["ts"] = [r["train_end"] + pd.Timedelta(seconds=h * step) for h in got["h"]]
                     for k in keys:
@@ -212,6 +222,24 @@ class SeasonalArima:
         return ready.mapInPandas(run, schema)
 
 
+    def _steps_ahead(self, matrix: DataFrame, panel: Panel, target: str, folds: DataFrame, horizon: int, future: DataFrame | None) -> DataFrame:
+        """(keys, fold, __ahead): of each step that has a row, h and the differenced outside columns."""
+        keys, ts = list(panel.keys), panel.ts
+        if not self.exog:
+            return folds.select(*keys, "fold", F.lit(None).cast("array<struct<h:int,__x:array<double>>>").alias("__ahead"))
+        known = matrix.select(*keys, ts, F.col(target).cast("double").alias(target), *[F.col(c).cast("double").alias(c) for c in self.exog])
+        if future is not None:
+            need_columns(future, [*keys, ts, *self.exog])
+            # Rows that the matrix has as well are taken from there.
+            more = future.select(*keys, ts, F.lit(None).cast("double").alias(target), *[F.col(c).cast("double").alias(c) for c in self.exog])
+            known = known.unionByName(more.join(known, [*keys, ts], "left_anti"))
+        at = (F.col("train_end").cast("timestamp") + F.make_dt_interval(secs=F.col("h") * panel.step)).cast("timestamp_ntz")
+        steps = folds.select(*keys, "fold", "train_end", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn(ts, at)
+        found = steps.join(self.history(known, panel, target).select(*keys, ts, "__x"), [*keys, ts])
+        # At most one row per step of the horizon.
+        return found.groupBy(*keys, "fold").agg(F.collect_list(F.struct("h", "__x")).alias("__ahead"))
+
+
 def _grid(short: int, long: int, season: int) -> list[int]:
     return sorted({i + season * j for i in range(short + 1) for j in range(long + 1)} - {0})
 

@@ -10,16 +10,15 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.features import feature_names
+from chronopanel.operators.trees import Ensemble, Growth, grow_folds
 from chronopanel.panel import Panel, PanelError, missing_as_null, need_columns
 from chronopanel.plans.folds import assign_folds
 from chronopanel.plans.units import small_join
-from chronopanel.session import ensure_checkpoint_dir, new_folder
+from chronopanel.session import new_folder
 
 # Columns of every prediction table, after the series keys.
 PREDICTION = ("model", "fold", "ts", "y_true", "y_pred")
@@ -112,24 +111,41 @@ def seasonal_naive_path(history: DataFrame, panel: Panel, target: str, origin: D
 
 @dataclass
 class FittedTrees:
-    model: Any
-    features: list[str]
+    """Trees of one fold, or of several; ``rows`` to predict then have a column fold."""
+
+    ensemble: Ensemble
+    one: bool = True
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        need_columns(rows, self.features)
-        vec = VectorAssembler(inputCols=self.features, outputCol="__x").transform(rows)
-        return self.model.transform(vec).withColumnRenamed("prediction", "y_pred").drop("__x")
+        need_columns(rows, self.ensemble.features)
+        if not self.one:
+            return self.ensemble.predict(rows)
+        # The fold that a caller's rows may have is not that of the fit.
+        held = rows.withColumnRenamed("fold", "__fold").withColumn("fold", F.lit(0))
+        return self.ensemble.predict(held).drop("fold").withColumnRenamed("__fold", "fold")
+
+    def importances(self, df: DataFrame | None = None) -> DataFrame:
+        """One row per feature, and fold if there are several."""
+        found = self.ensemble.importances()
+        return found.drop("fold") if self.one else found
+
+
+class TreeModel:
+    """What tree models share: folds are fitted together, each from its own rows."""
 
-    def importances(self, df: DataFrame) -> DataFrame:
-        """One row per feature."""
-        values = self.model.featureImportances.toArray()
-        rows = [(f, float(v)) for f, v in zip(self.features, values)]
-        return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+    def growth(self) -> Growth:
+        raise NotImplementedError
+
+    def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
+        return FittedTrees(grow_folds(train.select(target, *features, F.lit(0).alias("fold")), target, features, self.growth()))
+
+    def fit_folds(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
+        return FittedTrees(grow_folds(train, target, features, self.growth()), one=False)
 
 
 @dataclass
-class BoostedTrees:
-    """Gradient-boosted regression trees; the fit is distributed over all series."""
+class BoostedTrees(TreeModel):
+    """Gradient-boosted regression trees for squared loss: leaves shrunk by an L2 penalty, rows and columns sampled per tree."""
 
     trees: int = 500
     depth: int = 6
@@ -137,44 +153,34 @@ class BoostedTrees:
     row_share: float = 0.8
     column_share: float = 0.8
     bins: int = 256
+    l2: float = 1.0
     seed: int = 42
     name: str = "gradient_boosted_trees"
 
-    def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
-        ensure_checkpoint_dir(train.sparkSession)
-        vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(train)
-        est = GBTRegressor(
-            featuresCol="__x", labelCol=target, maxIter=self.trees, maxDepth=self.depth, stepSize=self.step,
-            subsamplingRate=self.row_share, featureSubsetStrategy=str(self.column_share), maxBins=self.bins,
-            seed=self.seed, checkpointInterval=10,
-        )
-        return FittedTrees(est.fit(vec.select("__x", target)), list(features))
+    def growth(self) -> Growth:
+        return Growth(self.trees, self.depth, self.bins, True, False, self.step, self.row_share, self.column_share, self.l2, 1.0, self.seed)
 
     def get_hyperparameters(self) -> dict[str, Any]:
-        return {k: getattr(self, k) for k in ("trees", "depth", "step", "row_share", "column_share", "bins", "seed")}
+        return {k: getattr(self, k) for k in ("trees", "depth", "step", "row_share", "column_share", "bins", "l2", "seed")}
 
 
 @dataclass
-class Forest:
-    """Random forest regression."""
+class Forest(TreeModel):
+    """Random forest regression: trees on rows drawn with replacement, averaged."""
 
     trees: int = 250
     depth: int = 16
     min_leaf: int = 5
+    bootstrap: bool = True
+    bins: int = 256
     seed: int = 42
     name: str = "random_forest"
 
-    def fit(self, train: DataFrame, target: str, features: Sequence[str]) -> FittedTrees:
-        ensure_checkpoint_dir(train.sparkSession)
-        vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(train)
-        est = RandomForestRegressor(
-            featuresCol="__x", labelCol=target, numTrees=self.trees, maxDepth=self.depth,
-            minInstancesPerNode=self.min_leaf, seed=self.seed,
-        )
-        return FittedTrees(est.fit(vec.select("__x", target)), list(features))
+    def growth(self) -> Growth:
+        return Growth(self.trees, self.depth, self.bins, False, self.bootstrap, 1.0, 1.0, 1.0, 0.0, self.min_leaf, self.seed)
 
     def get_hyperparameters(self) -> dict[str, Any]:
-        return {k: getattr(self, k) for k in ("trees", "depth", "min_leaf", "seed")}
+        return {k: getattr(self, k) for k in ("trees", "depth", "min_leaf", "bootstrap", "bins", "seed")}
 
 
 # --- user-supplied per-series models ---------------------------------------------------
@@ -213,14 +219,19 @@ class PerSeries:
         return dict(self.hyperparameters)
 
 
-SERIES = "series_number"
+SERIES, SERIES_BUCKETS = "series_number", 1024
 
 
 def with_series_number(df: DataFrame, panel: Panel) -> DataFrame:
-    """Number the series 0, 1, .. in key order; one row per series is ordered."""
+    """Number the series 0, 1, .., by buckets of their hash and by key within; so no task sees all series."""
     keys = list(panel.keys)
-    numbers = df.select(*keys).distinct().withColumn(SERIES, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("double"))
-    return small_join(df, numbers, keys)
+    series = df.select(*keys).distinct().withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(SERIES_BUCKETS)))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per bucket.
+    starts = series.groupBy("__bucket").count().select("__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys)) - 1
+    numbers = series.withColumn("__n", within).join(F.broadcast(starts), "__bucket").withColumn(SERIES, (F.col("__start") + F.col("__n")).cast("double"))
+    return small_join(df, numbers.select(*keys, SERIES), keys)
 
 
 # --- backtest ---------------------------------------------------------------------------
@@ -238,6 +249,11 @@ class Backtest:
         return scores.join(F.broadcast(self.fits), ["fold", "model"], "left")
 
 
+def _forecasts(rows: DataFrame, panel: Panel, target: str, name: str) -> DataFrame:
+    return rows.select(*panel.keys, F.lit(name).alias("model"), F.col("fold").cast("int").alias("fold"), F.col(panel.ts).alias("ts"),
+                       F.col(target).cast("double").alias("y_true"), "y_pred")
+
+
 def backtest(
     matrix: DataFrame,
     panel: Panel,
@@ -252,9 +268,8 @@ def backtest(
     """Fit and predict every model on every fold.
 
     Lag models, and models with a ``predictions`` method of their own, run all
-    folds in one job. Tree models are fitted
-    once per fold over all series, so only the few folds loop on the driver, some at a time.
-    The fold-expanded rows are written once, in a folder per fold and role, so each fit reads its own rows only.
+    folds in one job. Models with ``fit_folds`` (trees) are fitted over all series and folds together, others once per
+    fold, some folds at a time. The fold-expanded rows are written once, in a folder per fold and role, so each fit reads its own rows only.
     ``series_feature`` adds the number of the series to the features of tree models, as series may differ in scale.
     """
     features = list(features or feature_names(matrix, panel, target))
@@ -277,6 +292,14 @@ def backtest(
             path = new_folder(spark, "folds")
             expanded.write.partitionBy("fold", "role").parquet(path)
             expanded = spark.read.schema(expanded.schema).parquet(path)
+        for m in [m for m in fitted if hasattr(m, "fit_folds")]:
+            # All folds are fitted in step, so each has the seconds of the whole.
+            started = time.perf_counter()
+            fit = m.fit_folds(expanded.filter("role = 'train'"), target, inputs)
+            took = time.perf_counter() - started
+            parts.append(_forecasts(fit.predict(expanded.filter("role = 'valid'")), panel, target, m.name))
+            fits += [(m.name, int(k), took) for k in fit.ensemble.means]
+            gains.append(fit.importances().withColumn("model", F.lit(m.name)))
         ids = sorted(r.fold for r in folds.select("fold").distinct().collect())
 
         def one(job: tuple[Any, int]) -> tuple[DataFrame, DataFrame | None, tuple[str, int, float]]:
@@ -285,18 +308,15 @@ def backtest(
             started = time.perf_counter()
             fit = m.fit(of_fold.filter("role = 'train'"), target, inputs)
             took = (m.name, int(k), time.perf_counter() - started)
-            preds = fit.predict(of_fold.filter("role = 'valid'")).select(
-                *panel.keys, F.lit(m.name).alias("model"), F.lit(k).cast("int").alias("fold"),
-                F.col(panel.ts).alias("ts"), F.col(target).cast("double").alias("y_true"), "y_pred",
-            )
+            preds = _forecasts(fit.predict(of_fold.filter("role = 'valid'")), panel, target, m.name)
             gain = None
             if hasattr(fit, "importances"):
                 gain = fit.importances(matrix).withColumns({"model": F.lit(m.name), "fold": F.lit(k).cast("int")})
             return preds, gain, took
 
-        # A fit on one fold is many short jobs; other folds' jobs fill the gaps between them.
+        # Of models that fit one fold at a time, other folds' jobs fill the gaps between one fold's.
         with ThreadPool(max(1, min(at_once, len(ids)))) as pool:
-            for preds, gain, took in pool.imap(one, [(m, k) for m in fitted for k in ids]):
+            for preds, gain, took in pool.imap(one, [(m, k) for m in fitted if not hasattr(m, "fit_folds") for k in ids]):
                 parts.append(preds)
                 fits.append(took)
                 if gain is not None:

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from chronopanel.operators import arima, dependence, evaluate, forecast
+from chronopanel.operators.css import CssArima
 from chronopanel.plans.folds import fold_plan
-from chronopanel.queries.base import HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, R, folds_sql, hourly, query
+from chronopanel.plans.units import small_join
+from chronopanel.queries.base import HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, R, folds_sql, hourly, query, table
 from chronopanel.session import materialize
 
 DIFF_SQL = HOURLY_SQL + """,
@@ -85,21 +87,44 @@ def arima_inputs(spark, sf):
 
 @query("m7_seasonal_arima")
 def seasonal_arima(spark, sf):
+    """(1, 1, 1) x (1, 1, 1, 24) by conditional sums of squares."""
     h, folds = arima_inputs(spark, sf)
-    return arima.SeasonalArima().predictions(h, HOURLY_PANEL, "value", folds)
+    return CssArima().predictions(h, HOURLY_PANEL, "value", folds)
 
 
 @query("m7_seasonal_arima_scores")
 def seasonal_arima_scores(spark, sf):
     h, folds = arima_inputs(spark, sf)
-    run = forecast.backtest(h, HOURLY_PANEL, "value", folds, [arima.SeasonalArima()], features=[])
+    run = forecast.backtest(h, HOURLY_PANEL, "value", folds, [CssArima()], features=[])
     return evaluate.score(run.predictions, ["series_id", "fold", "model"]).drop(*evaluate.CHECKS)
 
 
+@query("m7_two_stage_arima")
+def two_stage_arima(spark, sf):
+    """The same orders by two-stage least squares, additive and in two aggregations."""
+    h, folds = arima_inputs(spark, sf)
+    return arima.SeasonalArima(name="two_stage").predictions(h, HOURLY_PANEL, "value", folds)
+
+
+@query("m7_innovations", f"""WITH {HOURLY_SQL}, {folds_sql('hourly', 3, 14, 3)},
+w AS (SELECT series_id, ts, value, value - lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS w FROM hourly),
+r AS (SELECT f.series_id, f.fold, w.ts, w.value, row_number() OVER (PARTITION BY f.series_id, f.fold ORDER BY w.ts) - 1 AS "at", w.w
+      FROM w JOIN folds f ON w.series_id = f.series_id AND w.ts BETWEEN f.train_start AND f.valid_end),
+p AS (SELECT series_id, fold, max(CASE WHEN "at" = 1 THEN w END) AS w1, max(CASE WHEN "at" = 2 THEN w END) AS w2, max(CASE WHEN "at" = 3 THEN w END) AS w3 FROM r GROUP BY 1, 2),
+e AS (SELECT *, w1 AS e1, w2 - 0.4 * w1 AS e2, w3 - 0.4 * (w2 - 0.4 * w1) AS e3 FROM p)
+SELECT series_id, fold, r.ts, "at", {R('CASE "at" WHEN 1 THEN e1 WHEN 2 THEN e2 WHEN 3 THEN e3 ELSE 0 END')} AS e, "at" > 0 AS whole
+FROM r JOIN e USING (series_id, fold) WHERE "at" <= 3""")
+def innovations(spark, sf):
+    """The recurrence of a moving average of order one under a given weight, over the first steps of every window."""
+    h, folds = arima_inputs(spark, sf)
+    model = CssArima((0, 1, 1), (0, 0, 0, 24))
+    return model.innovations(h, HOURLY_PANEL, "value", folds, {"ma_1": 0.4}).filter("at <= 3")
+
+
 @query("m10_recursive_forecast")
 def recursive_forecast(spark, sf):
     h, folds = arima_inputs(spark, sf)
-    return arima.SeasonalArima().forecast_path(h, HOURLY_PANEL, "value", folds, horizon=72)
+    return CssArima().forecast_path(h, HOURLY_PANEL, "value", folds, horizon=72)
 
 
 # An autoregression of order one on differences: its two least-squares stages come down to one line per series and fold.
@@ -134,3 +159,37 @@ def autoregressive_path(spark, sf):
     h, folds = arima_inputs(spark, sf)
     out = AR_MODEL.forecast_path(h, HOURLY_PANEL, "value", folds, 3)
     return out.withColumn("y_pred", F.round(F.col("y_pred") + 2.3e-9, 3))
+
+
+# The same with an outside column: all events of the hour. Two regressors, so the weights come from two by two covariances.
+EXOG_MODEL = arima.SeasonalArima((1, 1, 0), (0, 0, 0, 24), exog=("external_events",), name="ar_1_exog")
+EXOG_SQL = HOURLY_SQL + """,
+counts AS (SELECT date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS x FROM events GROUP BY 1),
+joined AS (SELECT series_id, ts, value, x FROM hourly JOIN counts USING (ts)),
+d AS (SELECT series_id, ts, value, value - lag(value) OVER w AS d, lag(value) OVER w - lag(value, 2) OVER w AS d1, x - lag(x) OVER w AS dx,
+             row_number() OVER w AS rn FROM joined WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+""" + folds_sql("hourly", 3, 14, 3) + """,
+c AS (SELECT d.series_id, f.fold, var_pop(d1) AS s11, var_pop(dx) AS s22, covar_pop(d1, dx) AS s12, covar_pop(d, d1) AS s1, covar_pop(d, dx) AS s2,
+             avg(d) AS m, avg(d1) AS m1, avg(dx) AS m2
+      FROM d JOIN folds f ON d.series_id = f.series_id AND d.ts BETWEEN f.train_start AND f.train_end WHERE rn > 50 GROUP BY 1, 2),
+fit AS (SELECT series_id, fold, b, g, m - b * m1 - g * m2 AS a
+        FROM (SELECT *, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS g FROM c)),
+o AS (SELECT f.series_id, f.fold, f.train_end, CASE WHEN e.rn > 50 THEN e.value END AS y0, e.d AS d0 FROM folds f LEFT JOIN d e ON e.series_id = f.series_id AND e.ts = f.train_end),
+x AS (SELECT o.*, a, b, g, x1.dx AS x1, x2.dx AS x2, x3.dx AS x3 FROM o JOIN fit USING (series_id, fold)
+      LEFT JOIN d x1 ON x1.series_id = o.series_id AND x1.ts = o.train_end + INTERVAL 1 HOUR
+      LEFT JOIN d x2 ON x2.series_id = o.series_id AND x2.ts = o.train_end + INTERVAL 2 HOUR
+      LEFT JOIN d x3 ON x3.series_id = o.series_id AND x3.ts = o.train_end + INTERVAL 3 HOUR),
+s1 AS (SELECT *, a + b * d0 + g * x1 AS d1 FROM x), s2 AS (SELECT *, a + b * d1 + g * x2 AS d2 FROM s1), s3 AS (SELECT *, a + b * d2 + g * x3 AS d3 FROM s2),
+steps AS (SELECT series_id, fold, train_end, y0, 1::BIGINT AS h, y0 + d1 AS p FROM s3 UNION ALL SELECT series_id, fold, train_end, y0, 2, y0 + d1 + d2 FROM s3
+          UNION ALL SELECT series_id, fold, train_end, y0, 3, y0 + d1 + d2 + d3 FROM s3)"""
+
+
+@query("m10_exog_path", f"""WITH {EXOG_SQL}
+SELECT series_id, 'ar_1_exog' AS model, fold, h, train_end + to_hours(h) AS ts, {R('p', 3)} AS y_pred,
+  CASE WHEN y0 IS NULL THEN 'no row at the end of the training window' WHEN p IS NULL THEN 'no outside value at a step' END AS reason FROM steps""")
+def exog_path(spark, sf):
+    """A path whose outside column is known ahead: looked up for every (series, fold, step)."""
+    h, folds = arima_inputs(spark, sf)
+    events = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("external_events"))
+    out = EXOG_MODEL.forecast_path(small_join(h, events, ["ts"]), HOURLY_PANEL, "value", folds, 3)
+    return out.withColumn("y_pred", F.round(F.col("y_pred") + 2.3e-9, 3))

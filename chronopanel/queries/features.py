@@ -6,10 +6,12 @@ from chronopanel.functions import calendar
 from chronopanel.operators import features, impute, profile
 from chronopanel.operators.registry import Registry, default_registry
 from chronopanel.operators.resample import resample
+from chronopanel.plans.folds import fold_plan
 from chronopanel.queries.base import (
-    DAILY_PANEL, DAILY_SQL, FILLED_SQL, GAPPY_SQL, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, QUARTER_PANEL, R, RAW_PANEL,
-    by_user, daily, gappy, hourly, observations, query, table,
+    DAILY_PANEL, DAILY_SQL, FILLED_SQL, GAPPY_SQL, HOURLY_FOLDS, HOURLY_PANEL, HOURLY_SQL, LAGGED_SQL, QUARTER_PANEL, R, RAW_PANEL,
+    by_user, daily, folds_sql, gappy, hourly, observations, query, table,
 )
+from chronopanel.session import materialize
 
 ROLL_FRAME = "ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING"
 
@@ -253,6 +255,26 @@ def sequence_windows(spark, sf):
     )
 
 
+@query("w15_train_scaled", f"""WITH {HOURLY_SQL}, {folds_sql('hourly', 4, 8, 3)},
+s AS (SELECT h.series_id, avg(value) AS m, stddev_pop(value) + 1e-8 AS sd FROM hourly h JOIN folds f ON f.series_id = h.series_id AND fold = 2
+      AND h.ts BETWEEN f.train_start AND f.train_end GROUP BY 1),
+z AS (SELECT series_id, ts, CAST((value - m) / sd AS FLOAT) AS z, m, sd FROM hourly JOIN s USING (series_id)),
+w AS (SELECT *, count(*) OVER f AS n, avg(z) OVER f AS history_mean, first_value(z) OVER f AS oldest, last_value(z) OVER f AS newest
+      FROM z WINDOW f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING))
+SELECT series_id, ts, {R('z', 3)} AS next_value, {R('history_mean', 3)} AS history_mean, {R('oldest', 3)} AS oldest, {R('newest', 3)} AS newest,
+  {R('m')} AS train_mean, {R('sd')} AS train_std FROM w WHERE n = 48""")
+def train_scaled(spark, sf):
+    """Sequences under the mean and deviation of fold 2's training rows alone, as a backtest of that fold needs them."""
+    h = materialize(hourly(spark, sf))
+    folds = fold_plan(h, HOURLY_PANEL, **HOURLY_FOLDS, strict=False)
+    out = features.sequence_samples(h, HOURLY_PANEL, "value", 48, features.training_stats(h, HOURLY_PANEL, "value", folds, 2))
+    history = F.col("history")
+    mean = F.aggregate(history, F.lit(0.0), lambda a, x: a + x) / F.size(history)
+    r3 = lambda c: F.round(c.cast("double") + 2.3e-9, 3)
+    return out.select("series_id", "ts", r3(F.col("next_value")).alias("next_value"), r3(mean).alias("history_mean"), r3(history[0]).alias("oldest"),
+                      r3(history[47]).alias("newest"), "train_mean", "train_std")
+
+
 @query("p1_time_range", f"""WITH {HOURLY_SQL} SELECT series_id, ts, {R('value')} AS value FROM hourly
 WHERE ts BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-15 12:00:00'""")
 def time_range(spark, sf):

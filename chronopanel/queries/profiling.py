@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chronopanel.functions import special
+from chronopanel.operators.loess import decompose_stl, loess
 from chronopanel.operators import profile, quality
 from chronopanel.queries.base import (
     DAILY_PANEL, DAILY_SQL, GAPPY_SQL, GAPS_SQL, HOURLY_PANEL, HOURLY_SQL, QUARTER_PANEL, R, RAW_PANEL, by_user, daily,
@@ -173,6 +174,29 @@ def decomposition_summary(spark, sf):
     return profile.decomposition_summary(profile.decompose(hourly(spark, sf), HOURLY_PANEL, "value", 24), ["series_id"])
 
 
+# A line through the 25 nearest rows: weighted means, then slope, all as sums over the window.
+LOESS_SQL = HOURLY_SQL + """,
+r AS (SELECT series_id, ts, value, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM hourly),
+c AS (SELECT *, least(greatest(i - 12, 0), n - 25) AS lo FROM r),
+j AS (SELECT c.series_id, c.ts, c.value, c.i, c.n, b.i AS x, b.value AS y, abs(b.i - c.i) / greatest(c.i - c.lo, c.lo + 24 - c.i)::DOUBLE AS d
+      FROM c JOIN r b ON b.series_id = c.series_id AND b.i BETWEEN c.lo AND c.lo + 24),
+k AS (SELECT *, CASE WHEN d <= 0.001 THEN 1 WHEN d <= 0.999 THEN power(1 - power(d, 3), 3) ELSE 0 END AS w FROM j),
+m AS (SELECT series_id, ts, any_value(value) AS value, any_value(i) AS i, sum(w) AS s, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM k GROUP BY 1, 2),
+l AS (SELECT k.series_id, k.ts, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope FROM k JOIN m USING (series_id, ts) GROUP BY 1, 2)"""
+
+
+@query("w11_loess", f"WITH {LOESS_SQL} SELECT series_id, ts, {R('value')} AS value, {R('my + slope * (i - mx)')} AS smooth FROM m JOIN l USING (series_id, ts)")
+def local_regression(spark, sf):
+    """One pass of the smoother that the robust decomposition repeats."""
+    return loess(hourly(spark, sf), HOURLY_PANEL, "value", 25)
+
+
+@query("w11_stl")
+def robust_decomposition(spark, sf):
+    """Trend, season and remainder by local regression, with 15 rounds of robustness weights."""
+    return decompose_stl(hourly(spark, sf), HOURLY_PANEL, "value")
+
+
 @query("a28_inside_outside", f"""WITH {DECOMPOSE_SQL} SELECT series_id,
   ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' AS inside, {R('avg(abs(remainder))')} AS abs_mean,
   {R('stddev_samp(remainder)')} AS std, count(remainder) AS n FROM parts GROUP BY 1, 2""")
