@@ -349,3 +349,56 @@ def infer_step(df: DataFrame, panel: Panel, first: int | None = None) -> DataFra
         F.max_by("__d", F.struct(F.col("n"), -F.col("__d"))).alias("step_seconds"),
         F.max("n").alias("n_steps"),
     )
+
+
+WEEKDAYS, MONTHS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"), ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+# Fixed steps by seconds, from the longest on.
+FIXED_STEPS = ((86400, "D"), (3600, "h"), (60, "min"), (1, "s"))
+
+
+def infer_calendar(df: DataFrame, panel: Panel) -> DataFrame:
+    """(keys, n_rows, frequency): the name of the step that all of a series' rows keep, null where there is none or under three rows.
+
+    Fixed steps are named by their largest unit (``D``, ``2h``, ``15min``), whole weeks by their weekday (``W-SUN``). Steps of
+    the calendar are months (``MS``, ``ME``: first or last day), quarters (``QS-OCT``, ``QE-DEC``: a month they start or end in, the
+    last one of the year for ends and the first month of the last quarter for starts), years (``YS-JAN``, ``YE-DEC``), the first or last weekday of a month (``BMS``,
+    ``BME``), and weekdays (``B``). Rows need one time of day for these. A repeated time keeps no step.
+    """
+    ts = F.col(panel.ts)
+
+    def looked(blocks: DataFrame, w) -> DataFrame:
+        before = F.lag(panel.ts, 1).over(w)
+        gap = (F.unix_micros(ts.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / F.lit(1e6)
+        months = (F.year(ts) - F.year(before)) * 12 + F.month(ts) - F.month(before)
+        weekdays = (gap == 86400) | ((gap == 3 * 86400) & (F.weekday(ts) == 0))
+        return blocks.withColumns({"__gap": gap, "__months": months, "__next": weekdays})
+
+    rows = over_blocks(df.select(*panel.keys, panel.ts).filter(ts.isNotNull()), panel, looked, back=1)
+    day, last, dow = F.dayofmonth(ts), F.dayofmonth(F.last_day(ts)), F.weekday(ts)
+    # The first weekday of a month is day 1, or a Monday on day 2 or 3; the last one likewise.
+    first_work = (dow < 5) & ((day == 1) | ((dow == 0) & (day <= 3)))
+    last_work = (dow < 5) & ((day == last) | ((dow == 4) & (day >= last - 2)))
+    all_of = lambda c: F.min(c.cast("int")) == 1
+    seen = rows.groupBy(*panel.keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("__gap").alias("lo"), F.max("__gap").alias("hi"), F.min("__months").alias("mlo"), F.max("__months").alias("mhi"),
+        F.count_distinct(F.date_format(ts, "HH:mm:ss.SSSSSS")).alias("times"), F.min(dow).alias("dow"), F.max(F.month(ts)).alias("month"),
+        all_of(day == 1).alias("starts"), all_of(day == last).alias("ends"), all_of(first_work).alias("work_starts"), all_of(last_work).alias("work_ends"),
+        all_of((dow < 5) & F.coalesce("__next", F.lit(True))).alias("work"))
+    name = lambda names, c: F.element_at(F.array(*[F.lit(v) for v in names]), c)
+    times = lambda k, unit: F.concat(F.when(k > 1, k.cast("string")).otherwise(""), unit)
+    step, months = F.col("lo").cast("bigint"), F.col("mlo")
+    fixed = F.when((step % (7 * 86400)) == 0, times(F.floor(step / (7 * 86400)), F.concat(F.lit("W-"), name(WEEKDAYS, F.col("dow") + 1))))
+    for seconds, unit in FIXED_STEPS:
+        fixed = fixed.when(step % seconds == 0, times(F.floor(step / seconds), F.lit(unit)))
+    anchored = lambda side: (
+        F.when(months % 12 == 0, times(F.floor(months / 12), F.concat(F.lit(f"Y{side}-"), name(MONTHS, F.col("month")))))
+        .when(months % 3 == 0, times(F.floor(months / 3), F.concat(F.lit(f"Q{side}-"), name(MONTHS, F.col("month")))))
+        .otherwise(times(months, F.lit(f"M{side}"))))
+    regular = (F.col("mlo") == F.col("mhi")) & (F.col("mlo") > 0) & (F.col("times") == 1)
+    frequency = (
+        F.when((F.col("n_rows") < 3) | (F.col("lo") <= 0), None)
+        .when((F.col("lo") == F.col("hi")) & (F.col("lo") == step), fixed)
+        .when(regular & F.col("starts"), anchored("S")).when(regular & F.col("ends"), anchored("E"))
+        .when(regular & F.col("work_starts"), times(months, F.lit("BMS"))).when(regular & F.col("work_ends"), times(months, F.lit("BME")))
+        .when(F.col("work") & (F.col("times") == 1), F.lit("B")))
+    return seen.select(*panel.keys, "n_rows", frequency.alias("frequency"))

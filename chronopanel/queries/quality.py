@@ -246,6 +246,37 @@ def frequency(spark, sf):
     return quality.infer_step(hourly(spark, sf), HOURLY_PANEL)
 
 
+CALENDARS = """SELECT DISTINCT 'daily' AS series_id, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders
+UNION SELECT 'weekdays', CAST(o_orderdate AS TIMESTAMP) FROM orders WHERE isodow(o_orderdate) <= 5
+UNION SELECT 'weeks', date_trunc('week', o_orderdate) + INTERVAL 2 DAY FROM orders
+UNION SELECT 'month starts', date_trunc('month', o_orderdate) FROM orders
+UNION SELECT 'month ends', CAST(last_day(o_orderdate) AS TIMESTAMP) FROM orders
+UNION SELECT 'quarters', date_trunc('quarter', o_orderdate) FROM orders
+UNION SELECT 'year ends', CAST(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS TIMESTAMP) FROM orders
+UNION SELECT 'no Mondays', CAST(o_orderdate AS TIMESTAMP) FROM orders WHERE isodow(o_orderdate) <> 1"""
+
+
+@query("w17_calendar_frequency", f"""WITH rows AS ({CALENDARS}),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS p FROM rows),
+g AS (SELECT series_id, ts, epoch(ts) - epoch(p) AS gap, (year(ts) - year(p)) * 12 + month(ts) - month(p) AS months FROM l),
+s AS (SELECT series_id, count(*) AS n_rows, min(gap) AS lo, max(gap) AS hi, min(months) AS mlo, max(months) AS mhi, bool_and(day(ts) = 1) AS starts,
+  bool_and(CAST(ts AS DATE) = last_day(ts)) AS ends, max(month(ts)) AS last_month, min(isodow(ts)) AS dow,
+  bool_and(isodow(ts) <= 5 AND (gap IS NULL OR gap = 86400 OR (gap = 259200 AND isodow(ts) = 1))) AS work FROM g GROUP BY 1)
+SELECT series_id, n_rows, CASE WHEN lo = hi AND lo % 604800 = 0 THEN 'W-' || ['MON', 'TUE', 'WED', 'THU', 'FRI', 'SAT', 'SUN'][dow] WHEN lo = hi AND lo = 86400 THEN 'D'
+  WHEN mlo = mhi AND (starts OR ends) THEN CASE WHEN mlo % 12 = 0 THEN 'Y' WHEN mlo % 3 = 0 THEN 'Q' ELSE 'M' END || CASE WHEN starts THEN 'S' ELSE 'E' END
+    || CASE WHEN mlo % 3 = 0 THEN '-' || ['JAN', 'FEB', 'MAR', 'APR', 'MAY', 'JUN', 'JUL', 'AUG', 'SEP', 'OCT', 'NOV', 'DEC'][last_month] ELSE '' END
+  WHEN work THEN 'B' END AS frequency FROM s""")
+def calendar_frequency(spark, sf):
+    """Panels of days, weekdays, weeks, months, quarters and years, cut from the order dates."""
+    day = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    dow = F.weekday("d")
+    each = F.array_compact(F.array(*[F.when(use, F.struct(F.lit(n).alias("series_id"), at.cast("timestamp_ntz").alias("ts"))) for n, use, at in (
+        ("daily", F.lit(True), F.col("d")), ("weekdays", dow < 5, F.col("d")), ("weeks", F.lit(True), F.date_add(F.trunc("d", "week"), 2)),
+        ("month starts", F.lit(True), F.trunc("d", "month")), ("month ends", F.lit(True), F.last_day("d")), ("quarters", F.lit(True), F.trunc("d", "quarter")),
+        ("year ends", F.lit(True), F.make_date(F.year("d"), F.lit(12), F.lit(31))), ("no Mondays", dow != 0, F.col("d")))]))
+    return quality.infer_calendar(day.select(F.explode(each).alias("r")).select("r.*").distinct(), DAILY_PANEL)
+
+
 @query("o2_longest_gaps", f"""WITH {GAPS_SQL} SELECT series_id, "start", "end", length FROM gaps
 ORDER BY length DESC, "start", series_id LIMIT 10""")
 def longest_gaps(spark, sf):
