@@ -6,8 +6,11 @@ matrix costs one exchange for positions and one for blocks, whatever its width.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -16,7 +19,7 @@ from chronopanel.functions.calendar import calendar_columns, cyclical_columns, h
 from chronopanel.operators.registry import Registry, default_registry
 from chronopanel.panel import Panel, PanelError, missing_as_null, need_columns
 from chronopanel.plans.folds import assign_folds
-from chronopanel.plans.units import attach, over_blocks, over_spans
+from chronopanel.plans.units import BLOCK, ROW, attach, over_blocks, over_spans
 
 # The default feature set, and the wider lag set of the earlier variant.
 LAGS, WINDOWS = (1, 24, 168), (3, 24, 168)
@@ -75,8 +78,6 @@ def add_rolling(
     """
     name = lambda s, n: f"{target}_roll_{s}_{n}h"
     composed = {n: _base_window(n, windows) for n in windows}
-    if "median" in stats:
-        composed = dict.fromkeys(windows)
     direct = [n for n in windows if composed[n] is None]
     # Merging deviations needs the means as well.
     need = list(stats) if "std" not in stats or "mean" in stats else [*stats, "mean"]
@@ -105,6 +106,44 @@ def add_rolling(
     return out.select(*blocks.columns, *[name(s, n) for n in windows for s in stats])
 
 
+def sliding_median(v: np.ndarray, n: int) -> np.ndarray:
+    """Median of the n values before each place; NaN unless all are there.
+
+    The window is a sorted list, to which each step adds one value and from which it takes one, so a longer window costs
+    only the longer search.
+    """
+    out, window, missing = np.full(len(v), np.nan), [], 0
+    for i, x in enumerate(v.tolist()):
+        if i >= n and not missing:
+            out[i] = (window[(n - 1) // 2] + window[n // 2]) / 2
+        if x == x:
+            insort(window, x)
+        else:
+            missing += 1
+        if i >= n:
+            old = v[i - n]
+            if old == old:
+                del window[bisect_left(window, old)]
+            else:
+                missing -= 1
+    return out
+
+
+def add_medians(blocks: DataFrame, panel: Panel, target: str, windows: Sequence[int]) -> DataFrame:
+    """``<target>_roll_median_<n>h`` over the n rows before each; a block is a group of bounded size."""
+    names = [f"{target}_roll_median_{n}h" for n in windows]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(ROW)
+        v = rows.column(target).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        for name, n in zip(names, windows, strict=True):
+            rows = rows.append_column(name, pa.array(sliding_median(v, n), pa.float64(), from_pandas=True))
+        return rows
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*blocks.dtypes, *[(n, "double") for n in names]])
+    return blocks.groupBy(*panel.keys, BLOCK).applyInArrow(run, schema)
+
+
 def past_features(
     df: DataFrame,
     panel: Panel,
@@ -134,7 +173,13 @@ def past_features(
         return [*lag_columns(target, lags, w, step), *more]
 
     def by_rows(blocks: DataFrame, w: WindowSpec) -> DataFrame:
-        return add_rolling(blocks.select("*", *extra, *lagged(w)), target, windows, w, stats)
+        out = blocks.select("*", *extra, *lagged(w))
+        before, simple = out.columns, [s for s in stats if s != "median"]
+        if simple:
+            out = add_rolling(out, target, windows, w, simple)
+        if "median" in stats:
+            out = add_medians(out, panel, target, windows)
+        return out.select(*before, *[f"{target}_roll_{s}_{n}h" for n in windows for s in stats])
 
     def by_time(blocks: DataFrame, w: WindowSpec) -> DataFrame:
         return blocks.select(

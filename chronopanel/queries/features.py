@@ -92,6 +92,13 @@ def rolling_median(spark, sf):
     return features.past_features(hourly(spark, sf), HOURLY_PANEL, "value", (), (5,), stats=("median",))
 
 
+@query("w2_rolling_median_week", f"""WITH {HOURLY_SQL} SELECT series_id, ts, {R('value')} AS value,
+  {rolling_sql((24, 168), stats=('mean', 'median'))} FROM hourly""")
+def rolling_median_week(spark, sf):
+    """Medians of long windows: each row adds a value to a sorted window and takes one out."""
+    return features.past_features(hourly(spark, sf), HOURLY_PANEL, "value", (), (24, 168), stats=("mean", "median"))
+
+
 @query("w2_rolling_by_time", f"""WITH {HOURLY_SQL}, r AS (SELECT series_id, ts, value,
   count(value) OVER f AS n, avg(value) OVER f AS m FROM hourly
   WINDOW f AS (PARTITION BY series_id ORDER BY ts RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING))
