@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronopanel.operators.features import feature_names
 from chronopanel.operators.trees import Ensemble, Growth, grow_folds
@@ -238,11 +241,13 @@ def with_series_number(df: DataFrame, panel: Panel) -> DataFrame:
 
 @dataclass
 class Backtest:
-    """Predictions, feature importances and fit seconds of a run."""
+    """Predictions, feature importances, fit seconds and fitted trees of a run."""
 
     predictions: DataFrame
     importances: DataFrame | None
     fits: DataFrame
+    # Fitted trees, node by node; other models have nothing but their parameters.
+    nodes: DataFrame | None = None
 
     def fold_results(self, scores: DataFrame) -> DataFrame:
         """Scores (by fold and model at least) with each fit's seconds; null for models that are not fitted."""
@@ -277,6 +282,7 @@ def backtest(
     parts: list[DataFrame] = []
     gains: list[DataFrame] = []
     fits: list[tuple[str, int, float]] = []
+    grown: list[DataFrame] = []
     naive = [m for m in models if isinstance(m, NaiveLag)]
     if naive:
         parts.append(naive_predictions(matrix, panel, target, folds, naive))
@@ -300,6 +306,7 @@ def backtest(
             parts.append(_forecasts(fit.predict(expanded.filter("role = 'valid'")), panel, target, m.name))
             fits += [(m.name, int(k), took) for k in fit.ensemble.means]
             gains.append(fit.importances().withColumn("model", F.lit(m.name)))
+            grown.append(fit.ensemble.thresholds().withColumn("model", F.lit(m.name)))
         ids = sorted(r.fold for r in folds.select("fold").distinct().collect())
 
         def one(job: tuple[Any, int]) -> tuple[DataFrame, DataFrame | None, tuple[str, int, float]]:
@@ -326,7 +333,69 @@ def backtest(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    importances = None
-    for g in gains:
-        importances = g if importances is None else importances.unionByName(g)
-    return Backtest(out, importances, spark.createDataFrame(fits, "model string, fold int, fit_seconds double"))
+    all_of = lambda tables: reduce(DataFrame.unionByName, tables) if tables else None
+    return Backtest(out, all_of(gains), spark.createDataFrame(fits, "model string, fold int, fit_seconds double"), all_of(grown))
+
+
+# --- runs that can be taken up again -------------------------------------------------------
+
+COMMIT = "model string, fold int, rows bigint, fit_seconds double, parameters string, plan bigint"
+
+
+def _read(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """The table under a path, or None where nothing was written yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def resumable_backtest(
+    matrix: DataFrame, panel: Panel, target: str, folds: DataFrame, models: Sequence[Any], folder: str, max_fits: int | None = None, **options: Any
+) -> Backtest | None:
+    """A `backtest` that keeps what each (model, fold) gave under ``folder`` and does not do it again.
+
+    Predictions, importances and trees of a fold are written first, its row in ``commits`` last; what has no such row is
+    fitted again and replaces what a run that broke off left behind. A row also holds the model's parameters and a digest of the fold's
+    bounds, and counts only while both are the same. With ``max_fits`` a call ends after so many (model, fold); None is returned until all are there.
+    """
+    spark = matrix.sparkSession
+    folder = folder.rstrip("/")
+    ends = F.sum(F.xxhash64(*panel.keys, "train_start", "train_end", "valid_start", "valid_end").cast("decimal(38,0)") % (1 << 60)).cast("bigint")
+    plan = {r["fold"]: r["d"] for r in folds.groupBy(F.col("fold").cast("int").alias("fold")).agg(ends.alias("d")).collect()}
+    if len({m.name for m in models}) < len(models):
+        raise PanelError("models need names of their own")
+    said = {m.name: json.dumps(m.get_hyperparameters(), sort_keys=True, default=str) for m in models}
+    commits = _read(spark, f"{folder}/commits", COMMIT)
+    rows = commits.collect() if commits is not None else []  # one per model and fold
+    done = {(r["model"], r["fold"]) for r in rows if said.get(r["model"]) == r["parameters"] and plan.get(r["fold"]) == r["plan"]}
+    left = [(m, k) for m in models for k in sorted(plan) if (m.name, k) not in done]
+    now = left if max_fits is None else left[:max_fits]
+    for m in models:
+        ids = [k for of, k in now if of is m]
+        if not ids:
+            continue
+        run = backtest(matrix, panel, target, folds.filter(F.col("fold").isin(ids)), [m], **options)
+        for name, table in (("predictions", run.predictions), ("importances", run.importances), ("nodes", run.nodes)):
+            if table is not None:
+                for k in ids:
+                    table.filter(F.col("fold") == k).drop("model", "fold").write.mode("overwrite").parquet(f"{folder}/{name}/model={m.name}/fold={k}")
+        took = {r["fold"]: r["fit_seconds"] for r in run.fits.collect()}
+        sizes = {r["fold"]: r["count"] for r in _kept(spark, folder, "predictions", [(m.name, k) for k in ids]).groupBy("fold").count().collect()}
+        new = [(m.name, k, sizes.get(k, 0), took.get(k), said[m.name], plan[k]) for k in ids]
+        spark.createDataFrame(new, COMMIT).coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+    if len(now) < len(left):
+        return None
+    pairs = [(m.name, k) for m in models for k in sorted(plan)]
+    last = {(r["model"], r["fold"]): r for r in _read(spark, f"{folder}/commits", COMMIT).collect() if said.get(r["model"]) == r["parameters"] and plan.get(r["fold"]) == r["plan"]}
+    fits = spark.createDataFrame([(m, k, last[m, k]["fit_seconds"]) for m, k in pairs if last[m, k]["fit_seconds"] is not None], "model string, fold int, fit_seconds double")
+    return Backtest(_kept(spark, folder, "predictions", pairs), _kept(spark, folder, "importances", pairs), fits, _kept(spark, folder, "nodes", pairs))
+
+
+def _kept(spark: SparkSession, folder: str, name: str, pairs: list[tuple[str, int]]) -> DataFrame | None:
+    """What was kept of the given models and folds, of those that have such a table."""
+    found = _read(spark, f"{folder}/{name}")
+    if found is None:
+        return None
+    wanted = spark.createDataFrame(pairs, "model string, fold int")
+    return found.withColumns({"model": F.col("model").cast("string"), "fold": F.col("fold").cast("int")}).join(F.broadcast(wanted), ["model", "fold"], "left_semi")

@@ -12,7 +12,7 @@ from chronopanel.queries.base import (
     by_user, daily, folds_sql, hourly, query, table,
 )
 from chronopanel.queries.tables import lag_matrix, predictions, stored_plan
-from chronopanel.session import materialize
+from chronopanel.session import materialize, new_folder
 
 MODELS = ["naive_lag_1h", "naive_lag_24h_daily", "naive_lag_168h_weekly"]
 FLAGSHIP_FOLDS = {"n_folds": 6, "train_days": 10, "valid_days": 3, "gap_days": 0}
@@ -191,6 +191,15 @@ def backtest_naive(spark, sf):
     return forecast.backtest(matrix, HOURLY_PANEL, "value", folds, forecast.naive_baselines("value")).predictions
 
 
+@query("m9_resumed_backtest", f"""WITH {PREDICTIONS_SQL} SELECT series_id, model, fold, ts, {R('y_true')} AS y_true, {R('y_pred')} AS y_pred FROM preds""")
+def resumed_backtest(spark, sf):
+    """A run that stops after two folds, and another that takes it up: the rows of a straight run."""
+    matrix, folds = stored_plan(spark, sf)
+    folder, models = new_folder(spark, "run"), forecast.naive_baselines("value")
+    assert forecast.resumable_backtest(matrix, HOURLY_PANEL, "value", folds, models, folder, max_fits=2) is None
+    return forecast.resumable_backtest(matrix, HOURLY_PANEL, "value", folds, models, folder).predictions.select("series_id", "model", "fold", "ts", "y_true", "y_pred")
+
+
 def tree_inputs(spark, sf):
     """The matrix with the default lags and windows, and six folds: with a lag of 168 rows the month of events spans some 22 days."""
     matrix = materialize(features.build_features(hourly(spark, sf), HOURLY_PANEL, "value"))
