@@ -12,7 +12,8 @@ from chronopanel.functions.special import norm_quantile
 from chronopanel.operators.evaluate import segments
 from chronopanel.operators.quantiles import exact_quantiles
 from chronopanel.panel import Panel, PanelError
-from chronopanel.plans.units import CHUNK, add_chunk, attach, over_blocks, small_join
+from chronopanel.plans.units import CHUNK, add_chunk, attach, over_blocks
+from chronopanel.session import materialize
 
 SIGMAS = 2.0
 TAIL_PROBS = (0.95, 0.99, 0.999)
@@ -87,13 +88,14 @@ def histogram(df: DataFrame, panel: Panel, value: str | Column, bins: int, log_b
     )
 
 
-def value_ranks(df: DataFrame, panel: Panel, value: str, cells: int = 256) -> DataFrame:
+def value_ranks(df: DataFrame, panel: Panel, value: str) -> DataFrame:
     """Add ``rank`` (1-based, by value then time) and ``n`` within each series.
 
     A row's rank is the number of smaller values, plus the equal values in
     earlier time chunks, plus its place among the equal values of its chunk.
-    Smaller values are counted over distinct values, cut into cells at sketched
-    quantiles. So neither a long series, an extreme value nor a value that most
+    Smaller values are counted over distinct values, dealt by range into cells of
+    some ``unit_rows`` of them, whatever the series: their number grows with the table, and splitters
+    come from a sample. So neither a long series, an extreme value nor a value that most
     rows share is ever ordered in one task.
     """
     keys = list(panel.keys)
@@ -103,17 +105,14 @@ def value_ranks(df: DataFrame, panel: Panel, value: str, cells: int = 256) -> Da
 
     per_chunk = src.groupBy(*keys, value, CHUNK).agg(F.count(F.lit(1)).alias("__c"))
     ties = per_chunk.withColumn("__earlier", running("__c", [*keys, value], CHUNK)).drop("__c")
-    distinct = per_chunk.groupBy(*keys, value).agg(F.sum("__c").alias("__c"))
-    grid = [k / cells for k in range(1, cells)]
-    cuts = src.groupBy(*keys).agg(
-        F.percentile_approx(value, grid, 10_000).alias("__cuts"), F.count(F.lit(1)).alias("n")
-    )
-    placed = small_join(distinct, cuts, keys).withColumn(
-        "__cell", F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    )
-    starts = placed.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__c")).withColumn(
-        "__below", running("__c", keys, "__cell")
-    ).drop("__c")
+    distinct = materialize(per_chunk.groupBy(*keys, value).agg(F.sum("__c").alias("__c")))
+    cells = max(1, -(-distinct.count() // panel.unit_rows))
+    # Stored, so that a value stays in the cell it was dealt to.
+    placed = materialize(distinct.repartitionByRange(cells, *keys, value).withColumn("__cell", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)
+    # One row per cell that a series has values in.
+    starts = placed.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__c")).select(
+        *keys, "__cell", running("__c", keys, "__cell").alias("__below"), F.sum("__c").over(whole).alias("n"))
     smaller = placed.join(starts, [*keys, "__cell"]).select(
         *keys, value, "n", (F.col("__below") + running("__c", [*keys, "__cell"], value)).alias("__smaller")
     )

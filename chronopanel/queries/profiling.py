@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from chronopanel.functions import special
 from chronopanel.operators.loess import decompose_stl, loess
 from chronopanel.operators import profile, quality
 from chronopanel.queries.base import (
@@ -79,18 +78,18 @@ def gap_log_histogram(spark, sf):
     return profile.histogram(gaps, QUARTER_PANEL, "length", 40, log_bins=True)
 
 
+# Acklam's rational approximation of the inverse normal distribution, as published.
+NORM_TAIL = ("((((((-7.784894002430293e-03 * {r} - 3.223964580411365e-01) * {r} - 2.400758277161838e+00) * {r} - 2.549732539343734e+00) * {r} + 4.374664141464968e+00) * {r}"
+             " + 2.938163982698783e+00) / ((((7.784695709041462e-03 * {r} + 3.224671290700398e-01) * {r} + 2.445134137142996e+00) * {r} + 3.754408661907416e+00) * {r} + 1))")
+NORM_MIDDLE = ("((((((-3.969683028665376e+01 * {r} + 2.209460984245205e+02) * {r} - 2.759285104469687e+02) * {r} + 1.383577518672690e+02) * {r} - 3.066479806614716e+01) * {r}"
+               " + 2.506628277459239e+00) * {q} / (((((-5.447609879822406e+01 * {r} + 1.615858368580409e+02) * {r} - 1.556989798598866e+02) * {r} + 6.680131188771972e+01) * {r}"
+               " - 1.328068155288572e+01) * {r} + 1))")
+
+
 def norm_quantile_sql(p: str) -> str:
-    """Acklam's approximation written out in SQL."""
-    def horner(coefs, x):
-        out = repr(coefs[0])
-        for c in coefs[1:]:
-            out = f"({out} * {x} + {c!r})"
-        return out
-
-    tail = lambda q: f"({horner(special._NUM_TAIL, f'sqrt(-2 * ln({q}))')} / ({horner(special._DEN_TAIL, f'sqrt(-2 * ln({q}))')} * sqrt(-2 * ln({q})) + 1))"
-    r = f"(({p} - 0.5) * ({p} - 0.5))"
-    mid = f"({horner(special._NUM_CENTRAL, r)} * ({p} - 0.5) / ({horner(special._DEN_CENTRAL, r)} * {r} + 1))"
-    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 0.97575 THEN -{tail(f'(1 - {p})')} ELSE {mid} END"
+    low, high = (NORM_TAIL.format(r=f"sqrt(-2 * ln({x}))") for x in (p, f"1 - {p}"))
+    middle = NORM_MIDDLE.format(r=f"(({p} - 0.5) * ({p} - 0.5))", q=f"({p} - 0.5)")
+    return f"CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > 0.97575 THEN -{high} ELSE {middle} END"
 
 
 @query("a13_normal_qq", f"""WITH r AS (SELECT event_type AS series_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY value, ts) AS rank,

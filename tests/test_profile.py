@@ -34,7 +34,7 @@ def test_exact_quantiles(spark, monkeypatch, accuracy):
 def test_ranks_with_ties_and_an_extreme_value(spark):
     v = [1.0] * 40 + [5.0, 2.0, 1e9, 0.5] + [2.0] * 9
     df = series(spark, v)
-    got = profile.value_ranks(df, Panel(unit_rows=8), "y", cells=4)
+    got = profile.value_ranks(df, Panel(unit_rows=8), "y")
     order = sorted(range(len(v)), key=lambda i: (v[i], i))
     want = [0] * len(v)
     for place, i in enumerate(order, 1):
@@ -159,3 +159,17 @@ def test_anomalies_and_summaries(spark):
     with pytest.raises(ValueError):
         profile.scenario(df, ["series_id"], "y", 2.0)
     assert profile.extremes(df, P, "y").first().peak == 100.0
+
+
+def test_ranks_are_counted_in_cells_of_bounded_size(spark, monkeypatch):
+    """One series has nine tenths of the rows; no cell takes many more values than the panel's unit."""
+    rng = np.random.default_rng(2)
+    many, few = rng.normal(size=4500).round(6).tolist(), rng.normal(size=500).tolist()
+    stored, real = [], profile.materialize
+    monkeypatch.setattr(profile, "materialize", lambda df: stored.append(real(df)) or stored[-1])
+    df = union(series(spark, many), series(spark, few, name="b"))
+    got = profile.value_ranks(df, Panel(unit_rows=250), "y")
+    assert column(got.filter("series_id = 'a'"), "rank") == (np.argsort(np.argsort(many, kind="stable"), kind="stable") + 1).tolist()
+    assert column(got.filter("series_id = 'b'"), "rank") == (np.argsort(np.argsort(few)) + 1).tolist()
+    cells = [r["count"] for r in stored[-1].groupBy("__cell").count().collect()]
+    assert len(cells) >= 15 and max(cells) <= 3 * 250
