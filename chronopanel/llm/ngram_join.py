@@ -9,8 +9,10 @@ What makes this cheap at scale:
 * Equal sets are one node. Nodes that cannot have a partner go first, by an exact bound: of the lowest tokens in hash
   order (one and a half times what may differ) a partner shares a certain share, so a node with too few tokens there
   that any other set has is alone.
-* Links to the least node of the same lowest tokens are confirmed first. Groups are then cut from the components these
-  give, and a document is held only against groups that hold another component. So n near copies cost about n links.
+* Tokens that a node alone has cannot be shared, so at most the rest of the smaller side is: an exact bound of pairs.
+* Links to a hub of the same lowest tokens, the node with the least of its own, are confirmed first: of copies of a text with
+  changes here and there, that is the text. Groups are then cut from the components these give, and a document is held
+  only against groups that hold another component. So n near copies cost about n links.
 * A pair shares one of the first tokens of both sets (as many as may differ, and one) in any common order. Here the
   order puts frequent tokens last, so a passage that many documents share proposes nothing.
 """
@@ -126,8 +128,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _may_be_alike(n: str, m: str, n2: str, m2: str, percent: int) -> Column:
+    """Whether sets of n and n2 tokens, of which m and m2 are in any other set, may reach the threshold."""
+    most = F.least(m, m2)
+    return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
+
+
 def _groups(nodes: DataFrame) -> DataFrame:
-    """The nodes (id, n, low, c) with the number of their group: those of a component, or with one lowest token, in parts of bounded size.
+    """The nodes (id, n, m, low, c) with the number of their group: those of a component, or with one lowest token, in parts of bounded size.
 
     How many parts depends on counts, and a node's part on its hash, so no group is gathered to be cut.
     """
@@ -138,13 +146,19 @@ def _groups(nodes: DataFrame) -> DataFrame:
     many = materialize(parts.filter("parts > 1"))
     many = F.broadcast(many) if many.count() <= MAX_BROADCAST_ROWS else many
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("parts", F.lit(1)))
-    return nodes.join(many, "key", "left").select("id", "n", "c", F.xxhash64("key", part).alias("g"))
+    return nodes.join(many, "key", "left").select("id", "n", "m", "c", F.xxhash64("key", part).alias("g"))
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """Tokens of one set (id) and tokens of more than FREQUENT sets (t, k); the others are left out."""
+    held = sets.select("id", F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
+    frequent = F.col("k") > FREQUENT
+    return materialize(held.filter(frequent | (F.col("k") == 1)).select(F.when(~frequent, F.col("id")).alias("id"), F.when(frequent, F.col("t")).alias("t"), "k"))
 
 
-def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
+def _first_tokens(sets: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
     """(id, t): of each set the first tokens in the common order, as many as may differ and one."""
-    counts = sets.select(F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > FREQUENT)
-    top = counts.orderBy(F.desc("k"), "t").limit(MAX_FREQUENT).select("t").toPandas()["t"].to_numpy(dtype=np.int64)
+    top = counted.filter(F.col("t").isNotNull()).orderBy(F.desc("k"), "t").limit(MAX_FREQUENT).select("t").toPandas()["t"].to_numpy(dtype=np.int64)
     last = sets.sparkSession.sparkContext.broadcast(np.sort(top))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +177,19 @@ def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(cut, f"id bigint, set {_SET}").select("id", F.explode("set").alias("t"))
 
 
-def _qualifying(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _qualifying(nodes: DataFrame, sets: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
     """(q, g): nodes and the groups that may hold a partner of another component, by the bound on the union of the group's tokens."""
-    first = materialize(_first_tokens(sets, percent).join(nodes.select("id", "n", "c", "g"), "id"))
+    first = materialize(_first_tokens(sets, counted, percent).join(nodes.select("id", "n", "m", "c", "g"), "id"))
     # Only tokens of several components propose anything. Of two partners with different components at least one is not
     # in the component that holds the token most often, so that one asks.
     by_c = first.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = by_c.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("k", "c")).alias("most"))
     mixed = materialize(mixed.filter("lo <> hi").select("t", F.col("most.c").alias("most")))
     rows = materialize(first.join(mixed, "t"))
-    asks = rows.filter(F.col("c") != F.col("most")).select("t", F.col("id").alias("q"), F.col("n").alias("nq"), F.col("c").alias("cq"))
-    spans = rows.groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    asks = rows.filter(F.col("c") != F.col("most")).select("t", F.col("id").alias("q"), F.col("n").alias("nq"), F.col("m").alias("mq"), F.col("c").alias("cq"))
+    spans = rows.groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("m").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     own = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("cq"))
-    fits = (100 * F.col("largest") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq"))
+    fits = (100 * F.col("largest") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq")) & _may_be_alike("nq", "mq", "least", "most", percent)
     asked = materialize(asks.join(spans, "t").filter(fits & ~own).select("q", "nq", "g").distinct())
     members = nodes.select("id", "g").join(asked.select("g").distinct(), "g", "left_semi")
     unions = members.join(sets, "id").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("union"))
@@ -210,19 +224,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(_sets(_texts_of(able.select("id", "__k1", "__k2"), docs, id_col, text_col), shingle_words, percent, lowest=False))
     if sets.count() > able.count():  # equal rows share a key; one of them is enough
         sets = materialize(sets.dropDuplicates(["id"]))
+    counted = _counted(sets)
+    own = counted.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    able = able.select("id", "n", "low").join(own, "id", "left").select("id", "n", "low", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+    able = materialize(able.filter(100 * F.col("m") >= percent * F.col("n")))
     # Links to hubs first.
-    keyed = able.select("id", "n", F.explode("low").alias("t"))
-    hubs = keyed.groupBy("t").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).filter(F.col("hub.id") != F.col("top"))
-    stars = keyed.join(hubs.select("t", F.col("hub.id").alias("a"), F.col("hub.n").alias("na")), "t").filter(F.col("id") != F.col("a"))
-    alike = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
-    edges = materialize(_confirmed(stars.filter(alike).select("a", F.col("id").alias("b")).distinct(), sets, percent))
+    keyed = able.select("id", "n", "m", F.explode("low").alias("t"))
+    central = F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), "n", "m")
+    hubs = keyed.groupBy("t").agg(F.max(central).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    hubs = hubs.select("t", (-F.col("hub.id")).alias("a"), F.col("hub.n").alias("na"), F.col("hub.m").alias("ma"))
+    stars = keyed.join(hubs, "t").filter((F.col("id") != F.col("a")) & _may_be_alike("n", "m", "na", "ma", percent))
+    edges = materialize(_confirmed(stars.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), sets, percent))
     label = components(edges)
-    labelled = able.select("id", "n", "low").join(label, "id", "left")
-    nodes = materialize(_groups(labelled.select("id", "n", "low", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("linked"))))
+    labelled = able.join(label, "id", "left")
+    nodes = materialize(_groups(labelled.select("id", "n", "m", "low", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("linked"))))
     # Then the groups that hold another component.
-    opened = materialize(_qualifying(nodes, sets, percent))
-    asking = opened.join(nodes.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("c").alias("cq")), "q")
-    within = (100 * F.least("n", "nq") >= percent * F.greatest("n", "nq")) & (F.col("c") != F.col("cq"))
+    opened = materialize(_qualifying(nodes, sets, counted, percent))
+    asking = opened.join(nodes.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("m").alias("mq"), F.col("c").alias("cq")), "q")
+    within = _may_be_alike("n", "m", "nq", "mq", percent) & (F.col("c") != F.col("cq"))
     pairs = asking.join(nodes, "g").filter(within).select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
     more = materialize(_confirmed(pairs, sets, percent))
     if more.limit(1).count():
