@@ -10,7 +10,7 @@ Vocabularies are files that Spark reads and sends to the tasks; nothing is opene
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +31,9 @@ MAX_BROADCAST_PAIRS = 1_000_000
 HOT_SHARE = 1000
 MAX_BROADCAST_BYTES = 32 << 20
 
+# Fixed value: the pattern by which byte-level vocabularies of this kind part a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 SCHEMA = "k1 bigint, k2 bigint, docs bigint, n_a bigint, n_b bigint, groups string, pairs array<bigint>, times array<bigint>"
 
 
@@ -41,22 +44,29 @@ def byte_of_symbol() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+def _names(n: int, mark: str) -> tuple[np.ndarray, np.ndarray]:
+    """Each id as text, with what follows it inside a group and at the end of a side."""
+    return np.array([f"{i}," for i in range(n)], object), np.array([f"{i}{mark}" for i in range(n)], object)
+
+
 class ByteLevel:
-    """A byte-level BPE; special tokens' strings are plain text."""
+    """A byte-level BPE; special tokens' strings are plain text. Its entries are in the order of merges, so ids are ranks."""
 
     def __init__(self, data: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_str(data.decode())
-        self.model.encode_special_tokens = True
-        symbols = byte_of_symbol()
-        entries = (self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size()))
-        self.bytes = [bytes(symbols[c] for c in e) if all(c in symbols for c in e) else e.encode() for e in entries]
+        import tiktoken
+
+        symbols, file = byte_of_symbol(), json.loads(data)
+        special = {t["content"] for t in file["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in entry): i for entry, i in file["model"]["vocab"].items() if entry not in special}
+        self.model = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for entry, i in ranks.items():
+            self.bytes[i] = entry
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.names = _names(len(self.bytes), "|")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [self.model.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces:
@@ -71,29 +81,34 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.names = _names(len(self.bytes), ";")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
-def align(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+def align(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray, names_a: tuple, names_b: tuple) -> tuple[str, np.ndarray, np.ndarray]:
     """Groups as text (``a1,a2|b1;a3|b2``), and the ids on both sides of each link, of one text's tokens."""
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     cut = np.intersect1d(end_a, end_b)
     # Tokens that end at a cut: runs of them where a token has no bytes.
     last_a, last_b = np.searchsorted(end_a, cut, side="right"), np.searchsorted(end_b, cut, side="right")
-    names_a, names_b = list(map(str, a)), list(map(str, b))
-    parts, i, j = [], 0, 0
-    for to_a, to_b in zip(last_a.tolist(), last_b.tolist(), strict=True):
-        parts.append(f"{','.join(names_a[i:to_a])}|{','.join(names_b[j:to_b])}")
-        i, j = to_a, to_b
+    # Each id's place in the text: behind all of its own side before it, and of the other side in earlier groups, or also its own.
+    before_b = np.repeat(np.concatenate(([0], last_b[:-1])), np.diff(last_a, prepend=0)) if len(cut) else last_a
+    before_a = np.repeat(last_a, np.diff(last_b, prepend=0))
+    text = np.empty(len(before_b) + len(before_a), object)
+    at_a, at_b = np.arange(len(before_b)) + before_b, np.arange(len(before_a)) + before_a
+    text[at_a], text[at_b] = names_a[0][a[: len(at_a)]], names_b[0][b[: len(at_b)]]
+    text[at_a[last_a - 1]], text[at_b[last_b - 1]] = names_a[1][a[last_a - 1]], names_b[1][b[last_b - 1]]
+    shown = "".join(text.tolist())[:-1]
     first_a, first_b = np.searchsorted(end_a, cut), np.searchsorted(end_b, cut)
     if len(cut) and ((last_a - first_a).max() > 1 or (last_b - first_b).max() > 1):
         links = [(x, y) for k in range(len(cut)) for x in a[first_a[k] : last_a[k]] for y in b[first_b[k] : last_b[k]]]
         left, right = np.array([x for x, _ in links], np.int64), np.array([y for _, y in links], np.int64)
     else:
-        left, right = np.asarray(a, np.int64)[first_a], np.asarray(b, np.int64)[first_b]
-    return ";".join(parts), left, right
+        left, right = a[first_a], b[first_b]
+    return shown, left, right
 
 
 def _files(spark: SparkSession, folder: str, names: tuple[str, str]) -> list[bytes]:
@@ -128,7 +143,7 @@ def aligned_texts(docs: DataFrame, text_col: str = "text", folder: str = TOKENIZ
                     want = b" " + text.encode()
                     if b"".join(map(one.bytes.__getitem__, a)) != want or b"".join(map(two.bytes.__getitem__, b)) != want:
                         continue
-                    shown, left, right = align(a, b, one.sizes, two.sizes)
+                    shown, left, right = align(a, b, one.sizes, two.sizes, one.names, two.names)
                     value, count = np.unique(left << 32 | right, return_counts=True)
                     for out, x in zip((keep, n_a, n_b, groups, pairs, times), (at + row, len(a), len(b), shown, value, count), strict=True):
                         out.append(x)

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronopanel.llm.alignment import TOKENIZERS, align, byte_of_symbol, tokenizer_alignment
+from chronopanel.llm.alignment import TOKENIZERS, ByteLevel, _names, align, byte_of_symbol, tokenizer_alignment
 from chronopanel.llm.ngram_join import ngram_join
 from chronopanel.llm.spelling import run_counts, spelling_variants, vector
 from tests.llm import brute
@@ -191,12 +191,24 @@ def test_alignment_edge(spark, nothing):
     assert tokenizer_alignment(nothing).count() == 0
 
 
+def test_byte_level_ids_are_those_of_the_file():
+    """Random text of all planes against the library that the file is made for."""
+    one = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    one.encode_special_tokens = True
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", "rb") as f:
+        ours = ByteLevel(f.read())
+    rng, odd = random.Random(1), [0x20, 9, 10, 13, 0x85, 0xA0, 0x2028, 0x3000, 0x180E, 0x200B, 0x1680]
+    texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x250), rng.choice(odd), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x1FFFF)]))
+                     for _ in range(rng.randrange(1, 14))) for _ in range(5000)] + ["<|endoftext|>", "don't we'll I'M 1234 ...\n\n  x"]
+    assert ours.encode(texts) == [one.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_tokens_without_bytes():
     import numpy as np
 
-    sizes = np.array([0, 1, 2])
-    assert align([], [], sizes, sizes)[0] == ""
-    shown, left, right = align([1, 1, 0], [2], sizes, sizes)
+    sizes, bars, ends = np.array([0, 1, 2]), _names(3, "|"), _names(3, ";")
+    assert align([], [], sizes, sizes, bars, ends)[0] == ""
+    shown, left, right = align([1, 1, 0], [2], sizes, sizes, bars, ends)
     assert shown == "1,1,0|2" and sort(zip(left.tolist(), right.tolist())) == [(0, 2), (1, 2)]
 
 
