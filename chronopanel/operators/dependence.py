@@ -306,13 +306,13 @@ def kpss_p(stat):
     return out.when(stat.isNotNull(), F.lit(KPSS_P[-1]))
 
 
-def stationarity(df: DataFrame, panel: Panel, value: str, max_lag: int = 40, diff: int = 0, alpha: float = 0.05) -> DataFrame:
+def stationarity(df: DataFrame, panel: Panel, value: str, max_lag: int = 40, diff: int = 0, alpha: float = 0.05, select: str | None = "AIC") -> DataFrame:
     """Both tests and the joint verdict; null with a ``reason`` where a test has no statistic.
 
     "mixed" means that both tests spoke and disagree. A series without values is in the result as well.
     """
     keys = list(panel.keys)
-    tests = adf(df, panel, value, max_lag, diff).join(kpss(df, panel, value, diff), keys, "full")
+    tests = adf(df, panel, value, max_lag, diff, select).join(kpss(df, panel, value, diff), keys, "full")
     both = df.select(*keys).distinct().join(tests, keys, "left")
     by_adf, by_kpss = F.col("adf_p") < alpha, F.col("kpss_p") > alpha
     flat = F.col("kpss_stat").isNull() | F.isnan("kpss_stat")
