@@ -15,6 +15,17 @@ from chronopanel.queries.tables import lag_matrix, predictions, stored_plan
 from chronopanel.session import materialize, new_folder
 
 MODELS = ["naive_lag_1h", "naive_lag_24h_daily", "naive_lag_168h_weekly"]
+
+
+def unscored_sql(columns: str, models: list[str], scores: str) -> str:
+    """A row for each series of the events and each model that has no scores; ``columns`` says what is in it."""
+    names = ", ".join(f"('{m}')" for m in models)
+    same = " AND x.model = m.model" if len(models) > 1 else ""
+    return (f" UNION ALL SELECT {columns} FROM (SELECT DISTINCT event_type AS series_id FROM events) s, (VALUES {names}) m(model)"
+            f" WHERE NOT EXISTS (SELECT 1 FROM {scores} x WHERE x.series_id = s.series_id{same})")
+
+
+NO_BOARD = "s.series_id, m.model, 0, 0, " + ", ".join(["NULL"] * 2 * len(evaluate.LEADERBOARD_METRICS))
 FLAGSHIP_FOLDS = {"n_folds": 6, "train_days": 10, "valid_days": 3, "gap_days": 0}
 
 
@@ -32,7 +43,7 @@ full_sc AS (SELECT sc.*, "MAE" / scale AS "MASE" FROM sc JOIN scales USING (seri
 SELECT series_id, 'naive_lag_1h' AS model, count(*) AS n_folds, count(*) FILTER (WHERE "MAE" IS NULL OR "RMSE" IS NULL OR "WAPE" IS NULL
   OR "sMAPE" IS NULL OR "MASE" IS NULL) AS n_undefined, """ + ", ".join(
     f'{R(f"""avg("{m}")""", 5)} AS "{m}_mean", {R(f"""stddev_samp("{m}")""", 5)} AS "{m}_std"' for m in evaluate.LEADERBOARD_METRICS
-) + " FROM full_sc GROUP BY 1")
+) + " FROM full_sc GROUP BY 1" + unscored_sql(NO_BOARD, MODELS[:1], "full_sc"))
 def flagship(spark, sf):
     """Hourly mean, lag 1, rolling-origin folds, naive forecast, metrics, leaderboard per series."""
     matrix = materialize(features.build_features(
@@ -44,7 +55,6 @@ def flagship(spark, sf):
     scores = evaluate.score(preds, ["series_id", "fold", "model"], scale=scale, scale_on=["series_id", "fold"])
     board = evaluate.leaderboard(scores, ["series_id"], decimals=5)
     status = fold_status(matrix, HOURLY_PANEL, **FLAGSHIP_FOLDS, series=table(spark, sf, "events").select(F.col("event_type").alias("series_id")))
-    # The SQL has no reason; a19_leaderboard_short_series has.
     return evaluate.with_unscored(board, status, ["series_id"], ["naive_lag_1h"]).drop("reason")
 
 
@@ -132,7 +142,8 @@ BOARD_SQL = ", ".join(
 
 
 @query("a19_leaderboard", f"WITH {SCORES_SQL} SELECT series_id, model, count(*) AS n_folds, "
-       f"count(*) FILTER (WHERE mae IS NULL OR rmse IS NULL OR wape IS NULL OR smape IS NULL OR mase IS NULL) AS n_undefined, {BOARD_SQL} FROM scores GROUP BY 1, 2")
+       f"count(*) FILTER (WHERE mae IS NULL OR rmse IS NULL OR wape IS NULL OR smape IS NULL OR mase IS NULL) AS n_undefined, {BOARD_SQL} FROM scores GROUP BY 1, 2"
+       + unscored_sql(NO_BOARD, MODELS, "scores"))
 def leaderboard(spark, sf):
     board = evaluate.leaderboard(fold_scores(spark, sf), ["series_id"], decimals=5)
     return evaluate.with_unscored(board, plan_status(spark, sf), ["series_id"], MODELS).drop("reason")
@@ -384,7 +395,8 @@ def short_series(spark, sf):
     return fold_status(by_user(spark, sf), HOURLY_PANEL, 4, 20, 2, 1)
 
 
-@query("m9_fold_results", f"""WITH {SCORES_SQL} SELECT {SCORE_COLUMNS}, {R('mase')} AS "MASE", TRUE AS no_fit FROM scores""")
+@query("m9_fold_results", f"""WITH {SCORES_SQL} SELECT {SCORE_COLUMNS}, {R('mase')} AS "MASE", TRUE AS no_fit FROM scores"""
+       + unscored_sql("s.series_id, NULL, m.model, 0, NULL, NULL, NULL, NULL, NULL, TRUE", MODELS, "scores"))
 def fold_results(spark, sf):
     """One frame per run: fold, model, rows, seconds of the fit (none for lag models), five metrics."""
     matrix, folds = stored_plan(spark, sf)
