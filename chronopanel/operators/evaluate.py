@@ -52,6 +52,20 @@ def mase_scale(
     )
 
 
+def stack_scale(predictions: DataFrame, panel: Panel, holdout: int, season: int = SEASON) -> DataFrame:
+    """As `mase_scale`, but over what a stack learns from: the truth of the folds before ``holdout``, one after another.
+
+    ``predictions`` may hold several models; a row counts once. The result is of the fold ``holdout``.
+    """
+    if season < 1:
+        raise PanelError("the seasonal period must be at least 1")
+    keys = list(panel.keys)
+    truth = predictions.filter((F.col("fold") < holdout) & F.col("y_true").isNotNull()).groupBy(*keys, panel.ts).agg(F.first("y_true").alias("y_true"))
+    moved = over_blocks(truth, panel, lambda b, w: b.withColumn("__d", F.abs(F.col("y_true") - F.lag("y_true", season).over(w))), back=season)
+    found = moved.groupBy(*keys).agg(F.count(F.lit(1)).alias("train_rows"), F.avg("__d").alias("scale"))
+    return found.select(*keys, F.lit(holdout).alias("fold"), "train_rows", F.when(F.col("scale") > 0, F.col("scale")).alias("scale"))
+
+
 def score(
     predictions: DataFrame,
     by: Sequence[str],

@@ -45,8 +45,15 @@ def chunk_window(panel: Panel) -> WindowSpec:
 
 def is_stored(df: DataFrame) -> bool:
     """Whether the plan only reads, selects and filters: reading it twice then costs less than keeping branches alike."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return not any(word in plan for word in ("Aggregate", "Join", "Window", "Generate", "Repartition", "Sort", "Distinct", "Deduplicate"))
+    left = [df._jdf.queryExecution().analyzed()]
+    while left:
+        node = left.pop()
+        # Names of plan nodes, so that no column or folder can look like one.
+        if any(word in node.nodeName() for word in ("Aggregate", "Join", "Window", "Generate", "Repartition", "Sort", "Distinct", "Deduplicate")):
+            return False
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def row_index(df: DataFrame, panel: Panel, name: str = ROW, spread: bool | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from chronopanel.queries.base import (
     HOURLY_FOLDS, HOURLY_PANEL, PREDICTIONS_SQL, R, SCORES_SQL, hourly, query, table,
 )
 from chronopanel.queries.tables import predictions
+from chronopanel.session import materialize
 
 WIDE_SQL = PREDICTIONS_SQL + """,
 wide AS (SELECT series_id, fold, ts, max(y_true) AS y_true, max(y_pred) FILTER (WHERE model = 'naive_lag_1h') AS a,
@@ -180,6 +181,19 @@ def stacking(spark, sf):
     return ensemble.stack(predictions(spark, sf), MODELS[:2], holdout=HOURLY_FOLDS["n_folds"])[0]
 
 
+@query("m8_stack_mase", f"""WITH {STACK_SQL}, d AS (SELECT series_id, abs(y_true - lag(y_true, 24) OVER (PARTITION BY series_id ORDER BY ts)) AS d FROM wide WHERE fold < 4),
+sc AS (SELECT series_id, avg(d) AS scale FROM d GROUP BY 1),
+p AS (SELECT series_id, fold, y_true, greatest(w0 + wa * a + wb * b, 0) AS p FROM wide, k WHERE fold = 4)
+SELECT series_id, fold, {R('avg(abs(y_true - p))')} AS "MAE", {R('avg(abs(y_true - p)) / any_value(scale)')} AS "MASE" FROM p JOIN sc USING (series_id) GROUP BY 1, 2""")
+def stack_mase(spark, sf):
+    """The stack's errors against the seasonal differences of the folds that it learned from."""
+    preds = materialize(predictions(spark, sf))
+    out, _ = ensemble.stack(preds, MODELS[:2], holdout=HOURLY_FOLDS["n_folds"])
+    scale = evaluate.stack_scale(preds.filter(F.col("model").isin(MODELS[:2])), HOURLY_PANEL, HOURLY_FOLDS["n_folds"])
+    scores = evaluate.score(out, ["series_id", "fold"], scale=scale, scale_on=["series_id", "fold"])
+    return scores.select("series_id", "fold", "MAE", "MASE")
+
+
 @query("m8_stacking_weights", f"""WITH {STACK_SQL} SELECT 'naive_lag_1h' AS base_model, {R('wa')} AS coefficient FROM k
 UNION ALL SELECT 'naive_lag_24h_daily', {R('wb')} FROM k UNION ALL SELECT 'intercept', {R('w0')} FROM k""")
 def stacking_weights(spark, sf):

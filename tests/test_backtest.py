@@ -295,3 +295,11 @@ def test_arima_takes_outside_columns(seasonal):
     assert model.predictions(with_x.withColumn("x", F.col("x") + F.rand(3)), P, "y", folds).count() == 240
     with pytest.raises(PanelError):
         model.predictions(df, P, "y", folds)
+
+
+def test_only_plan_nodes_tell_whether_a_table_is_stored(spark):
+    from chronopanel.plans.units import is_stored
+
+    df = series(spark, [1.0, 2.0])
+    assert is_stored(df.withColumn("Join", F.lit("Sort Window")).filter("y > 1"))
+    assert not is_stored(df.orderBy("ts").select("ts")) and not is_stored(df.join(df.select("ts"), "ts")) and not is_stored(df.distinct())
