@@ -5,9 +5,11 @@ keys; what is kept of each is its lowest bits, packed into whole numbers. Docume
 candidates, their similarity is estimated by counting equal bits, corrected for bits that agree by chance, and the
 pairs that may reach the threshold are confirmed on full sets.
 
-Equal sets are one representative from the start. Within a band's group a star of candidates goes to its smallest
-member; pairs that the stars left in different components are then looked at too, behind an exact bound on what they
-can share, so a group of n near copies costs about n candidates per band, and no link between components is lost.
+Equal sets are one representative from the start. Within a band's group a star of candidates goes to the member with the
+most shingles that many others have: of copies of a text with changes here and there, that text. Pairs that the stars left
+in different components are then looked at too, behind exact bounds on what they can share: what a document alone holds
+it shares with none, and where frequent shingles are too few, a rare one is shared. So a group of n near copies costs
+about n candidates per band, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from chronopanel.llm.components import components
 from chronopanel.llm.decontamination import row_key
 from chronopanel.llm.hashing import SPACED, gram_hashes, in_pieces, mix, numbers, word_hashes
+from chronopanel.llm.ngram_join import among, counted_tokens, frequent_tokens, may_be_alike
 from chronopanel.llm.registry import query, table
 from chronopanel.session import materialize
 
@@ -148,10 +151,28 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _alone(sets: DataFrame) -> DataFrame:
-    """(id, u): how many of a document's shingles no other document of ``sets`` has."""
-    once = sets.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return once.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+def _measured(sets: DataFrame, percent: int) -> DataFrame:
+    """Per document of ``sets`` that may have a partner there, stored: id, n (shingles), m (those that another one has too),
+    f (those of many) and rare: of its first shingles, as many as may differ and one, with those of many last, those that are not of many."""
+    counted = counted_tokens(sets)
+    sent = sets.sparkSession.sparkContext.broadcast(frequent_tokens(counted))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sent.value
+        for batch in batches:
+            n, f, rare = [], [], []
+            for value in batch.column("set"):
+                shingles = value.values.to_numpy()
+                of_many = among(frequent, shingles)
+                n.append(len(shingles)), f.append(int(of_many.sum()))
+                rare.append(shingles[~of_many][: len(shingles) * (100 - percent) // 100 + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "n", "f", "rare"])
+
+    own = counted.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    found = sets.mapInArrow(cut, f"id bigint, n bigint, f bigint, rare {_SET}").join(own, "id", "left")
+    found = found.select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"), "f", "rare")
+    return materialize(found.filter(100 * F.col("m") >= percent * F.col("n")))
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
@@ -160,32 +181,36 @@ def _mixed(keys: DataFrame) -> DataFrame:
     return materialize(keys.join(materialize(groups), ["band", "key"], "left_semi"))
 
 
-def _across(keys: DataFrame, reps: DataFrame, sets: DataFrame, minima: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a band and may reach the threshold, each once.
+def _across(keys: DataFrame, nodes: DataFrame, reps: DataFrame, minima: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band and may reach the threshold.
 
-    ``keys`` are the rows (id, c, band, key) of mixed band groups, ``reps`` has id, n_shingles, sig and all bands. What a document alone holds cannot be shared: at most the rest of the smaller side is, and that bound, exact, drops most
-    pairs of documents that are both like a third. All conditions hold within the join, and a pair leaves it in its
-    first shared band only.
+    ``keys`` are the rows (id, c, band, key) of mixed band groups, ``nodes`` has their numbers and rare shingles
+    (`_measured`), ``reps`` id, sig and all bands. The pairs are of two kinds. Shingles of many alone may suffice for the
+    threshold: then the band groups are gone through, by documents that have so many. Or they do not: then a pair
+    shares a shingle that is not of many, and the first such one in the common order is among the first of both
+    sides, so documents meet by these, and no group is large. All conditions hold within the joins.
     """
-    # First the bound of a document by itself: at most what it does not hold alone is shared. Wide columns come last.
-    size = F.col("n_shingles")
-    able = (
-        reps.join(keys.select("id").distinct(), "id", "left_semi").join(_alone(sets), "id", "left")
-        .select("id", size.alias("n"), (size - F.coalesce("u", F.lit(0))).alias("m"), "sig", "bands").filter(100 * F.col("m") >= percent * F.col("n"))
-    )
-    able = materialize(able)
-    rows = _mixed(keys.join(able.select("id"), "id", "left_semi")).join(able, "id")
-    rows = materialize(rows.select("id", "c", "band", "key", "n", "m", "sig", F.slice("bands", F.lit(1), F.col("band")).alias("before")))
+    wide = reps.select("id", "sig", "bands")
+    enough = nodes.filter(100 * F.col("f") >= percent * F.col("n")).select("id", "n", "f")
+    rows = _mixed(keys.join(enough, "id")).join(wide, "id")
+    rows = materialize(rows.select("id", "c", "band", "key", "n", "f", "sig", F.slice("bands", F.lit(1), F.col("band")).alias("before")))
+    held = keys.select("id", "c").distinct().join(nodes.select("id", "n", "m", "f", F.explode("rare").alias("t")), "id")
+    held = materialize(held)
+    several = held.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("t")
+    met = materialize(held.join(several, "t", "left_semi").join(wide, "id"))
+
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select(*[F.col(c).alias(x if c == "id" else f"{c}{x}") for c in of.columns])
 
-    def side(x: str) -> DataFrame:
-        return rows.select(F.col("band").alias(f"band{x}"), F.col("key").alias(f"key{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"),
-                           F.col("m").alias(f"m{x}"), F.col("sig").alias(f"s{x}"), F.col("c").alias(f"c{x}"), F.col("before").alias(f"f{x}"))
+    def pairs(of: DataFrame, on: Column) -> DataFrame:
+        sizes_and_bits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("siga", "sigb", minima) >= percent / 100 - SLACK)
+        return side(of, "a").join(side(of, "b"), on & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes_and_bits).select("a", "b")
 
-    most = F.least("ma", "mb")
-    fits = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
-    earlier = F.exists(F.zip_with("fa", "fb", lambda x, y: x == y), lambda same: same)
-    on = (F.col("banda") == F.col("bandb")) & (F.col("keya") == F.col("keyb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    return side("a").join(side("b"), on & fits & _likely(minima, percent) & ~earlier).select("a", "b")
+    by_many = may_be_alike("na", "fa", "nb", "fb", percent)
+    band_in = lambda x, y: F.exists(F.zip_with(x, y, lambda u, v: u == v), lambda same: same)
+    in_band = pairs(rows, (F.col("banda") == F.col("bandb")) & (F.col("keya") == F.col("keyb")) & by_many & ~band_in("beforea", "beforeb"))
+    by_rare = pairs(met, (F.col("ta") == F.col("tb")) & ~by_many & may_be_alike("na", "ma", "nb", "mb", percent) & band_in("bandsa", "bandsb"))
+    return in_band.unionByName(by_rare.distinct())
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, bands: int, rows: int) -> DataFrame:
@@ -202,10 +227,18 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, pe
         usable.drop("id").join(classes.select("node", F.col("rep.__k1").alias("__k1"), F.col("rep.__k2").alias("__k2")), ["__k1", "__k2"])
         .dropDuplicates(["node"]).select(F.col("node").alias("id"), "__k1", "__k2", "n_shingles", "sig", "bands"))
     minima = bands * rows
-    side = reps.select("id", F.col("n_shingles").alias("n"), "sig")
     in_bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    hubs = in_bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("top")).filter(F.col("a") != F.col("top")).drop("top")
-    stars = in_bands.join(hubs, ["band", "key"]).filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    groups = in_bands.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("band", "key")
+    shared = materialize(in_bands.join(groups, ["band", "key"], "left_semi"))
+    sets = _sets_of(shared.select(F.col("id").alias("__w")), reps, docs, id_col, text_col, shingle_words)
+    nodes = _measured(sets, percent)
+    shared = materialize(shared.join(nodes.select("id", "n", "m", "f"), "id"))
+    side = reps.select("id", F.col("n_shingles").alias("n"), "sig").join(nodes.select("id"), "id", "left_semi")
+    central = F.struct((F.col("f") / F.col("n")).alias("f_share"), (F.col("m") / F.col("n")).alias("m_share"), (-F.col("id")).alias("id"), "n", "m")
+    hubs = shared.groupBy("band", "key").agg(F.max(central).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    hubs = hubs.select("band", "key", (-F.col("hub.id")).alias("a"), F.col("hub.n").alias("na"), F.col("hub.m").alias("ma"))
+    stars = shared.join(hubs, ["band", "key"]).filter((F.col("id") != F.col("a")) & may_be_alike("n", "m", "na", "ma", percent))
+    stars = stars.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
 
     def likely(pairs: DataFrame) -> DataFrame:
         return (
@@ -215,13 +248,11 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, pe
         )
 
     first = materialize(likely(stars))
-    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("__w"))
-    edges = materialize(_confirm(first, _sets_of(both(first), reps, docs, id_col, text_col, shingle_words), percent))
+    edges = materialize(_confirm(first, sets, percent))
     label = components(edges)
     # Groups whose stars left more than one component: the pairs across components are looked at as well.
-    keys = _mixed(in_bands.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "band", "key"))
-    sets = _sets_of(keys.select(F.col("id").alias("__w")), reps, docs, id_col, text_col, shingle_words)
-    second = materialize(_across(keys, reps, sets, minima, percent).join(first, ["a", "b"], "left_anti"))
+    keys = _mixed(shared.select("id", "band", "key").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "band", "key"))
+    second = materialize(_across(keys, nodes, reps, minima, percent).join(first, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         label = components(edges.union(_confirm(second, sets, percent)))
     # The least row of each component; a set that is linked with no other has its own.

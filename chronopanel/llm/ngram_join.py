@@ -128,7 +128,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _may_be_alike(n: str, m: str, n2: str, m2: str, percent: int) -> Column:
+def may_be_alike(n: str, m: str, n2: str, m2: str, percent: int) -> Column:
     """Whether sets of n and n2 tokens, of which m and m2 are in any other set, may reach the threshold."""
     most = F.least(m, m2)
     return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
@@ -149,17 +149,29 @@ def _groups(nodes: DataFrame) -> DataFrame:
     return nodes.join(many, "key", "left").select("id", "n", "m", "c", F.xxhash64("key", part).alias("g"))
 
 
-def _counted(sets: DataFrame) -> DataFrame:
+def counted_tokens(sets: DataFrame) -> DataFrame:
     """Tokens of one set (id) and tokens of more than FREQUENT sets (t, k); the others are left out."""
     held = sets.select("id", F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id"))
     frequent = F.col("k") > FREQUENT
     return materialize(held.filter(frequent | (F.col("k") == 1)).select(F.when(~frequent, F.col("id")).alias("id"), F.when(frequent, F.col("t")).alias("t"), "k"))
 
 
+def frequent_tokens(counted: DataFrame) -> np.ndarray:
+    """The most frequent of the tokens of `counted_tokens`, sorted: as many as may be sent to the tasks."""
+    top = counted.filter(F.col("t").isNotNull()).orderBy(F.desc("k"), "t").limit(MAX_FREQUENT).select("t")
+    return np.sort(top.toPandas()["t"].to_numpy(dtype=np.int64))
+
+
+def among(frequent: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which of ``tokens`` are in ``frequent``, which is sorted."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+
+
 def _first_tokens(sets: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
     """(id, t): of each set the first tokens in the common order, as many as may differ and one."""
-    top = counted.filter(F.col("t").isNotNull()).orderBy(F.desc("k"), "t").limit(MAX_FREQUENT).select("t").toPandas()["t"].to_numpy(dtype=np.int64)
-    last = sets.sparkSession.sparkContext.broadcast(np.sort(top))
+    last = sets.sparkSession.sparkContext.broadcast(frequent_tokens(counted))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = last.value
@@ -167,10 +179,8 @@ def _first_tokens(sets: DataFrame, counted: DataFrame, percent: int) -> DataFram
             firsts = []
             for value in batch.column("set"):
                 tokens = value.values.to_numpy()
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-                    late = frequent[at] == tokens
-                    tokens = np.concatenate((tokens[~late], tokens[late]))
+                late = among(frequent, tokens)
+                tokens = np.concatenate((tokens[~late], tokens[late]))
                 firsts.append(tokens[: len(tokens) * (100 - percent) // 100 + 1])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "set"])
 
@@ -189,7 +199,7 @@ def _qualifying(nodes: DataFrame, sets: DataFrame, counted: DataFrame, percent:
     asks = rows.filter(F.col("c") != F.col("most")).select("t", F.col("id").alias("q"), F.col("n").alias("nq"), F.col("m").alias("mq"), F.col("c").alias("cq"))
     spans = rows.groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("m").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     own = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("cq"))
-    fits = (100 * F.col("largest") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq")) & _may_be_alike("nq", "mq", "least", "most", percent)
+    fits = (100 * F.col("largest") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq")) & may_be_alike("nq", "mq", "least", "most", percent)
     asked = materialize(asks.join(spans, "t").filter(fits & ~own).select("q", "nq", "g").distinct())
     members = nodes.select("id", "g").join(asked.select("g").distinct(), "g", "left_semi")
     unions = members.join(sets, "id").groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("union"))
@@ -224,7 +234,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(_sets(_texts_of(able.select("id", "__k1", "__k2"), docs, id_col, text_col), shingle_words, percent, lowest=False))
     if sets.count() > able.count():  # equal rows share a key; one of them is enough
         sets = materialize(sets.dropDuplicates(["id"]))
-    counted = _counted(sets)
+    counted = counted_tokens(sets)
     own = counted.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     able = able.select("id", "n", "low").join(own, "id", "left").select("id", "n", "low", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
     able = materialize(able.filter(100 * F.col("m") >= percent * F.col("n")))
@@ -233,7 +243,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     central = F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), "n", "m")
     hubs = keyed.groupBy("t").agg(F.max(central).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     hubs = hubs.select("t", (-F.col("hub.id")).alias("a"), F.col("hub.n").alias("na"), F.col("hub.m").alias("ma"))
-    stars = keyed.join(hubs, "t").filter((F.col("id") != F.col("a")) & _may_be_alike("n", "m", "na", "ma", percent))
+    stars = keyed.join(hubs, "t").filter((F.col("id") != F.col("a")) & may_be_alike("n", "m", "na", "ma", percent))
     edges = materialize(_confirmed(stars.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), sets, percent))
     label = components(edges)
     labelled = able.join(label, "id", "left")
@@ -241,7 +251,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Then the groups that hold another component.
     opened = materialize(_qualifying(nodes, sets, counted, percent))
     asking = opened.join(nodes.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("m").alias("mq"), F.col("c").alias("cq")), "q")
-    within = _may_be_alike("n", "m", "nq", "mq", percent) & (F.col("c") != F.col("cq"))
+    within = may_be_alike("n", "m", "nq", "mq", percent) & (F.col("c") != F.col("cq"))
     pairs = asking.join(nodes, "g").filter(within).select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
     more = materialize(_confirmed(pairs, sets, percent))
     if more.limit(1).count():

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronopanel.llm import minhash
 from chronopanel.llm.decontamination import contamination, drop_contaminated
 from chronopanel.llm.license_scan import Template, license_scan, license_spans
 from chronopanel.llm.line_dedup import line_dedup
@@ -164,6 +165,30 @@ def test_near_duplicates_decide_by_row(spark):
         [(5, other), (3, third), (5, " "), (5, None), (5, " "), (None, PROSE), (None, PROSE)])
 
 
+def test_near_copies_of_one_text_are_not_held_against_each_other(spark, monkeypatch):
+    """Copies with changes here and there are like their text, which has the largest id, but not like each other."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(10_000, " ".join(base), "s")]
+    for i in range(1, 161):
+        copy = base[:]
+        for at in rng.sample(range(5, 145), 2 + i % 3):
+            # Some changes are made in more than one copy.
+            copy[at] = f"x{at}" if rng.random() < 0.1 else f"x{at}of{i}"
+        rows.append((i, " ".join(copy), "s"))
+    seen, across = [], minhash._across
+
+    def counted(*args):
+        found = across(*args)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    got = rows_of(near_duplicates(frame(spark, rows), percent=85), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sort(brute.near_duplicates([(i, t) for i, t, _ in rows], 85))
+    assert seen[0] < len(rows)
+
+
 def test_near_duplicate_chain_through_missing_hub(spark):
     """b and c are alike, the smallest document a is like neither but shares bands with both."""
     base = [f"t{i}" for i in range(400)]
