@@ -44,9 +44,9 @@ def byte_of_symbol() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
-def _names(n: int, mark: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each id as text, with what follows it inside a group and at the end of a side."""
-    return np.array([f"{i}," for i in range(n)], object), np.array([f"{i}{mark}" for i in range(n)], object)
+def _names(n: int, mark: str) -> tuple[np.ndarray, int]:
+    """Each id's decimal digits as a row of bytes, 0 where it has fewer, and the byte that follows a side's last id."""
+    return np.array([str(i) for i in range(n)], f"S{len(str(n))}").view(np.uint8).reshape(n, -1), ord(mark)
 
 
 class ByteLevel:
@@ -89,21 +89,31 @@ class Pieces:
 
 def align(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray, names_a: tuple, names_b: tuple) -> tuple[str, np.ndarray, np.ndarray]:
     """Groups as text (``a1,a2|b1;a3|b2``), and the ids on both sides of each link, of one text's tokens."""
+    (digits_a, mark_a), (digits_b, mark_b) = names_a, names_b
     a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    cut = np.intersect1d(end_a, end_b)
-    # Tokens that end at a cut: runs of them where a token has no bytes.
-    last_a, last_b = np.searchsorted(end_a, cut, side="right"), np.searchsorted(end_b, cut, side="right")
+    ends = np.zeros((2, max(end_a[-1] if len(a) else 0, end_b[-1] if len(b) else 0) + 1), bool)
+    ends[0, end_a], ends[1, end_b] = True, True
+    cut = np.flatnonzero(ends[0] & ends[1])
+    # Tokens that end at a cut: one of each side, but runs of them where a token has no bytes.
+    plain = size_a[a].all() and size_b[b].all()
+    if plain:
+        first_a, first_b = np.flatnonzero(ends[1][end_a]), np.flatnonzero(ends[0][end_b])
+        last_a, last_b = first_a + 1, first_b + 1
+    else:
+        first_a, first_b = np.searchsorted(end_a, cut), np.searchsorted(end_b, cut)
+        last_a, last_b = np.searchsorted(end_a, cut, side="right"), np.searchsorted(end_b, cut, side="right")
     # Each id's place in the text: behind all of its own side before it, and of the other side in earlier groups, or also its own.
     before_b = np.repeat(np.concatenate(([0], last_b[:-1])), np.diff(last_a, prepend=0)) if len(cut) else last_a
     before_a = np.repeat(last_a, np.diff(last_b, prepend=0))
-    text = np.empty(len(before_b) + len(before_a), object)
     at_a, at_b = np.arange(len(before_b)) + before_b, np.arange(len(before_a)) + before_a
-    text[at_a], text[at_b] = names_a[0][a[: len(at_a)]], names_b[0][b[: len(at_b)]]
-    text[at_a[last_a - 1]], text[at_b[last_b - 1]] = names_a[1][a[last_a - 1]], names_b[1][b[last_b - 1]]
-    shown = "".join(text.tolist())[:-1]
-    first_a, first_b = np.searchsorted(end_a, cut), np.searchsorted(end_b, cut)
-    if len(cut) and ((last_a - first_a).max() > 1 or (last_b - first_b).max() > 1):
+    # A row of bytes for each id, the last one for what follows it; zeros are left out.
+    text = np.zeros((len(at_a) + len(at_b), max(digits_a.shape[1], digits_b.shape[1]) + 1), np.uint8)
+    text[at_a, : digits_a.shape[1]], text[at_b, : digits_b.shape[1]] = digits_a[a[: len(at_a)]], digits_b[b[: len(at_b)]]
+    text[:, -1] = ord(",")
+    text[at_a[last_a - 1], -1], text[at_b[last_b - 1], -1] = mark_a, mark_b
+    shown = text[text != 0].tobytes()[:-1].decode()
+    if not plain and len(cut):
         links = [(x, y) for k in range(len(cut)) for x in a[first_a[k] : last_a[k]] for y in b[first_b[k] : last_b[k]]]
         left, right = np.array([x for x, _ in links], np.int64), np.array([y for _, y in links], np.int64)
     else:
@@ -141,7 +151,7 @@ def aligned_texts(docs: DataFrame, text_col: str = "text", folder: str = TOKENIZ
                 keep, n_a, n_b, groups, pairs, times = [], [], [], [], [], []
                 for row, (text, a, b) in enumerate(zip(part, one.encode(part), two.encode(part), strict=True)):
                     want = b" " + text.encode()
-                    if b"".join(map(one.bytes.__getitem__, a)) != want or b"".join(map(two.bytes.__getitem__, b)) != want:
+                    if one.model.decode_bytes(a) != want or b"".join(map(two.bytes.__getitem__, b)) != want:
                         continue
                     shown, left, right = align(a, b, one.sizes, two.sizes, one.names, two.names)
                     value, count = np.unique(left << 32 | right, return_counts=True)

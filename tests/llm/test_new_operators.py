@@ -216,3 +216,14 @@ def test_long_text_is_aligned_whole(spark):
     text = PROSE * 40
     r = tokenizer_alignment(frame(spark, [(1, text, "a")])).first()
     assert r["groups"].count(";") + 1 == r["n_groups"] and sum(len(g.split("|")[0].split(",")) for g in r["groups"].split(";")) == r["n_a"]
+
+
+def test_alignment_writes_no_string_per_token():
+    """Names are rows of bytes, so a text's groups are put together without an object for each of its tokens."""
+    import numpy as np
+
+    digits, mark = _names(12, "|")
+    assert digits.dtype == np.uint8 and bytes(digits[11][digits[11] != 0]) == b"11" and mark == ord("|")
+    sizes = np.array([1, 2, 3] + [1] * 9)
+    shown, left, right = align([11, 1, 2], [10, 2, 1], sizes, sizes, _names(12, "|"), _names(12, ";"))
+    assert (shown, left.tolist(), right.tolist()) == ("11|10;1,2|2,1", [11, 2], [10, 1])
